@@ -42,7 +42,7 @@ panel AS (
 
 
 def R(expr: str, digits: int) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
 
 
 def with_panel(body: str, extra_ctes: str = "") -> str:

@@ -19,7 +19,8 @@ _DEFAULTS = {
 def get_session(master: str | None = None, app: str = "tidemark",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session. The UI stays off; AQE is on."""
-    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    b = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master:
         b = b.master(master)
     if shuffle_partitions:
