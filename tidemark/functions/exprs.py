@@ -16,12 +16,20 @@ def safe_div(a, b) -> Column:
     return F.try_divide(col(a), F.nullif(col(b), F.lit(0)))
 
 
+def q(name: str) -> str:
+    """Quote a column name for a SQL expression string."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def rnd(c, digits: int) -> Column:
     """Round half away from zero on the scaled double: ``round(x*10^d)/10^d``.
     This is bit-for-bit the rule DuckDB applies, so both sides of the oracle
-    check agree on ties; ``+ 0.0`` folds a negative zero."""
+    check agree on ties; ``+ 0.0`` folds a negative zero. Built as one SQL
+    expression string (one JVM call instead of one per node)."""
     m = float(10 ** digits)
-    return F.round(col(c).cast("double") * F.lit(m), 0) / F.lit(m) + F.lit(0.0)
+    if isinstance(c, str):
+        return F.expr(f"round(CAST({q(c)} AS DOUBLE) * {m!r}, 0) / {m!r} + 0.0")
+    return F.round(c.cast("double") * F.lit(m), 0) / F.lit(m) + F.lit(0.0)
 
 
 def safe_corr(x, y) -> Column:

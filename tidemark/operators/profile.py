@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (safe_corr, safe_div, sample_skewness)
+from ..functions.exprs import q, safe_corr, safe_div, sample_skewness
 from .windows import _cols, add_lag_roll, with_row_pos
 
 STAT_SEP = "|"
@@ -29,10 +29,10 @@ def _k(c: str, stat: str) -> str:
 def _unpivot(wide: DataFrame, cols: Sequence[str], stats: Sequence[str],
              by: Sequence[str], name: str = "column") -> DataFrame:
     """Wide one-row-per-group aggregate -> long rows (by..., column, stats...)."""
-    rows = F.array(*[F.struct(F.lit(c).alias(name),
-                              *[F.col(f"`{_k(c, s)}`").alias(s) for s in stats])
-                     for c in cols])
-    return wide.select(*by, F.inline(rows))
+    structs = ", ".join(
+        "struct(" + ", ".join([f"'{c}' AS {name}"] + [f"{q(_k(c, s))} AS {s}" for s in stats]) + ")"
+        for c in cols)
+    return wide.select(*by, F.expr(f"inline(array({structs}))"))
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -60,7 +60,7 @@ def shape(df: DataFrame) -> DataFrame:
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> DataFrame:
     """A2: null count per column, long form, one aggregate."""
     cols, by = list(cols or df.columns), _cols(by)
-    wide = df.groupBy(*by).agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(_k(c, "n_null"))
+    wide = df.groupBy(*by).agg(*[F.expr(f"CAST(count_if({q(c)} IS NULL) AS BIGINT) AS {q(_k(c, 'n_null'))}")
                                  for c in cols])
     return _unpivot(wide, cols, ["n_null"], by)
 
@@ -136,17 +136,16 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, by=None,
     cols = list(cols or numeric_columns(df, exclude=by))
     exprs = []
     for c in cols:
-        x = F.col(c)
-        exprs += [F.count(x).cast("long").alias(_k(c, "count")), F.avg(x).alias(_k(c, "mean")),
-                  F.stddev_samp(x).alias(_k(c, "std")), F.min(x).cast("double").alias(_k(c, "min")),
-                  F.max(x).cast("double").alias(_k(c, "max"))]
-        if method == "approx":
-            arr = F.percentile_approx(x, [0.25, 0.5, 0.75], 100000)
-        else:
-            arr = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        exprs += [arr[0].alias(_k(c, "q25")), arr[1].alias(_k(c, "q50")),
-                  arr[2].alias(_k(c, "q75"))]
-    wide = df.groupBy(*by).agg(*exprs)
+        x = q(c)
+        pct = (f"percentile_approx({x}, array(0.25, 0.5, 0.75), 100000)" if method == "approx"
+               else f"percentile({x}, array(0.25D, 0.5D, 0.75D))")
+        exprs += [f"CAST(count({x}) AS BIGINT) AS {q(_k(c, 'count'))}",
+                  f"avg({x}) AS {q(_k(c, 'mean'))}", f"stddev_samp({x}) AS {q(_k(c, 'std'))}",
+                  f"CAST(min({x}) AS DOUBLE) AS {q(_k(c, 'min'))}",
+                  f"CAST(max({x}) AS DOUBLE) AS {q(_k(c, 'max'))}",
+                  f"{pct}[0] AS {q(_k(c, 'q25'))}", f"{pct}[1] AS {q(_k(c, 'q50'))}",
+                  f"{pct}[2] AS {q(_k(c, 'q75'))}"]
+    wide = df.groupBy(*by).agg(*[F.expr(e) for e in exprs])
     return _unpivot(wide, cols, DESCRIBE_STATS, by)
 
 
@@ -182,11 +181,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by=None, lower_only: bool =
 
 
 def _pair_corr(a: str, b: str) -> Column:
+    return F.expr(_pair_corr_sql(a, b))
+
+
+def _pair_corr_sql(a: str, b: str) -> str:
+    """Pairwise-complete Pearson correlation; null for a constant column."""
     if a == b:
-        x = F.col(a)
-        return F.when(F.stddev_pop(x) > 0, F.lit(1.0))
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return safe_corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
+        return f"CASE WHEN stddev_pop({q(a)}) > 0 THEN 1.0D END"
+    m = f"({q(a)} IS NOT NULL AND {q(b)} IS NOT NULL)"
+    x, y = f"CASE WHEN {m} THEN {q(a)} END", f"CASE WHEN {m} THEN {q(b)} END"
+    sx, sy = f"stddev_pop({x})", f"stddev_pop({y})"
+    return f"try_divide(covar_pop({x}, {y}), nullif({sx} * {sy}, 0D))"
 
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str, by=None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.exprs import safe_corr, safe_div
+from ..functions.exprs import q, safe_corr, safe_div
 from .profile import _k, _unpivot
 from .windows import _cols
 
@@ -25,26 +25,75 @@ from .windows import _cols
 def univariate_scores(df: DataFrame, features: Sequence[str], target: str, by=None) -> DataFrame:
     """Per feature: n (complete pairs), r, |r|, F = r^2/(1-r^2)(n-2)
     (scikit-learn ``f_regression``: a constant feature scores 0, r = +-1
-    gives +inf) and univariate R^2 (``regr_r2``, A14). Adds ``idx``, the
-    feature's position, for stable tie-breaking."""
+    gives +inf) and univariate R^2 (A14: null for a constant feature, 1 for
+    a constant target, else r^2). Adds ``idx``, the feature's position, for
+    stable tie-breaking.
+
+    Two cheap passes of plain sums instead of p central-moment aggregates:
+    pass 1 counts and means; pass 2 the centred sums Sxx, Syy, Sxy (centring
+    by the pass-1 means keeps them accurate). Pairwise null masking is only
+    generated when pass 1 finds nulls."""
     by = _cols(by)
+    features = list(features)
+    y = F.col(target)
+    if by:
+        return _grouped_scores(df, features, target, by)
+    t = q(target)
+    first = df.agg(F.expr("count(1) AS _n"), F.expr(f"count({t}) AS _ny"), F.expr(f"avg({t}) AS _my"),
+                   *[F.expr(f"count({q(c)}) AS {q(_k(c, 'cnt'))}") for c in features],
+                   *[F.expr(f"avg({q(c)}) AS {q(_k(c, 'mean'))}") for c in features]).first()
+    n_all = first["_n"]
+    complete = first["_ny"] == n_all and all(first[_k(c, "cnt")] == n_all for c in features)
+    my = repr(float(first["_my"] or 0.0))
+    exprs = []
+    for c in features:
+        mx = repr(float(first[_k(c, "mean")] or 0.0))
+        if complete:
+            xc, yc, n = f"({q(c)} - {mx})", f"({t} - {my})", "count(1)"
+        else:
+            m = f"({q(c)} IS NOT NULL AND {t} IS NOT NULL)"
+            xc, yc = f"(CASE WHEN {m} THEN {q(c)} - {mx} END)", f"(CASE WHEN {m} THEN {t} - {my} END)"
+            n = f"count_if({m})"
+        for nm, e in (("n", n), ("sx", f"sum({xc})"), ("sy", f"sum({yc})"),
+                      ("sxx", f"sum({xc} * {xc})"), ("syy", f"sum({yc} * {yc})"),
+                      ("sxy", f"sum({xc} * {yc})")):
+            exprs.append(F.expr(f"{e} AS {q(_k(c, nm))}"))
+    wide = df.agg(*exprs)
+    long = _unpivot(wide, features, ["n", "sx", "sy", "sxx", "syy", "sxy"], [], name="feature")
+    return _finish_scores(long, features)
+
+
+def _grouped_scores(df, features, target, by):
     exprs = []
     for c in features:
-        both = F.col(c).isNotNull() & F.col(target).isNotNull()
-        x, y = F.when(both, F.col(c)), F.when(both, F.col(target))
-        exprs += [F.count_if(both).cast("long").alias(_k(c, "n")),
-                  safe_corr(x, y).alias(_k(c, "corr")),
-                  F.regr_r2(y, x).alias(_k(c, "r2"))]
-    wide = df.groupBy(*by).agg(*exprs)
-    long = _unpivot(wide, list(features), ["n", "corr", "r2"], by, name="feature")
-    idx = F.create_map(*[e for i, c in enumerate(features) for e in (F.lit(c), F.lit(i))])
-    r = F.coalesce(F.col("corr"), F.lit(0.0))
-    r2 = r * r
-    f = F.when(r2 >= 1.0, F.lit(float("inf"))).otherwise(
-        r2 / (F.lit(1.0) - r2) * (F.col("n") - 2))
-    return (long.withColumn("idx", idx[F.col("feature")])
-            .withColumn("abs_corr", F.abs("corr"))
-            .withColumn("f_stat", f))
+        m = F.col(c).isNotNull() & F.col(target).isNotNull()
+        x, y = F.when(m, F.col(c)), F.when(m, F.col(target))
+        exprs += [F.count_if(m).alias(_k(c, "n")), F.lit(0.0).alias(_k(c, "sx")),
+                  F.lit(0.0).alias(_k(c, "sy")),
+                  (F.var_pop(x) * F.count_if(m)).alias(_k(c, "sxx")),
+                  (F.var_pop(y) * F.count_if(m)).alias(_k(c, "syy")),
+                  (F.covar_pop(x, y) * F.count_if(m)).alias(_k(c, "sxy"))]
+    long = _unpivot(df.groupBy(*by).agg(*exprs), features,
+                    ["n", "sx", "sy", "sxx", "syy", "sxy"], by, name="feature")
+    return _finish_scores(long, features)
+
+
+def _finish_scores(long: DataFrame, features) -> DataFrame:
+    idx = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(features)) + " END"
+    t = long.selectExpr(
+        "feature", "CAST(n AS BIGINT) AS n",
+        # centred sums about the true pairwise means
+        "sxx - sx * sx / n AS _sxx", "syy - sy * sy / n AS _syy", "sxy - sx * sy / n AS _sxy",
+        f"CAST({idx} AS INT) AS idx")
+    t = t.selectExpr("*", "CASE WHEN _sxx > 0 AND _syy > 0 THEN _sxy / sqrt(_sxx * _syy) END AS corr")
+    return t.selectExpr(
+        "feature", "n", "corr",
+        "CASE WHEN NOT (_sxx > 0) THEN CAST(NULL AS DOUBLE) WHEN NOT (_syy > 0) THEN 1.0D "
+        "ELSE corr * corr END AS r2",
+        "idx", "abs(corr) AS abs_corr",
+        "CASE WHEN coalesce(corr, 0D) * coalesce(corr, 0D) >= 1 THEN double('inf') "
+        "ELSE coalesce(corr, 0D) * coalesce(corr, 0D) / (1 - coalesce(corr, 0D) * coalesce(corr, 0D)) "
+        "* (n - 2) END AS f_stat")
 
 
 def _betacf(a, b, x, iters=300, eps=3e-16):

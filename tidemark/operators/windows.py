@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import q
 from ..session import materialize, shuffle_partitions
 
 
@@ -67,23 +68,25 @@ def roll_name(c: str, stat: str, w: int) -> str:
     return f"{c}_roll_{stat}_{w}"
 
 
-def _feature_exprs(cols, lags, windows, stats, spec) -> list[Column]:
+def _feature_exprs(cols, lags, windows, stats, part, order) -> list[Column]:
+    """All lag / rolling expressions as SQL strings over one window spec
+    (one JVM call per output column)."""
+    over = (f"PARTITION BY {', '.join(q(p) for p in part)} " if part else "") + \
+        f"ORDER BY {', '.join(q(o) for o in order)}"
     out = []
     for c in cols:
         for k in lags:
-            out.append(F.lag(F.col(c), k).over(spec).alias(lag_name(c, k)))
+            out.append(F.expr(f"lag({q(c)}, {k}) OVER ({over})").alias(lag_name(c, k)))
     for c in cols:
         for w in windows:
-            fw = spec.rowsBetween(1 - w, 0)
-            full = F.count(F.col(c)).over(fw) == w   # pandas: any null or short → null
+            fr = f"({over} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
             for stat in stats:
-                if stat == "mean":
-                    agg = F.avg(F.col(c)).over(fw)
-                elif stat == "std":
-                    agg = F.stddev_samp(F.col(c)).over(fw)
-                else:
+                fn = {"mean": "avg", "std": "stddev_samp"}.get(stat)
+                if fn is None:
                     raise ValueError(f"unknown rolling statistic {stat!r}")
-                out.append(F.when(full, agg).alias(roll_name(c, stat, w)))
+                # pandas semantics: a short window or any null inside gives null
+                out.append(F.expr(f"CASE WHEN count({q(c)}) OVER {fr} = {w} "
+                                  f"THEN {fn}({q(c)}) OVER {fr} END").alias(roll_name(c, stat, w)))
     return out
 
 
@@ -101,8 +104,7 @@ def add_lag_roll(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = (),
     if not order:
         raise ValueError("an explicit order column is required")
     if not skew_safe:
-        spec = Window.partitionBy(*series).orderBy(*order)
-        return df.select("*", *_feature_exprs(cols, lags, windows, stats, spec))
+        return df.select("*", *_feature_exprs(cols, lags, windows, stats, series, order))
     halo = max([*lags, *[w - 1 for w in windows], 0])
     if bucket_rows <= halo:
         raise ValueError("bucket_rows must exceed the look-back")
@@ -112,8 +114,7 @@ def add_lag_roll(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = (),
                     F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     x = (base.withColumn("_shift", F.explode(shifts))
          .withColumn("_hb", hb + F.col("_shift")))
-    spec = Window.partitionBy(*series, "_hb").orderBy("_gpos")
-    out = x.select("*", *_feature_exprs(cols, lags, windows, stats, spec))
+    out = x.select("*", *_feature_exprs(cols, lags, windows, stats, [*series, "_hb"], ["_gpos"]))
     return out.where(F.col("_shift") == 0).drop("_gpos", "_shift", "_hb")
 
 
@@ -126,11 +127,12 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], series=None, order
     table and joined back on (series, bucket)."""
     series, order = _cols(series), _cols(order)
     if not skew_safe:
-        spec = Window.partitionBy(*series).orderBy(*order)
-        back = spec.rowsBetween(Window.unboundedPreceding, 0)
-        fwd = spec.rowsBetween(0, Window.unboundedFollowing)
-        repl = {c: F.coalesce(F.last(F.col(c), True).over(back),
-                              F.first(F.col(c), True).over(fwd)) for c in cols}
+        over = (f"PARTITION BY {', '.join(q(p) for p in series)} " if series else "") + \
+            f"ORDER BY {', '.join(q(o) for o in order)}"
+        repl = {c: F.expr(
+            f"coalesce(last({q(c)}, true) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND "
+            f"CURRENT ROW), first({q(c)}, true) OVER ({over} ROWS BETWEEN CURRENT ROW AND "
+            f"UNBOUNDED FOLLOWING))") for c in cols}
         return df.withColumns(repl)
     base = (with_row_pos(df, [*series, *order], "_gpos")
             .withColumn("_hb", F.floor(F.col("_gpos") / bucket_rows)))
