@@ -107,12 +107,10 @@ class FittedModel:
                                 handleInvalid="keep").transform(df)
             out = self.model.setPredictionCol(pred).transform(x).drop(VEC)
         else:
-            eta = F.lit(float(self.coef[0]) if self.fit_intercept else 0.0)
             off = 1 if self.fit_intercept else 0
-            for c, b in zip(self.features, self.coef[off:]):
-                eta = eta + F.col(c) * F.lit(float(b))
-            mu = F.exp(eta) if self.link == "log" else eta
-            out = df.withColumn(pred, mu)
+            eta = " + ".join([repr(float(self.coef[0]) if off else 0.0)] +
+                             [f"`{c}` * {float(b)!r}" for c, b in zip(self.features, self.coef[off:])])
+            out = df.withColumn(pred, F.expr(f"exp({eta})" if self.link == "log" else f"({eta})"))
         if self.clip is not None and not self.fallback:
             out = out.withColumn(pred, F.greatest(F.col(pred), F.lit(self.clip)))
         return out
@@ -246,7 +244,7 @@ def _variance(mu, fam, vp):
 
 def irls_elastic_net(df: DataFrame, features: list, label: str, family: str, link: str,
                      alpha: float, l1_wt: float = 0.5, fit_intercept: bool = True,
-                     var_power: float | None = None, max_iter: int = 50, tol: float = 1e-8) -> list:
+                     var_power: float | None = None, max_iter: int = 50, tol: float = 1e-6) -> list:
     """Elastic-net GLM by IRLS. Per iteration one aggregate computes
     X'WX and X'Wz over all rows (working weights/response from the current
     coefficients, as column expressions); the penalised weighted least squares
@@ -261,28 +259,25 @@ def irls_elastic_net(df: DataFrame, features: list, label: str, family: str, lin
         beta = np.zeros(len(cols))
         if fit_intercept:
             beta[0] = math.log(r0) if link == "log" and r0 > 0 else r0
+        qc = [f"`{c}`" for c in cols]
+        lab = f"`{label}`"
         for _ in range(max_iter):
-            eta = sum((F.col(c) * F.lit(float(b)) for c, b in zip(cols, beta)), F.lit(0.0))
-            if link == "log":
-                mu = F.exp(eta)
-                dmu = mu                                   # d mu / d eta
-            else:
-                mu = eta
-                dmu = F.lit(1.0)
+            eta = " + ".join(f"{c} * {float(b)!r}" for c, b in zip(qc, beta)) or "0D"
+            mu = f"exp({eta})" if link == "log" else f"({eta})"
+            dmu = mu if link == "log" else "1D"                 # d mu / d eta
             if family == "gaussian":
-                var = F.lit(1.0)
+                var = "1D"
             elif family == "gamma":
-                var = mu * mu
+                var = f"({mu} * {mu})"
             else:
-                var = F.pow(mu, float(var_power))
-            w = dmu * dmu / var
-            z = eta + (F.col(label) - mu) / dmu
-            wd = d.select(*cols, w.alias("_w"), z.alias("_z"))
-            aggs = [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"g_{i}_{j}")
-                    for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-            aggs += [F.sum(F.col("_w") * F.col(a) * F.col("_z")).alias(f"h_{i}")
-                     for i, a in enumerate(cols)]
-            row = wd.agg(*aggs).first()
+                var = f"pow({mu}, {float(var_power)!r})"
+            wd = d.selectExpr(*qc, f"{dmu} * {dmu} / {var} AS _w",
+                              f"({eta}) + ({lab} - {mu}) / {dmu} AS _z")
+            # one aggregate: upper triangle of X'WX and X'Wz
+            aggs = [f"sum(_w * {a} * {b}) AS g_{i}_{j}"
+                    for i, a in enumerate(qc) for j, b in enumerate(qc) if j >= i]
+            aggs += [f"sum(_w * {a} * _z) AS h_{i}" for i, a in enumerate(qc)]
+            row = wd.selectExpr(*aggs).first()
             k = len(cols)
             G = np.zeros((k, k))
             h = np.zeros(k)
