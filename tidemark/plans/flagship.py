@@ -19,5 +19,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
                       features=list(P.PANEL_FEATURES), lags=[1, 2], windows=[3, 6],
                       scaler="robust")
     spec = ModelSpec("GLM_Gamma_Log", "glm", {"family": "gamma", "link": "log"})
-    pred = fit_single(panel.where(panel.period < CUTOFF), cfg, spec)
+    # Gamma-log needs y > 0 (zero cells occur at the smallest scale)
+    pred = fit_single(panel.where((panel.period < CUTOFF) & (panel.y > 0)), cfg, spec)
     return pred.predict(panel, return_confidence=True)
