@@ -21,6 +21,15 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def dlit(v) -> str:
+    """A Python number as a DOUBLE literal for a SQL expression string. A bare
+    ``repr(0.5)`` parses as DECIMAL, which would move ``bigint - 0.5`` into
+    decimal arithmetic (and can overflow); ``None`` becomes a typed null."""
+    if v is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
 def rnd(c, digits: int) -> Column:
     """Round half away from zero on the scaled double: ``round(x*10^d)/10^d``.
     This is bit-for-bit the rule DuckDB applies, so both sides of the oracle
@@ -28,7 +37,7 @@ def rnd(c, digits: int) -> Column:
     expression string (one JVM call instead of one per node)."""
     m = float(10 ** digits)
     if isinstance(c, str):
-        return F.expr(f"round(CAST({q(c)} AS DOUBLE) * {m!r}, 0) / {m!r} + 0.0")
+        return F.expr(f"round(CAST({q(c)} AS DOUBLE) * {dlit(m)}, 0) / {dlit(m)} + 0.0D")
     return F.round(c.cast("double") * F.lit(m), 0) / F.lit(m) + F.lit(0.0)
 
 

@@ -15,17 +15,15 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import dlit, q
 from .windows import _cols, fill_forward_backward
 
 
 def _exact_median_iqr(df: DataFrame, cols: Sequence[str]) -> dict:
     """One aggregate: exact median, Q1 and Q3 of every column."""
-    exprs = []
-    for c in cols:
-        arr = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        exprs += [arr[0].alias(f"{c}|q1"), arr[1].alias(f"{c}|med"), arr[2].alias(f"{c}|q3")]
-    row = df.agg(*exprs).first()
-    return {c: (row[f"{c}|q1"], row[f"{c}|med"], row[f"{c}|q3"]) for c in cols}
+    row = df.agg(*[F.expr(f"percentile({q(c)}, array(0.25D, 0.5D, 0.75D)) AS {q(c)}")
+                   for c in cols]).first()
+    return {c: tuple(row[c]) for c in cols}
 
 
 # --------------------------------------------------------------------- F1 / F2
@@ -37,8 +35,8 @@ class FittedImputer:
     strategy: str = "median"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.values.items()
-                               if c in df.columns and v is not None})
+        return df.withColumns({c: F.expr(f"coalesce({q(c)}, {dlit(v)})")
+                               for c, v in self.values.items() if c in df.columns and v is not None})
 
     def to_dict(self):
         return asdict(self)
@@ -48,9 +46,9 @@ def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median") ->
     """F1 (median of features and target) / F2 (median or mean). Exact
     medians; ``pyspark.ml.feature.Imputer`` uses approximate ones."""
     if strategy == "median":
-        row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
+        row = df.agg(*[F.expr(f"median({q(c)}) AS {q(c)}") for c in cols]).first()
     elif strategy == "mean":
-        row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+        row = df.agg(*[F.expr(f"avg({q(c)}) AS {q(c)}") for c in cols]).first()
     else:
         raise ValueError("strategy must be median or mean; use fill_forward_backward for ffill")
     return FittedImputer({c: (None if row[c] is None else float(row[c])) for c in cols}, strategy)
@@ -63,10 +61,9 @@ def fill_chain(df: DataFrame, cols: Sequence[str], train_medians: dict, series=N
     entirely null falls back to the training median)."""
     cols = list(cols)
     filled = fill_forward_backward(df, cols, series=series, order=order, skew_safe=skew_safe)
-    cur = filled.agg(*[F.median(c).alias(c) for c in cols]).first()
+    cur = filled.agg(*[F.expr(f"median({q(c)}) AS {q(c)}") for c in cols]).first()
     return filled.withColumns({
-        c: F.coalesce(F.col(c), F.lit(train_medians.get(c)).cast("double"),
-                      F.lit(cur[c]).cast("double")) for c in cols})
+        c: F.expr(f"coalesce({q(c)}, {dlit(train_medians.get(c))}, {dlit(cur[c])})") for c in cols})
 
 
 # --------------------------------------------------------------------- F5 / F6 / K1
@@ -80,7 +77,7 @@ class FittedScaler:
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({
-            c: (F.col(c) - F.lit(self.center[c])) / F.lit(self.scale[c])
+            c: F.expr(f"({q(c)} - {dlit(self.center[c])}) / {dlit(self.scale[c])}")
             for c in self.center if c in df.columns})
 
     def to_dict(self):
@@ -99,16 +96,16 @@ def fit_robust_scaler(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
 
 def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
     """F6 standard: population std (scikit-learn); zero std divides by 1."""
-    row = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"{c}|m"),
-                                             F.stddev_pop(c).alias(f"{c}|s"))]).first()
+    row = df.agg(*[F.expr(e) for c in cols for e in (f"avg({q(c)}) AS {q(c + '|m')}",
+                                                     f"stddev_pop({q(c)}) AS {q(c + '|s')}")]).first()
     return FittedScaler({c: float(row[f"{c}|m"]) for c in cols},
                         {c: (float(row[f"{c}|s"]) or 1.0) for c in cols}, "standard")
 
 
 def fit_minmax_scaler(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
     """F6 min-max: ``(x - min) / (max - min)``; a zero range divides by 1."""
-    row = df.agg(*[e for c in cols for e in (F.min(c).alias(f"{c}|a"),
-                                             F.max(c).alias(f"{c}|b"))]).first()
+    row = df.agg(*[F.expr(e) for c in cols for e in (f"min({q(c)}) AS {q(c + '|a')}",
+                                                     f"max({q(c)}) AS {q(c + '|b')}")]).first()
     return FittedScaler({c: float(row[f"{c}|a"]) for c in cols},
                         {c: (float(row[f"{c}|b"] - row[f"{c}|a"]) or 1.0) for c in cols}, "minmax")
 
@@ -206,21 +203,20 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str], series=None, order=No
                        pos_col: str | None = None) -> DataFrame:
     """K5: linear interpolation between the previous and next non-null
     values (by row position within the series); edges stay null."""
-    series = _cols(series)
-    from pyspark.sql import Window
-    spec = Window.partitionBy(*series).orderBy(*_cols(order))
-    d = df.withColumn("_rn", F.row_number().over(spec).cast("double")) if pos_col is None \
+    series, order = _cols(series), _cols(order)
+    if not cols:
+        return df
+    over = (f"PARTITION BY {', '.join(q(s) for s in series)} " if series else "") + \
+        f"ORDER BY {', '.join(q(o) for o in order)}"
+    d = df.withColumn("_rn", F.expr(f"CAST(row_number() OVER ({over}) AS DOUBLE)")) if pos_col is None \
         else df.withColumn("_rn", F.col(pos_col).cast("double"))
-    back = spec.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = spec.rowsBetween(0, Window.unboundedFollowing)
     out = {}
     for c in cols:
-        pv = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("p"),
-                                                          F.col(c).alias("v"))), True).over(back)
-        nv = F.first(F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("p"),
-                                                           F.col(c).alias("v"))), True).over(fwd)
-        interp = pv["v"] + (nv["v"] - pv["v"]) * (F.col("_rn") - pv["p"]) / (nv["p"] - pv["p"])
-        out[c] = F.coalesce(F.col(c), interp)
+        s_ = f"CASE WHEN {q(c)} IS NOT NULL THEN named_struct('p', _rn, 'v', CAST({q(c)} AS DOUBLE)) END"
+        pv = f"last({s_}, true) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        nv = f"first({s_}, true) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        out[c] = F.expr(f"coalesce({q(c)}, {pv}.v + ({nv}.v - {pv}.v) * (_rn - {pv}.p) / "
+                        f"nullif({nv}.p - {pv}.p, 0))")
     return d.withColumns(out).drop("_rn")
 
 
@@ -230,11 +226,11 @@ def polynomial_features(df: DataFrame, cols: Sequence[str], degree: int = 2,
     out = {}
     for c in cols:
         for d in range(2, degree + 1):
-            out[f"{c}_pow_{d}"] = F.pow(F.col(c), float(d))
+            out[f"{c}_pow_{d}"] = F.expr(f"power({q(c)}, {dlit(d)})")
     if interactions:
         for i, a in enumerate(cols):
             for b in cols[i + 1:]:
-                out[f"{a}_x_{b}"] = F.col(a) * F.col(b)
+                out[f"{a}_x_{b}"] = F.expr(f"{q(a)} * {q(b)}")
     return df.withColumns(out)
 
 
@@ -278,3 +274,54 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0)
         out[f"{c}_zoutlier"] = (F.lit(False) if not s else
                                 (F.abs(F.col(c) - F.lit(m)) / F.lit(s) > threshold))
     return df.withColumns(out)
+
+
+# --------------------------------------------------------------------- K8 / K10
+
+def financial_features(df: DataFrame, col: str, series=None, order=None, rsi_window: int = 14,
+                       fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """K8: RSI over ``rsi_window`` rows (mean gain / mean loss, window
+    functions) and MACD = EMA(fast) - EMA(slow) with its signal EMA. The
+    exponential averages are recursive, so they run per series in
+    ``applyInPandas`` (pandas ``ewm``); series here are panel series of
+    bounded length."""
+    from pyspark.sql import Window
+    series, order = _cols(series), _cols(order)
+    spec = Window.partitionBy(*series).orderBy(*order)
+    diff = F.col(col) - F.lag(col, 1).over(spec)
+    d = df.withColumn("_diff", diff)
+    fr = spec.rowsBetween(1 - rsi_window, 0)
+    gain = F.avg(F.greatest(F.col("_diff"), F.lit(0.0))).over(fr)
+    loss = F.avg(F.greatest(-F.col("_diff"), F.lit(0.0))).over(fr)
+    full = F.count("_diff").over(fr) == rsi_window
+    d = d.withColumn(f"{col}_rsi_{rsi_window}", F.when(full, F.when(loss == 0, F.lit(100.0)).otherwise(
+        100 - 100 / (1 + gain / loss)))).drop("_diff")
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    out_fields = d.schema.fields + [StructField(n, DoubleType(), True)
+                                    for n in (f"{col}_macd", f"{col}_macd_signal")]
+
+    def ema(pdf):
+        pdf = pdf.sort_values(order, kind="mergesort")
+        x = pdf[col].astype("float64")
+        macd = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
+        pdf[f"{col}_macd"] = macd
+        pdf[f"{col}_macd_signal"] = macd.ewm(span=signal, adjust=False).mean()
+        return pdf
+    return d.groupBy(*series).applyInPandas(ema, StructType(out_fields))
+
+
+def text_features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                  num_features: int = 1 << 18, min_df: int = 2, vectorizer: str = "tfidf"):
+    """Whole-text tokenisation, then tf-idf (HashingTF + IDF) or term
+    counts (CountVectorizer), as Spark ML stages. Returns (fitted pipeline
+    model, transformed frame with a ``text_vec`` column)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\W+", minTokenLength=2)
+    if vectorizer == "count":
+        stages = [tok, CountVectorizer(inputCol="_tokens", outputCol="text_vec", minDF=min_df)]
+    else:
+        stages = [tok, HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
+                  IDF(inputCol="_tf", outputCol="text_vec", minDocFreq=min_df)]
+    model = Pipeline(stages=stages).fit(docs.select(id_col, text_col))
+    return model, model.transform(docs.select(id_col, text_col))

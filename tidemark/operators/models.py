@@ -34,6 +34,8 @@ from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor,
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import dlit
+
 VEC = "_features_vec"
 
 
@@ -108,8 +110,8 @@ class FittedModel:
             out = self.model.setPredictionCol(pred).transform(x).drop(VEC)
         else:
             off = 1 if self.fit_intercept else 0
-            eta = " + ".join([repr(float(self.coef[0]) if off else 0.0)] +
-                             [f"`{c}` * {float(b)!r}" for c, b in zip(self.features, self.coef[off:])])
+            eta = " + ".join([dlit(self.coef[0] if off else 0.0)] +
+                             [f"`{c}` * {dlit(b)}" for c, b in zip(self.features, self.coef[off:])])
             out = df.withColumn(pred, F.expr(f"exp({eta})" if self.link == "log" else f"({eta})"))
         if self.clip is not None and not self.fallback:
             out = out.withColumn(pred, F.greatest(F.col(pred), F.lit(self.clip)))
@@ -150,8 +152,9 @@ def _active_spark():
 
 
 def _label_stats(df: DataFrame, label: str):
-    r = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s"),
-               F.avg(label).alias("m"), F.min(label).alias("mn")).first()
+    lab = f"`{label}`"
+    r = df.selectExpr(f"count({lab}) AS n", f"stddev_pop({lab}) AS s", f"avg({lab}) AS m",
+                      f"min({lab}) AS mn").first()
     return int(r["n"]), float(r["s"] or 0.0), float(r["m"] or 0.0), r["mn"]
 
 
@@ -262,7 +265,7 @@ def irls_elastic_net(df: DataFrame, features: list, label: str, family: str, lin
         qc = [f"`{c}`" for c in cols]
         lab = f"`{label}`"
         for _ in range(max_iter):
-            eta = " + ".join(f"{c} * {float(b)!r}" for c, b in zip(qc, beta)) or "0D"
+            eta = " + ".join(f"{c} * {dlit(b)}" for c, b in zip(qc, beta)) or "0D"
             mu = f"exp({eta})" if link == "log" else f"({eta})"
             dmu = mu if link == "log" else "1D"                 # d mu / d eta
             if family == "gaussian":
@@ -270,7 +273,7 @@ def irls_elastic_net(df: DataFrame, features: list, label: str, family: str, lin
             elif family == "gamma":
                 var = f"({mu} * {mu})"
             else:
-                var = f"pow({mu}, {float(var_power)!r})"
+                var = f"pow({mu}, {dlit(var_power)})"
             wd = d.selectExpr(*qc, f"{dmu} * {dmu} / {var} AS _w",
                               f"({eta}) + ({lab} - {mu}) / {dmu} AS _z")
             # one aggregate: upper triangle of X'WX and X'Wz

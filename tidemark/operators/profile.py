@@ -408,9 +408,10 @@ def volatility_regimes(df: DataFrame, cols: Sequence[str], series=None, order=No
 
 def fit_feature_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, sample std, min, max per feature (training statistics)."""
-    wide = df.agg(*[e for c in cols for e in (
-        F.avg(c).alias(_k(c, "mean")), F.stddev_samp(c).alias(_k(c, "std")),
-        F.min(c).cast("double").alias(_k(c, "min")), F.max(c).cast("double").alias(_k(c, "max")))])
+    wide = df.agg(*[F.expr(e) for c in cols for e in (
+        f"avg({q(c)}) AS {q(_k(c, 'mean'))}", f"stddev_samp({q(c)}) AS {q(_k(c, 'std'))}",
+        f"CAST(min({q(c)}) AS DOUBLE) AS {q(_k(c, 'min'))}",
+        f"CAST(max({q(c)}) AS DOUBLE) AS {q(_k(c, 'max'))}")])
     return _unpivot(wide, cols, ["mean", "std", "min", "max"], [], name="feature")
 
 
@@ -419,7 +420,7 @@ def drift_report(train_stats: DataFrame, new: DataFrame, cols: Sequence[str],
     """Flag features whose mean moved by more than ``threshold`` times
     the absolute training mean; missing features are reported too (J3)."""
     present = [c for c in cols if c in new.columns]
-    wide = new.agg(*[F.avg(c).alias(_k(c, "mean_new")) for c in present])
+    wide = new.agg(*[F.expr(f"avg({q(c)}) AS {q(_k(c, 'mean_new'))}") for c in present])
     now = _unpivot(wide, present, ["mean_new"], [], name="feature")
     j = train_stats.select("feature", F.col("mean").alias("mean_train")).join(
         F.broadcast(now), "feature", "left")  # both sides have one row per feature

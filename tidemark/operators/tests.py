@@ -248,7 +248,7 @@ def adf_test(df: DataFrame, col: str, order, series=None, maxlag: int | None = N
             XtX = Gm[np.ix_(idx, idx)]
             Xty = Gm[idx, k - 1]
             beta = np.linalg.solve(XtX, Xty)
-            ssr = Gm[k - 1, k - 1] - 2 * beta @ Xty + beta @ XtX @ beta
+            ssr = max(Gm[k - 1, k - 1] - 2 * beta @ Xty + beta @ XtX @ beta, 1e-300)
             dof = nrows - len(idx)
             llf = -nrows / 2 * (math.log(2 * math.pi) + math.log(ssr / nrows) + 1)
             se = math.sqrt(ssr / dof * np.linalg.inv(XtX)[1, 1])

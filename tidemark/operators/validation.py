@@ -149,10 +149,12 @@ def comparison_table(results: DataFrame) -> DataFrame:
 
 
 def holdout_split(df: DataFrame, key: str, test_share: float = 0.2):
-    """V6: repeatable hash split on a key (Lehmer multiplicative hash), not
+    """V6: repeatable hash split on a key (Fibonacci hashing: the fractional
+    part of key x golden ratio spreads consecutive keys evenly), not
     ``randomSplit``: the same key always lands on the same side, whatever
     the partitioning."""
-    u = ((F.col(key) * F.lit(48271)) % F.lit(2147483647)) / F.lit(2147483647.0)
+    h = F.col(key).cast("double") * F.lit(0.6180339887498949)
+    u = h - F.floor(h)
     flag = u < F.lit(test_share)
     return df.where(~flag), df.where(flag)
 

@@ -6,6 +6,7 @@ from . import catalog_features  # noqa: F401
 from . import catalog_models  # noqa: F401
 from . import catalog_tests  # noqa: F401
 from . import catalog_io  # noqa: F401
+from . import catalog_config  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
