@@ -253,12 +253,14 @@ def mutual_info_binned(df: DataFrame, features: Sequence[str], target: str,
 
 
 def composite_ranking(df: DataFrame, features: Sequence[str], target: str,
-                      bins: int = 10) -> DataFrame:
+                      bins: int = 10, scores: DataFrame | None = None,
+                      mi: DataFrame | None = None) -> DataFrame:
     """Min-max normalise |r|, MI, F and R^2 over the features, average
     them with equal weights, rank descending. A measure whose max equals its
-    min gives null (pandas gives NaN)."""
-    s = univariate_scores(df, features, target)
-    mi = mutual_info_binned(df, features, target, bins)
+    min gives null (pandas gives NaN). Score tables already computed (one
+    row per feature) can be passed in so the data is not scanned again."""
+    s = univariate_scores(df, features, target) if scores is None else scores
+    mi = mutual_info_binned(df, features, target, bins) if mi is None else mi
     t = s.join(F.broadcast(mi), "feature")          # both p rows
     w = Window.partitionBy(F.lit(1))                # p rows only
     norm = {}
@@ -271,6 +273,36 @@ def composite_ranking(df: DataFrame, features: Sequence[str], target: str,
         Window.orderBy(F.col("composite").desc_nulls_last(), "idx")).cast("long"))
 
 
+# --------------------------------------------------------------------- G10
+
+def top_lists(df: DataFrame, features: Sequence[str], target: str, n: int = 10,
+              alpha: float = 0.05, bins: int = 10) -> DataFrame:
+    """The feature-analysis top-``n`` lists, one long table
+    (list, rank, feature, score): |correlation|, binned mutual information,
+    F statistic among features with p < ``alpha``, and the A16 composite.
+    The data is scanned once for the moments and once for the MI bins; the
+    rest runs on p-row tables. Ties go to the earlier column."""
+    s = univariate_scores(df, features, target).cache()
+    mi = mutual_info_binned(df, features, target, bins).cache()
+    idx = s.select("feature", "idx")
+    comp = composite_ranking(df, features, target, bins, scores=s, mi=mi)
+    parts = [
+        s.select(F.lit("correlation").alias("list"), "feature", "idx", F.col("abs_corr").alias("score")),
+        mi.join(idx, "feature").select(F.lit("mutual_info").alias("list"), "feature", "idx",
+                                       F.col("mi").alias("score")),
+        with_pvalues(s).where(F.col("p_value") < alpha).select(
+            F.lit("f_test").alias("list"), "feature", "idx", F.col("f_stat").alias("score")),
+        comp.select(F.lit("composite").alias("list"), "feature", "idx",
+                    F.col("composite").alias("score")),
+    ]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    w = Window.partitionBy("list").orderBy(F.col("score").desc_nulls_last(), "idx")
+    return (u.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+            .select("list", "rank", "feature", "score"))
+
+
 # --------------------------------------------------------------------- K3 / K4 / K12
 
 def feature_checks(df: DataFrame, features: Sequence[str], max_missing: float = 0.1,

@@ -170,6 +170,49 @@ def q_f7(spark, sf):
     return sb.transform(p).select("series_id", "period", *sb.names())
 
 
+# ----------------------------------------------------------------- F8
+
+F8_BASE = ["ret_share", "avg_qty"]
+F8_FLAGS = ["crisis_1997", "crisis_2000", "post_1997_regime", "post_2000_regime", "trend",
+            "trend_post_1997", "trend_post_2000", "high_volatility"]
+F8_ENG = [f"{c}_lag_{k}" for c in F8_BASE for k in (1, 2)] + [f"{c}_roll_mean_3" for c in F8_BASE]
+
+
+def _f8_sql():
+    w = "PARTITION BY series_id ORDER BY period"
+    eng = []
+    for c in F8_BASE:
+        eng += [f"lag({c}, {k}) OVER ({w}) AS {c}_lag_{k}" for k in (1, 2)]
+        fr = f"({w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+        eng.append(f"CASE WHEN count({c}) OVER {fr} = 3 THEN avg({c}) OVER {fr} END AS {c}_roll_mean_3")
+    flags = f"""CAST(year BETWEEN 1997 AND 1998 AS INTEGER) AS crisis_1997,
+  CAST(year BETWEEN 2000 AND 2001 AS INTEGER) AS crisis_2000,
+  CAST(year >= 1997 AS INTEGER) AS post_1997_regime, CAST(year >= 2000 AS INTEGER) AS post_2000_regime,
+  CAST(year - b AS BIGINT) AS trend,
+  CAST(year >= 1997 AS BIGINT) * CAST(year - b AS BIGINT) AS trend_post_1997,
+  CAST(year >= 2000 AS BIGINT) * CAST(year - b AS BIGINT) AS trend_post_2000,
+  CAST(year BETWEEN 1997 AND 1998 OR year BETWEEN 2000 AND 2001 AS INTEGER) AS high_volatility"""
+    ff = (f"ff AS (SELECT series_id, period, y, {', '.join(F8_BASE)}, {', '.join(eng)}, {flags} "
+          f"FROM panel, (SELECT min(year) AS b FROM panel WHERE period < {CUTOFF}) t)")
+    sel = [f"{R(f'coalesce({c}, (SELECT median({c}) FROM ff))', _dg(c))} AS {c}"
+           for c in F8_BASE + F8_ENG]
+    sel += [f"coalesce({c}, 0) AS {c}" for c in F8_FLAGS]
+    return with_panel(f"SELECT series_id, period, {R('y', 10)} AS y, {', '.join(sel)} FROM ff", ff)
+
+
+@register("f8_feature_flow_dummies", _f8_sql())
+def q_f8(spark, sf):
+    """F8: structural-break flags (F7) beside lag / rolling columns of the
+    base features only; flags null -> 0, numeric columns median-filled."""
+    from .training import feature_flow_with_dummies
+    p = _panel(spark, sf)
+    sb = FE.StructuralBreaks(F7_PERIODS, F7_REGIMES, F7_TRENDS).fit(p.where(F.col("period") < CUTOFF))
+    x = sb.transform(p).select("series_id", "period", "year", "y", *F8_BASE, *sb.names())
+    out, eng, _ = feature_flow_with_dummies(x, F8_BASE, sb.names(), (1, 2), (3,), "series_id", "period")
+    return _rounded(out.select("series_id", "period", "y", *F8_BASE, *eng, *sb.names()),
+                    {"y": 10, **{c: _dg(c) for c in F8_BASE + eng}})
+
+
 # ----------------------------------------------------------------- A13 / A14 / T1 / T3
 
 def _scores_sql(src, feats, where=""):
@@ -314,6 +357,15 @@ def q_a16(spark, sf):
     return _rounded(r.select("feature", "composite", "rank"), {"composite": 9})
 
 
+@register("g10_feature_top_lists")
+def q_g10(spark, sf):
+    """Top-10 lists by |correlation|, mutual information, F (p < 0.05
+    only) and the composite. The p-value filter needs the F distribution,
+    which the SQL oracle side lacks, so this is checked by rows only; each
+    list's scores are checked by A13/A15/A16."""
+    return _rounded(SE.top_lists(_panel(spark, sf), FEATS, "y", n=10), {"score": 9})
+
+
 # ----------------------------------------------------------------- F9 / K12 / K7 / K1 (rows only)
 
 @register("f9_correlation_guided_features")

@@ -117,10 +117,14 @@ def q_m7(spark, sf):
     oracle. Tweedie uses linkPower 0 (Spark ignores link='log' there).
     Gamma and log links need a positive label, so cells with y = 0 (they
     occur at the smallest scale) are not part of the fit."""
+    return _glm_group_means(spark, sf, GLMS)
+
+
+def _glm_group_means(spark, sf, glms):
     p, dums = _segment_dummies(_panel(spark, sf).where(F.col("y") > 0))
     p = p.cache()
     out = None
-    for name, params in GLMS:
+    for name, params in glms:
         fm = M.fit_model(M.ModelSpec(name, "glm", params), p, dums, "y")
         if fm.fallback:
             raise RuntimeError(f"{name} fell back: {fm.fallback}")
@@ -130,6 +134,18 @@ def q_m7(spark, sf):
     return _rounded(out.select("model", "series_id", "prediction"), {"prediction": 9})
 
 
+M8_GLMS = [("GLM_Gamma_Identity", {"family": "gamma", "link": "identity"})]
+
+
+@register("m8_glm_gamma_identity", with_panel(
+    "SELECT 'GLM_Gamma_Identity' AS model, series_id, " + R("avg(y)", 9)
+    + " AS prediction FROM panel WHERE y > 0 GROUP BY series_id"))
+def q_m8(spark, sf):
+    """M8: Gamma GLM with the identity link; with segment dummies it fits
+    each segment's mean, so avg(y) per segment is the exact oracle."""
+    return _glm_group_means(spark, sf, M8_GLMS)
+
+
 # ----------------------------------------------------------------- V1 / V2
 
 def _folds_sql(k):
@@ -225,6 +241,22 @@ def q_g1(spark, sf):
                      "actual_min": 10, "actual_max": 10})
 
 
+@register("g8_actual_vs_predicted", with_panel(f"""
+SELECT series_id, period, {R('y', 10)} AS actual, {R('p', 10)} AS predicted FROM (
+  SELECT series_id, period, y,
+         regr_intercept(y, ret_share) OVER () + regr_slope(y, ret_share) OVER () * ret_share AS p
+  FROM panel) t"""))
+def q_g8(spark, sf):
+    """The target over time beside the model's prediction, per series
+    (the data behind the actual-vs-predicted line plots), ordered by series
+    and period."""
+    p = _panel(spark, sf)
+    fm = M.fit_model(M.ModelSpec("Linear Regression", "linear"), p, ["ret_share"], "y")
+    out = fm.transform(p).select("series_id", "period", F.col("y").alias("actual"),
+                                 F.col("prediction").alias("predicted"))
+    return _rounded(out, {"actual": 10, "predicted": 10}).orderBy("series_id", "period")
+
+
 def _one_row(a, b):
     """Side-by-side of two one-row aggregates (values of the second inlined)."""
     r = b.first().asDict()

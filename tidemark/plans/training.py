@@ -131,6 +131,21 @@ def engineer_training_set(df: DataFrame, cfg: TrainConfig):
     return d, base, cand, med
 
 
+def feature_flow_with_dummies(df: DataFrame, base_features: list, dummies: list, lags, windows,
+                              series, order, medians: dict | None = None):
+    """F8: lag / rolling columns for the base features only (dummy and flag
+    columns are never lagged); dummies null -> 0 and never median-filled;
+    base and engineered columns filled with medians (the training medians
+    when given, else the frame's exact medians, one aggregate). Returns
+    (frame, engineered names, medians used)."""
+    x = W.add_lag_roll(df, base_features, lags, windows, series=series, order=order)
+    eng = [c for c in x.columns if c not in df.columns]
+    x = x.fillna(0, subset=list(dummies)) if dummies else x
+    imp = (FE.FittedImputer(dict(medians), "median") if medians is not None
+           else FE.fit_imputer(x, list(base_features) + eng, "median"))
+    return imp.transform(x), eng, imp.values
+
+
 def train(df: DataFrame, cfg: TrainConfig, specs: list[ModelSpec], parallelism: int = 4) -> Predictor:
     """The whole training flow. The engineered training set is cut from
     its lineage once (reliable checkpoint) before the many CV jobs."""
