@@ -357,6 +357,84 @@ def q_a16(spark, sf):
     return _rounded(r.select("feature", "composite", "rank"), {"composite": 9})
 
 
+# ----------------------------------------------------------------- A6 / K9 / K11
+
+@register("a6_training_feature_stats", with_panel(_union([
+    f"SELECT '{c}' AS feature, {R(f'avg({c})', _DSC[c])} AS mean, {R(f'stddev_samp({c})', _DSC[c])} AS std, "
+    f"{R(f'CAST(min({c}) AS DOUBLE)', _DSC[c])} AS min, {R(f'CAST(max({c}) AS DOUBLE)', _DSC[c])} AS max "
+    f"FROM panel WHERE period < {CUTOFF}" for c in COLS])))
+def q_a6(spark, sf):
+    """Mean, sample std, min and max per feature on the training block
+    (kept with the model for the A22 drift check). One aggregate."""
+    from ..operators import profile as PR
+    st = PR.fit_feature_stats(_panel(spark, sf).where(F.col("period") < CUTOFF), COLS)
+    return _rounded_by_feature(st, ["mean", "std", "min", "max"])
+
+
+def _rounded_by_feature(d, stats):
+    """Round each stat with the digits of the row's feature (long table)."""
+    e = None
+    for c in COLS:
+        e = (F.when(F.col("feature") == c, F.lit(_DSC[c])) if e is None
+             else e.when(F.col("feature") == c, F.lit(_DSC[c])))
+    d = d.withColumn("_dg", e)
+    out = {}
+    for m in stats:
+        sc = F.pow(F.lit(10.0), F.col("_dg"))
+        out[m] = F.round(F.col(m).cast("double") * sc, 0) / sc + F.lit(0.0)
+    return d.withColumns(out).drop("_dg")
+
+
+K9_COLS, K9_WIN = ["ret_share", "y"], 6
+
+
+def _k9_sql():
+    w = f"(PARTITION BY series_id ORDER BY period ROWS BETWEEN {K9_WIN - 1} PRECEDING AND CURRENT ROW)"
+    e = []
+    for c in K9_COLS:
+        m1, m2 = f"avg({c}) OVER {w}", f"avg({c} * {c}) OVER {w}"
+        m3, m4 = f"avg({c} * {c} * {c}) OVER {w}", f"avg({c} * {c} * {c} * {c}) OVER {w}"
+        v = f"({m2} - {m1} * {m1})"
+        c3 = f"({m3} - 3 * {m1} * {m2} + 2 * {m1} * {m1} * {m1})"
+        c4 = f"({m4} - 4 * {m1} * {m3} + 6 * {m1} * {m1} * {m2} - 3 * {m1} * {m1} * {m1} * {m1})"
+        full = f"count({c}) OVER {w} = {K9_WIN}"
+        e.append(R(f"CASE WHEN {full} THEN {c3} / power({v}, 1.5) END", 5) + f" AS {c}_roll_skew_{K9_WIN}")
+        e.append(R(f"CASE WHEN {full} THEN {c4} / ({v} * {v}) - 3 END", 4) + f" AS {c}_roll_kurt_{K9_WIN}")
+    return with_panel(f"SELECT series_id, period, {', '.join(e)} FROM panel")
+
+
+@register("k9_rolling_moments", _k9_sql())
+def q_k9(spark, sf):
+    """K9: rolling population skewness and excess kurtosis over complete
+    windows of 6 months per series (windowed ``skewness`` / ``kurtosis``).
+    The oracle rebuilds them from raw moments, so they agree to about 5
+    significant digits."""
+    out = FE.rolling_moments(_panel(spark, sf), K9_COLS, K9_WIN, series="series_id", order="period")
+    names = [f"{c}_roll_{m}_{K9_WIN}" for c in K9_COLS for m in ("skew", "kurt")]
+    return _rounded(out.select("series_id", "period", *names),
+                    {n: (5 if "_skew_" in n else 4) for n in names})
+
+
+K11_COLS, K11_PERIODS = ["ret_share", "avg_qty"], (3, 12)
+
+
+@register("k11_seasonal_features", with_panel("SELECT series_id, period, " + ", ".join(
+    [f"{R(f'{c} - lag({c}, {p}) OVER (PARTITION BY series_id ORDER BY period)', _DSC[c])} AS {c}_sdiff_{p}"
+     for p in K11_PERIODS for c in K11_COLS]
+    + [f"{R(f'sin(2 * pi() / {p} * ((period % 100) % {p}))', 9)} AS sin_{p}, "
+       f"{R(f'cos(2 * pi() / {p} * ((period % 100) % {p}))', 9)} AS cos_{p}" for p in K11_PERIODS])
+    + " FROM panel"))
+def q_k11(spark, sf):
+    """Seasonal differences x - lag(x, p) per series and sin / cos of
+    the month phase for p = 3 and 12."""
+    p = _panel(spark, sf).withColumn("month", F.col("period") % 100)
+    out = FE.seasonal_features(p, K11_COLS, K11_PERIODS, "month", series="series_id", order="period")
+    names = [f"{c}_sdiff_{q}" for q in K11_PERIODS for c in K11_COLS]
+    trig = [f"{f}_{q}" for q in K11_PERIODS for f in ("sin", "cos")]
+    return _rounded(out.select("series_id", "period", *names, *trig),
+                    {**{n: _DSC[n.split("_sdiff_")[0]] for n in names}, **{t: 9 for t in trig}})
+
+
 @register("g10_feature_top_lists")
 def q_g10(spark, sf):
     """Top-10 lists by |correlation|, mutual information, F (p < 0.05

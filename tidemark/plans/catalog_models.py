@@ -93,6 +93,34 @@ def q_m3(spark, sf):
                     {"intercept": 5, "coef": 5})
 
 
+ENET_GRID = [(a, l1) for a in (0.1, 1.0) for l1 in (0.1, 0.5, 0.9)]
+
+
+@register("m4_elastic_net_lineitem", """
+SELECT alpha, l1_ratio, """ + R("my - b * mx", 5) + " AS intercept, " + R("b", 5) + """ AS coef FROM (
+  SELECT alpha, l1_ratio, avg(l_extendedprice / 1000) AS my, avg(l_quantity) AS mx,
+         sign(covar_pop(l_extendedprice / 1000, l_quantity))
+           * greatest(abs(covar_pop(l_extendedprice / 1000, l_quantity)) - alpha * l1_ratio, 0)
+           / (var_pop(l_quantity) + alpha * (1 - l1_ratio)) AS b
+  FROM lineitem, (VALUES """ + ", ".join(f"({a}::DOUBLE, {l1}::DOUBLE)" for a, l1 in ENET_GRID)
+    + """) v(alpha, l1_ratio)
+  GROUP BY alpha, l1_ratio) t""")
+def q_m4(spark, sf):
+    """M4 elastic net over every lineitem row, grid alpha x l1_ratio, in
+    scikit-learn's parameterisation (converted in ``fit_model``); oracle:
+    the one-feature closed form soft(cov, alpha*l1) / (var + alpha*(1-l1))."""
+    li = P.lineitem_frame(spark, sf).select(
+        (F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity").cache()
+    rows = []
+    for a, l1 in ENET_GRID:
+        fm = M.fit_model(M.ModelSpec("Elastic Net", "enet", {"alpha": a, "l1_ratio": l1}), li,
+                         ["l_quantity"], "price_k")
+        rows.append((a, l1, float(fm.model.intercept), float(fm.model.coefficients[0])))
+    li.unpersist()
+    return _rounded(spark.createDataFrame(rows, "alpha double, l1_ratio double, intercept double, "
+                                                "coef double"), {"intercept": 5, "coef": 5})
+
+
 # ----------------------------------------------------------------- M7-M10 (group-mean oracle)
 
 GLMS = [("GLM_Gamma_Log", {"family": "gamma", "link": "log"}),
