@@ -16,7 +16,9 @@ from .conftest import SF_SMALL
 FAST = ["panel_month_segment", "w1_w2_lag_roll", "w1_w2_hot_series_halo", "a3_describe",
         "a7_corr_matrix", "a11_a12_target_profile", "p7_iqr_outliers", "u2_history_once_plus_futures",
         "f3_scoring_fill_chain", "t1_select_k_best", "a15_mutual_info_binned", "m2_ridge_panel",
-        "m7_m10_glm_group_means", "v3_t5_ridge_cv_comparison", "o4_scenario_scoring"]
+        "m7_m10_glm_group_means", "v3_t5_ridge_cv_comparison", "o4_scenario_scoring",
+        "f8_feature_flow_dummies", "m8_glm_gamma_identity", "g8_actual_vs_predicted",
+        "m4_elastic_net_lineitem", "k9_rolling_moments"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("TIDEMARK_ALL_ORACLES") else FAST
 
 
@@ -59,3 +61,18 @@ def test_entry_smoke(spark):
     out = E.entry(spark)
     assert out.count() > 0
     assert {"series_id", "period", "prediction", "confidence"} <= set(out.columns)
+
+
+def test_top_lists_shape(spark):
+    """At most 10 rows per list, ranks 1..n, F list only p < 0.05."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import selection as SE
+    from tidemark.sources import panels as P
+    p = P.month_segment_panel(spark, SF_SMALL)
+    t = SE.top_lists(p, P.PANEL_FEATURES, "y", n=3)
+    per = {r["list"]: r["n"] for r in t.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    assert set(per) <= {"correlation", "mutual_info", "f_test", "composite"}
+    assert per["correlation"] == 3 and per["composite"] == 3
+    ranks = t.where(F.col("list") == "correlation").orderBy("rank").collect()
+    assert [r["rank"] for r in ranks] == [1, 2, 3]
+    assert ranks[0]["score"] >= ranks[1]["score"] >= ranks[2]["score"]
