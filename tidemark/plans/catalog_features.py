@@ -435,6 +435,20 @@ def q_k11(spark, sf):
                     {**{n: _DSC[n.split("_sdiff_")[0]] for n in names}, **{t: 9 for t in trig}})
 
 
+@register("k6_isolation_forest_lineitem")
+def q_k6(spark, sf):
+    """K6: isolation-forest score of every lineitem row on quantity, price,
+    discount and tax (100 trees of 256 sampled rows, hash-sampled, grown per
+    tree in ``applyInPandas``, broadcast and scored in Arrow batches).
+    Random trees have no SQL oracle; tests check a planted outlier."""
+    from ..operators import iforest as IF
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = P.lineitem_frame(spark, sf).select("l_orderkey", "l_linenumber", *cols)
+    model = IF.fit_isolation_forest(li, cols, n_trees=100, sample_size=256, seed=42)
+    return model.transform(li).select("l_orderkey", "l_linenumber", rnd("anomaly_score", 9)
+                                      .alias("anomaly_score"), "is_outlier")
+
+
 @register("g10_feature_top_lists")
 def q_g10(spark, sf):
     """Top-10 lists by |correlation|, mutual information, F (p < 0.05
