@@ -149,16 +149,25 @@ def q_m7(spark, sf):
 
 
 def _glm_group_means(spark, sf, glms):
-    p, dums = _segment_dummies(_panel(spark, sf).where(F.col("y") > 0))
-    p = p.cache()
-    out = None
-    for name, params in glms:
+    # build the panel once: the dummy levels and every fit read this cache
+    base = _panel(spark, sf).where(F.col("y") > 0).cache()
+    base.count()
+    p, dums = _segment_dummies(base)
+
+    def fit(item):
+        name, params = item
         fm = M.fit_model(M.ModelSpec(name, "glm", params), p, dums, "y")
         if fm.fallback:
             raise RuntimeError(f"{name} fell back: {fm.fallback}")
-        pr = (fm.transform(p).groupBy("series_id").agg(F.avg("prediction").alias("prediction"))
-              .withColumn("model", F.lit(name)))
-        out = pr if out is None else out.unionByName(pr)
+        return (fm.transform(p).groupBy("series_id").agg(F.avg("prediction").alias("prediction"))
+                .withColumn("model", F.lit(name)))
+    # the fits are independent Spark jobs on one cached frame: run them side by side
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(4, len(glms))) as ex:
+        parts = list(ex.map(fit, glms))
+    out = parts[0]
+    for pr in parts[1:]:
+        out = out.unionByName(pr)
     return _rounded(out.select("model", "series_id", "prediction"), {"prediction": 9})
 
 
