@@ -117,3 +117,26 @@ def test_isolation_forest_finds_planted_outlier_and_is_repeatable(spark):
     assert a == b
     with_null = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert m.transform(with_null).first()["anomaly_score"] is None
+
+
+def test_tfidf_terms_against_brute_force(spark):
+    """Exact-vocabulary tf-idf equals a hand computation (Spark's
+    smoothed idf, min_df 2, tokens of 2+ word characters, lower-cased)."""
+    import math
+    import re
+    from tidemark.operators import features as FE
+    texts = {1: "The cat sat. The cat ran!", 2: "A dog ran; the DOG sat", 3: "", 4: "x y z"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in FE.tfidf_doc_summary(df).collect()}
+    toks = {d: [t for t in re.split(r"\W+", s.lower()) if len(t) >= 2] for d, s in texts.items()}
+    dfreq = {}
+    for ts in toks.values():
+        for t in set(ts):
+            dfreq[t] = dfreq.get(t, 0) + 1
+    n = len(texts)
+    for d, ts in toks.items():
+        w = {t: ts.count(t) * (math.log((n + 1) / (dfreq[t] + 1)) if dfreq[t] >= 2 else 0.0)
+             for t in set(ts)}
+        assert got[d]["n_tokens"] == len(ts)
+        assert got[d]["n_terms"] == sum(1 for v in w.values() if v > 0)
+        assert abs(got[d]["tfidf_l2"] - math.sqrt(sum(v * v for v in w.values()))) < 1e-12

@@ -325,3 +325,40 @@ def text_features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                   IDF(inputCol="_tf", outputCol="text_vec", minDocFreq=min_df)]
     model = Pipeline(stages=stages).fit(docs.select(id_col, text_col))
     return model, model.transform(docs.select(id_col, text_col))
+
+
+def tfidf_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                min_df: int = 2) -> DataFrame:
+    """K10 as DataFrame operations with an exact vocabulary: tokens of the
+    whole lower-cased text split on non-word characters (the tokenizer
+    rule of ``text_features``: ``\\W+``, tokens of 2+ characters), term
+    frequency per (doc, term), document frequency per term (partial
+    aggregate before the shuffle, so a term present in every document is
+    a counter, not a hot group) and Spark's smoothed idf
+    ``ln((n + 1) / (df + 1))``, 0 below ``min_df``. The join of the
+    (doc, term) rows with the per-term table is a shuffle join on the term;
+    AQE's skew handling splits the partition of a very common term. The
+    document count is one scalar, inlined as a literal."""
+    tok = (docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\W+")).alias("term"))
+           .where(F.length("term") >= 2))
+    tf = tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.count()
+    dfq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.when(F.col("df") >= min_df, F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0)))) \
+        .otherwise(F.lit(0.0))
+    return (tf.join(dfq, "term").withColumn("idf", idf)
+            .withColumn("tfidf", F.col("tf") * F.col("idf")))
+
+
+def tfidf_doc_summary(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                      min_df: int = 2) -> DataFrame:
+    """Per document: token count, number of terms with a non-zero weight and
+    the L2 norm of the tf-idf vector (documents without tokens give 0)."""
+    t = tfidf_terms(docs, text_col, id_col, min_df)
+    s = t.groupBy(id_col).agg(F.sum("tf").alias("n_tokens"),
+                              F.count_if(F.col("idf") > 0).alias("n_terms"),
+                              F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("tfidf_l2"))
+    return (docs.select(id_col).join(s, id_col, "left")
+            .select(id_col, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+                    F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"),
+                    F.coalesce("tfidf_l2", F.lit(0.0)).alias("tfidf_l2")))

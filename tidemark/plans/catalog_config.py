@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
+from ..functions.exprs import rnd
 from ..operators import features as FE
 from ..operators import models as M
 from ..sources.tables import read_table
@@ -108,3 +109,24 @@ def q_k10(spark, sf):
     return o.select("doc_id", F.size("_tokens").alias("n_tokens"),
                     F.expr("size(filter(_arr, x -> x != 0))").alias("n_terms"),
                     F.sqrt(F.aggregate("_arr", F.lit(0.0), lambda a, v: a + v * v)).alias("tfidf_l2"))
+
+
+@register("k10_tfidf_doc_summary", r"""
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\W+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE length(term) >= 2 GROUP BY doc_id, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT tf.doc_id, tf.tf,
+             CASE WHEN dfq.df >= 2 THEN ln((n.n + 1.0) / (dfq.df + 1.0)) ELSE 0.0 END AS idf
+      FROM tf JOIN dfq USING (term), (SELECT count(*) AS n FROM documents) n),
+s AS (SELECT doc_id, sum(tf) AS n_tokens, count(*) FILTER (WHERE idf > 0) AS n_terms,
+             sqrt(sum(tf * idf * tf * idf)) AS tfidf_l2 FROM w GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(s.n_tokens, 0) AS BIGINT) AS n_tokens,
+       CAST(coalesce(s.n_terms, 0) AS BIGINT) AS n_terms,
+       (round(CAST(coalesce(s.tfidf_l2, 0.0) AS DOUBLE), 8) + CAST(0 AS DOUBLE)) AS tfidf_l2
+FROM documents d LEFT JOIN s USING (doc_id)""")
+def q_k10_terms(spark, sf):
+    """K10 tf-idf with an exact vocabulary as joins and aggregates over
+    every document's whole text; per-document summary."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    out = FE.tfidf_doc_summary(docs)
+    return out.withColumn("tfidf_l2", rnd("tfidf_l2", 8))
