@@ -179,7 +179,9 @@ def select_k_best(df: DataFrame, features: Sequence[str], target: str,
     features = list(features)
     if not features:
         raise ValueError("no features available after feature engineering")
-    scores = univariate_scores(df, features, target)
+    # one row per feature: cached, so the top-k pick and the caller's read of
+    # the scores share one pass over the data
+    scores = univariate_scores(df, features, target).cache()
     if k is None:
         n = df.count()
         k = harrell_k(n, len(features))
