@@ -63,3 +63,46 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, total: int)
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+class Memory:
+    """A bounded dict for one Python worker: two generations of up to ``limit``
+    entries; the older one goes when the younger is full, so that what is seen
+    often stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def have(self, keys) -> tuple[dict, list]:
+        """(what is known of the keys, the distinct keys that are not)."""
+        young, old, known, missing = self.young, self.old, {}, []
+        for k in set(keys):
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                young[k] = v
+            known[k] = v
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
+        return known, missing
+
+    def add(self, items: dict) -> None:
+        self.young.update(items)
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+
+def slices(batches, column: str, size: int = 8_000_000):
+    """Arrow batches joined to tables whose texts have about ``size`` characters."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import read_table
-from . import exact_dedup
+from . import bpe, exact_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +32,24 @@ FROM (SELECT doc_id, {_NORM} AS t FROM documents)
 WINDOW w AS (PARTITION BY t)""")
 def op5(spark, sf_dir):
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, installed beside Python's libraries on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op4_token_counts")
+def op4(spark, sf_dir):
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                     vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+@register("op9_byte_bpe")
+def op9(spark, sf_dir):
+    import public_tokenizers
+    got = bpe.encode(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                     vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
