@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, token_counts
+from . import bpe, exact_dedup, packing, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op9(spark, sf_dir):
                      vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                        vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
