@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, packing, token_counts
+from . import bpe, exact_dedup, packing, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,11 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
                         vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+SHINGLE, BITS = 4, 4
+
+
+@register("op10_simhash_near_dedup")
+def op10(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), SHINGLE, BITS)
