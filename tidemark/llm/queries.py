@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, packing, simhash, token_counts
+from . import bpe, exact_dedup, packing, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,9 @@ SHINGLE, BITS = 4, 4
 @register("op10_simhash_near_dedup")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), SHINGLE, BITS)
+
+
+@register("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                    read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
