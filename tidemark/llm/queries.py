@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, packing, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, html_text, packing, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op10(spark, sf_dir):
 def op1(spark, sf_dir):
     return toxicity.score_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
                                     read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
+@register("op7_html_extraction")
+def op7(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
