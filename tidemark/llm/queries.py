@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, html_text, packing, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, html_text, packing, simhash, token_counts, topk_search, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,15 @@ def op1(spark, sf_dir):
 @register("op7_html_extraction")
 def op7(spark, sf_dir):
     return html_text.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+@register("op3_topk_search", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op3(spark, sf_dir):
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("id") % 50 == 0, k=5)
