@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, html_text, packing, simhash, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, html_text, packing, secrets, simhash, token_counts, topk_search, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def op3(spark, sf_dir):
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("id") % 50 == 0, k=5)
+
+
+@register("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secrets.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
