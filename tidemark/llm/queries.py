@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, html_text, packing, secrets, simhash, token_counts, topk_search, toxicity
+from . import (bpe, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
+               topk_search, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +96,35 @@ def op3(spark, sf_dir):
 @register("op8_secret_scan")
 def op8(spark, sf_dir):
     return secrets.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@register("op2_language_id")
+def op2(spark, sf_dir):
+    return language_id.identify(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]),
+                                read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+# ------------------------------------------------------------ the pipeline
+
+def stage_toxicity(spark, docs, sf_dir):
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
+def stage_exact_dedup(spark, docs, sf_dir):
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def stage_simhash(spark, docs, sf_dir):
+    return simhash.drop_near_copies(docs, SHINGLE, BITS)
+
+
+def stage_secrets(spark, docs, sf_dir):
+    return secrets.redact(docs)
+
+
+def stage_packing(spark, docs, sf_dir):
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+STAGES += [("toxicity", stage_toxicity), ("exact_dedup", stage_exact_dedup), ("simhash_near_dedup", stage_simhash),
+           ("secret_scan", stage_secrets), ("best_fit_packing", stage_packing)]
