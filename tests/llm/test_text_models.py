@@ -1,0 +1,204 @@
+"""Toxicity, HTML text, language and secrets on small tables."""
+
+import itertools
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import html_text, language_id, secrets, topk_search, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+# ------------------------------------------------------------- toxicity
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        n = int(rng.integers(1, 9))
+        em, move, begin = rng.normal(0, 2, n), np.exp(rng.normal(0, 1, (2, 2))), math.exp(rng.normal())
+        first = rng.random(n) < 0.3
+        first[0] = True
+        total, want = 0.0, np.zeros(n)
+        for s in itertools.product((0, 1), repeat=n):
+            w = 1.0
+            for t in range(n):
+                w *= math.exp(em[t] * s[t]) * ((begin if s[t] else 1.0) if first[t] else move[s[t - 1], s[t]])
+            total, want = total + w, want + w * np.array(s)
+        assert np.allclose(toxicity.marginals(em, first, move, begin)[0], want / total)
+
+
+def test_held_out_documents(spark):
+    """Only rows with remainder 0 and 2 are learnt from; the rest are mostly told apart."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.score_documents(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels)
+    rows = got.where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").select("score", "predicted", "toxic").collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.7
+    assert sum(r["predicted"] for r in clean) / len(clean) < 0.01
+    order = np.mean([(a["score"] > b["score"]) + 0.5 * (a["score"] == b["score"]) for a in toxic for b in clean])
+    assert order > 0.93
+
+
+def test_toxicity_edge_cases(spark):
+    words = ["calm", "river", "stone", "light", "window", "garden", "paper"]
+    rng = np.random.default_rng(1)
+    train = [(i, " ".join(rng.choice(words, 30)) + (" vilest" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t, _ in train] + [
+        (1000, None, "a", "b"), (1001, "", "a", "b"), (None, "calm vilest river", "a", "b"), (1002, "calm " * 80_000 + "vilest", "a", "b"),
+        (1003, "a vilest b", "a", "b"), (1003, "a vilest b", "a", "b"), (1004, "!!! ...", "a", "b")],
+        "doc_id long, text string, score string, spans string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in train] + [(None, 1), (5, None), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 307
+    by = {r["doc_id"]: r for r in got}
+    assert by[1000]["spans"] == by[1001]["spans"] == by[1004]["spans"] == []
+    assert by[1000]["predicted"] == by[1004]["predicted"] == 0 and by[None]["predicted"] == 1 and not by[None]["held_out"]
+    assert by[1002]["predicted"] == 1 and [(s["start"], s["end"]) for s in by[1002]["spans"]] == [(400_000, 400_006)]
+    assert sum(r["doc_id"] == 1003 and r["predicted"] == 1 for r in got) == 2
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, y in train if not y} | {1000, 1001, 1004}
+    none = toxicity.score_documents(docs, labels.where("false")).collect()
+    assert {r["score"] for r in none} == {0.0} and len(none) == 307
+    assert toxicity.score_documents(docs.where("false"), labels).collect() == []
+
+
+# ------------------------------------------------------------------ html
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("<nav>x", ""), ("<div>a < b and c</div>", "a < b and c"),
+    ("<html><head><title>t</title></head><body><header><a href='/'>Site</a></header><nav><ul><li>Menu one</li></ul></nav>"
+     "<article><header><h1>Head&nbsp;line</h1></header><p>One  <b>bold</b>\n word.</p><aside><p>Other news</p></aside><p>Be.</p>"
+     "<div class='ad'>Buy</div><p>Last &lt;one&gt; &#8364;.</p><script>if (a < b) { x('</p>') }</script></article>"
+     "<section id='comments'><p>First!</p></section><footer>&copy;</footer></body></html>",
+     "Head line\nOne bold word.\nBe.\nLast <one> €."),
+    ("<body><div id=\"header\">Site</div><div class=\"content\"><p>Hello &amp; <i>bye</i> my friend, this is text.</p><p>Short.</p>"
+     "<form><input><label>Mail</label></form><p>Second paragraph of the text, longer than the first one.</p></div>"
+     "<div class='cookie-notice'><p>We use cookies on this site, as every site does, please agree to them.</p></div>",
+     "Hello & bye my friend, this is text.\nShort.\nSecond paragraph of the text, longer than the first one."),
+    ("<article>a<!-- <p>no</p> -->b<style>p{}</style><br>c<ul><li>d<li>e</ul><table><tr><td>f<td>g</table></article>", "a b\nc\nd\ne\nf\ng"),
+])
+def test_main_text(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_rows(spark):
+    long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "c"), (1, "u", "<p>x</p>", "c"), (None, None, None, "c"), (3, "v", long, "c")],
+                               "page_id long, url string, html string, text string")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in got.collect()) == [(0, "", 0), (1, "u", 1), (1, "u", 1), (3, "v", 99_999)]
+    assert html_text.extract(df.where("false")).collect() == []
+
+
+# -------------------------------------------------------------- language
+
+def test_language_follows_the_evidence(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["lang"]: r["t"] for r in docs.where("length(text) > 300").groupBy("lang").agg(F.min(F.substring("text", 1, 300)).alias("t")).collect()}
+    rows = [(i, f"https://www.{x}{i % 3}.example.{x}/p", f"<html lang='{x}'><body><p>{text[x]}</p></body></html>", "c", 1)
+            for i, x in enumerate(["de", "en", "es", "fr"] * 10)]
+    rows += [(100, "https://www.de1.example.de/q", "<html><body></body></html>", "c", 1),       # host alone
+             (101, "not an address", f"<html lang=de><p>{text['fr']}</p>", "c", 1),              # text beats declaration
+             (102, None, None, "c", 1), (None, rows[0][1], rows[0][2], "c", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string, p int")
+    got = {r["page_id"]: r for r in language_id.identify(pages, docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["lang"] == x for i, x in enumerate(["de", "en", "es", "fr"] * 10))
+    assert got[100]["lang"] == "de" and got[100]["host"] == "www.de1.example.de"
+    assert got[101]["lang"] == "fr" and got[101]["host"] == "" and got[101]["declared"] == "de"
+    assert got[None]["lang"] == "de" and 0 < got[102]["confidence"] <= 1
+    assert language_id.identify(pages.where("false"), docs).collect() == []
+    assert {r["lang"] for r in language_id.identify(pages, docs.where("false")).collect()} == {None}
+
+
+def test_host_prior_equals_hand_count(spark):
+    """Two hosts of one domain, by the formula of the docstring."""
+    docs = spark.createDataFrame([(i, "aaa bbb aaa" if i % 2 else "xxx yyy xxx", "la" if i % 2 else "lx") for i in range(20)],
+                                 "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://h1.d.org/", "<p>aaa bbb"), (2, "http://h1.d.org/", "<p>aaa"), (3, "http://h2.d.org/", "<p>yyy"),
+                                   (4, "http://h1.d.org/", "")], "page_id long, url string, html string")
+    names, table = language_id.train(docs)
+    ll = {r["page_id"]: np.array(r["ll"]) for r in language_id.text_evidence(pages, names, table, "page_id", "url", "html").collect()}
+    p = {i: np.exp(v) / np.exp(v).sum() for i, v in ll.items()}
+    everything = sum(p.values())
+    prior = (everything + 1) / (4 + 2)
+    for group in ([1, 2, 3], [1, 2, 3], [1, 2]):                # suffix, domain, host, without page 4 itself
+        prior = (sum(p[i] for i in group) + language_id.KAPPA * prior) / (len(group) + language_id.KAPPA)
+    kinds = 26 ** 2 + 26 ** 3 + 1
+    z = ll[4] + np.log((everything + 0.5) / (everything + 0.5 * kinds)) + np.log(prior)
+    want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    got = {r["page_id"]: r for r in language_id.identify(pages, docs).collect()}[4]
+    assert got["lang"] == names[int(want.argmax())] and abs(got["confidence"] - want.max()) < 1e-5
+
+
+# --------------------------------------------------------------- secrets
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_secrets_found_placed_and_masked(spark):
+    rows = [(1, f'start token = "{KEY}" end', 1), (2, "card 4929348385146306 is mine", 1), (3, None, None), (4, "", 0),
+            (5, f"é {KEY} api_key='{KEY[::-1]}'\n{KEY}", 1), (None, f'secret: "{KEY}"', 1), (1, f'start token = "{KEY}" end', 1),
+            (6, "x" * 100_000 + f' password="{KEY}"', 1), (7, "see https://host.example/articles/2021-05-17/archive-all now", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("run", F.lit("clash"))
+    got = secrets.scan(df).collect()
+    texts = {i: t for i, t, _ in rows}
+    assert all(texts[r["doc_id"]][r["start"]:r["start"] + r["length"]] == r["run"] for r in got)
+    assert sum(r["doc_id"] == 1 and r["is_secret"] for r in got) == 2
+    assert {r["doc_id"] for r in got if r["is_secret"]} >= {1, 6, None, 5}
+    assert not any(r["is_secret"] for r in got if r["doc_id"] in (2, 7))
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert by[1]["text"] == f'start token = "{secrets.MASK}" end' and by[1]["n_chars"] == len(by[1]["text"])
+    assert by[2]["text"] == rows[1][1] and by[3]["text"] is None and KEY not in by[6]["text"]
+    assert secrets.scan(df.where("false")).collect() == [] and secrets.redact(df.where("false")).collect() == []
+
+
+# ----------------------------------------------------------------- top k
+
+def test_block_search_equals_sorting():
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        n, d, m, k = (int(rng.integers(a, b)) for a, b in ((1, 300), (1, 9), (1, 20), (1, 7)))
+        big = 10 ** int(rng.integers(0, 8))
+        v = rng.integers(-big, big + 1, (n, d))
+        if trial % 3 == 0:
+            v[:n // 2] = v[0]
+        if trial % 4 == 0:
+            v = (v * np.exp(rng.normal(0, 2, (n, 1)))).astype(np.int64)
+        ids = rng.permutation(n).astype(np.int64)
+        asked = np.unique(rng.integers(0, n, m))
+        q = v[[int(np.flatnonzero(ids == i)[0]) for i in asked]]
+        got = {}
+        for a, b, s in topk_search.search_block(asked, q, ids, v, k):
+            got.setdefault(a, []).append((b, s))
+        for i, x in zip(asked, q):
+            want = sorted((-int(x @ y), int(c)) for c, y in zip(ids, v) if c != i)[:k]
+            assert got.get(int(i), []) == [(c, -s) for s, c in want]
+
+
+def test_search_edge_cases(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 7)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [0.1 * (i % 4), -0.2 * (i % 3), 0.3]) for i in range(0, 60, 2)] + [
+        (50, [1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (101, None), (102, []), (103, [1.0, None, 2.0]), (104, [nan, 1.0, 1.0]),
+        (105, [inf, 0.0, 0.0]), (106, [1.0, 2.0]), (100, [3.0, 4.0]), (107, [9.0, 9.0, 9.0]), (107, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, score int")
+    got = topk_search.top_k(df, F.col("id") % 50 == 0, 4).collect()
+    ok = [(i, [math.floor(256 * c) for c in x]) for i, x in rows
+          if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    for q in (0, 100):
+        vec = next(x for i, x in ok if i == q)
+        want = sorted((-sum(a * b for a, b in zip(vec, x)), i) for i, x in ok if i != q and len(x) == len(vec))[:4]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    assert {r["query_id"] for r in got} == {0, 50, 100}
+    assert topk_search.top_k(df.where("false"), F.col("id") % 50 == 0, 4).collect() == []
