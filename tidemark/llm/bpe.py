@@ -23,6 +23,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,14 +134,16 @@ class Codec:
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         cut = [[s for s in segments(t) if s] for t in texts]
-        known, missing = self.words.have(s for ss in cut for s in ss)
-        split = {s: [s] if _ONE_WORD.fullmatch(s) else self.pattern.findall(s) for s in missing}
-        parts, new = self.words.have(w for ws in split.values() for w in ws)
-        parts.update(zip(new, self.replay([w.encode() for w in new])) if new else ())
-        learnt = {s: b"".join([parts[w] for w in ws]) for s, ws in split.items()}
-        self.words.add({w: parts[w] for w in new} | learnt)
-        known.update(learnt)
-        return [np.frombuffer(b"".join([known[s] for s in ss]), dtype="<u4") for ss in cut]
+        known = self.words.young
+        split = {s: [s] if _ONE_WORD.fullmatch(s) else self.pattern.findall(s)
+                 for s in self.words.need(chain.from_iterable(cut))}
+        new = self.words.need(chain.from_iterable(split.values()))
+        if new:
+            known.update(zip(new, self.replay([w.encode() for w in new])))
+        known.update([(s, b"".join([known[w] for w in ws])) for s, ws in split.items()])
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ss)), dtype="<u4") for ss in cut]
+        self.words.turn()
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, gathered from the vocabulary."""

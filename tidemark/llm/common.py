@@ -66,31 +66,26 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 class Memory:
-    """A bounded dict for one Python worker: two generations of up to ``limit``
-    entries; the older one goes when the younger is full, so that what is seen
-    often stays."""
+    """A bounded dict for one Python worker, in two generations: ``young`` holds what
+    the slice at hand needs; once it has ``limit`` entries it becomes the older
+    generation, from which what is seen again comes back."""
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def have(self, keys) -> tuple[dict, list]:
-        """(what is known of the keys, the distinct keys that are not)."""
-        young, old, known, missing = self.young, self.old, {}, []
-        for k in set(keys):
-            v = young.get(k)
+    def need(self, keys) -> list:
+        """The distinct keys that are not known; all others are in ``young`` afterwards."""
+        young, old, new = self.young, self.old, []
+        for k in set(keys).difference(young):
+            v = old.get(k)
             if v is None:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
+                new.append(k)
+            else:
                 young[k] = v
-            known[k] = v
-        if len(young) > self.limit:
-            self.young, self.old = {}, young
-        return known, missing
+        return new
 
-    def add(self, items: dict) -> None:
-        self.young.update(items)
+    def turn(self) -> None:
+        """To be called when a slice is done."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
 

@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,15 @@ WIDTH = 6
 BUCKET_ROWS = 200_000
 
 
+#: Letters that stay one letter when lower-cased: ASCII and U+00C0-U+00FF, in UTF-8.
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_LETTERS = re.compile(_LETTER + rb"+")
+
+
+def _one_word(w: bytes) -> bool:
+    return w.isalpha() or bool(_LETTERS.fullmatch(w))
+
+
 # ------------------------------------------------------------- token ids
 
 class Words:
@@ -56,29 +67,48 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = Memory(MEMO)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Words of plain letters are encoded as one text: each is one
+        unit for the tokenizer, whose last token (and no other) is an end-of-word token."""
         found = {}
-        for at in range(0, len(words), 2_000):
-            part = words[at:at + 2_000]
-            text = [w.decode() for w in part]
-            got = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-            begins = np.array([o[0] for o in got.offsets], dtype=np.int64)
-            stops = np.cumsum([len(w) + 1 for w in text])
-            ids = np.array(got.ids, dtype="<u4")
-            upto = np.searchsorted(begins, stops, side="left").tolist()
-            found.update((w, ids[i:j].tobytes()) for w, i, j in zip(part, [0, *upto], upto))
+        plain, rest = [], []
+        for w in words:
+            (plain if _one_word(w) else rest).append(w)
+        for at in range(0, len(plain), 5_000):
+            part = plain[at:at + 5_000]
+            ids = np.array(self._ids([b" ".join(part).decode()])[0], dtype="<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end words as this operator expects")
+            raw = ids.tobytes()
+            found.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        for at in range(0, len(rest), 5_000):
+            part = rest[at:at + 5_000]
+            found.update((w, np.array(i, dtype="<u4").tobytes()) for w, i in zip(part, self._ids([w.decode() for w in part])))
         return found
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode_texts(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """Little-endian 32-bit ids of every text with the end id behind."""
-        cut = [t.split() for t in texts]            # ASCII white space only
-        known, new = self.memory.have(w for ws in cut for w in ws)
-        learnt = self._encode(new)
-        self.memory.add(learnt)
-        known.update(learnt)
+        """Little-endian 32-bit ids of every text with the end id behind. The tokenizer
+        lower-cases everything but its special strings, so A-Z may be lower-cased first."""
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]            # ASCII white space only
+        new = self.memory.need(chain.from_iterable(cut))
+        known = self.memory.young
+        # a stop or comma after a letter is a unit of its own
+        ended = [w for w in new if w[-1:] in (b".", b",") and _one_word(w[:-1])]
+        whole = set(new).difference(ended)
+        known.update(self._encode([*whole, *self.memory.need(x for w in ended for x in (w[:-1], w[-1:]) if x not in whole)]))
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in ended])
         end = np.array([end_id], dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) + end for ws in cut]
+        out = [b"".join(map(known.__getitem__, ws)) + end for ws in cut]
+        self.memory.turn()
+        return out
 
 
 _WORDS: dict[str, Words] = {}

@@ -118,12 +118,13 @@ class Counter:
     def count_texts(self, texts: list[str], chunk: int, overlap: int) -> list[tuple[int, int]]:
         sizes = [len(t.encode()) for t in texts]
         cut = [segments(t) if n <= chunk else None for t, n in zip(texts, sizes)]
-        known, new = self.counts.have(s for ss in cut if ss for s in ss)
-        learnt = self._count_pieces(new)
-        self.counts.add(learnt)
-        known.update(learnt)
-        return [(n, count_spliced(t.encode(), self.ends_of, chunk, overlap) if ss is None
-                 else sum(map(known.__getitem__, ss))) for t, n, ss in zip(texts, sizes, cut)]
+        new = self.counts.need(s for ss in cut if ss for s in ss)
+        known = self.counts.young
+        known.update(self._count_pieces(new))
+        out = [(n, count_spliced(t.encode(), self.ends_of, chunk, overlap) if ss is None
+                else sum(map(known.__getitem__, ss))) for t, n, ss in zip(texts, sizes, cut)]
+        self.counts.turn()
+        return out
 
 
 _COUNTERS: dict[str, Counter] = {}

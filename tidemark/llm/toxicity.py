@@ -11,12 +11,12 @@ on the conditional likelihood, with forward-backward marginals as expectations.
 Scoring tags every token of the whole text: forward-backward gives each token's
 marginal; tokens of 0.5 or more are the offending spans, and a document's largest
 marginal and expected number of toxic tokens go through a logistic map, fitted on
-sampled documents that the chain has not seen, to a score. The text is the only
+sampled documents that the tagging chain has not seen, to a score. The text is the only
 input of a score.
 
 Defined results: null and empty texts have no spans and the score of a document
 without a toxic token; null ids are scored, too, and never learnt from; repeated
-rows stay; without labelled documents of both kinds every score is 0.
+rows stay; with fewer than ``2 * FOLDS`` labelled documents of either kind every score is 0.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import types as T
 
 from .common import Memory, small_batches
 
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1_500, 4_500, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1_500, 3_500, 20_000
 #: Clean documents of the sample whose tokens the chain is fitted to.
 CHAIN_CLEAN = 750
 #: Hashed weights; gradient steps.
-WEIGHTS, STEPS = 1 << 18, 60
+WEIGHTS, STEPS = 1 << 18, 50
 #: Least lower bound of the log ratio for a token label.
 CLEAR = math.log(16.0)
+#: Cross-fitting of the logistic map.
+FOLDS = 3
 THRESHOLD = 0.7
 #: Entries of a generation of a worker's memory of words.
 MEMO = 500_000
@@ -145,14 +148,14 @@ class Tagger:
         """Per text: largest marginal, expected toxic tokens, spans (start, end, marginal)."""
         tokens = [_TOKEN.findall(t) for t in texts]
         memory = memory or Memory(MEMO)
-        known, new = memory.have(w for ws in tokens for w in ws)
-        learnt = dict(zip(new, self.emissions(new).tolist()))
-        memory.add(learnt)
-        known.update(learnt)
+        new = memory.need(chain.from_iterable(tokens))
+        known = memory.young
+        known.update(zip(new, self.emissions(new).tolist()))
         sizes = np.array([len(ws) for ws in tokens], dtype=np.int64)
         if not sizes.sum():
             return [(0.0, 0.0, []) for _ in texts]
-        emission = np.fromiter((known[w] for ws in tokens for w in ws), dtype=np.float64, count=int(sizes.sum()))
+        emission = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), dtype=np.float64, count=int(sizes.sum()))
+        memory.turn()
         starts = np.cumsum(sizes) - sizes
         first = np.zeros(len(emission), dtype=bool)
         first[starts[sizes > 0]] = True
@@ -175,19 +178,18 @@ class Tagger:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def _token_labels(docs: list[list[str]], toxic: np.ndarray, ids: np.ndarray, index: dict[str, int]) -> list[np.ndarray]:
-    """0/1 per token of every document from the documents' labels."""
+def _token_labels(docs: list[np.ndarray], toxic: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """0/1 per token of every document (places of its words in ``ids``) from the documents' labels."""
     pos, neg = np.zeros(WEIGHTS + 1), np.zeros(WEIGHTS + 1)
     for ws, y in zip(docs, toxic):
-        if ws:
-            (pos if y else neg)[np.unique(ids[[index[w] for w in set(ws)]])] += 1
+        (pos if y else neg)[np.unique(ids[np.unique(ws)])] += 1
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     bound = (np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
     bound[WEIGHTS] = -np.inf
     best = bound[ids].max(axis=1)
     out = []
     for ws, y in zip(docs, toxic):
-        s = best[[index[w] for w in ws]] if ws else np.empty(0)
+        s = best[ws]
         mark = s >= CLEAR
         if y and len(s) and not mark.any():
             mark = (s == s.max()) & (s > 0)
@@ -195,32 +197,20 @@ def _token_labels(docs: list[list[str]], toxic: np.ndarray, ids: np.ndarray, ind
     return out
 
 
-def fit(texts: list[str], toxic: list[int]) -> Tagger:
-    """Train on labelled documents, held in one process (the sample is bounded)."""
-    tagger = Tagger()
-    y = np.array(toxic, dtype=bool)
-    if not y.any() or y.all():
-        return tagger
-    docs = [_TOKEN.findall(t) for t in texts]
-    words = sorted({w for ws in docs for w in ws})
-    if not words:
-        return tagger
-    index = {w: i for i, w in enumerate(words)}
-    ids = word_features(words)
-    rng = np.random.default_rng(7)
-    order = rng.permutation(len(docs))
-    aside = np.zeros(len(docs), dtype=bool)
-    aside[order[:len(docs) // 5]] = True                    # for the logistic map
-    if not y[~aside].any() or not y[aside].any() or y[aside].all():
-        aside[:] = False
-    labels = _token_labels([d if not s else [] for d, s in zip(docs, aside)], y & ~aside, ids, index)
-    clean = [i for i in order if not y[i] and not aside[i]][:CHAIN_CLEAN]
-    use = [i for i in [*np.flatnonzero(y & ~aside), *clean] if docs[i]]
-    token = np.concatenate([[index[w] for w in docs[i]] for i in use])
-    mark = np.concatenate([labels[i] for i in use]).astype(np.float64)
-    sizes = np.array([len(docs[i]) for i in use])
+def _fit_chain(tagger: Tagger, docs: list[np.ndarray], y: np.ndarray, use: np.ndarray, ids: np.ndarray) -> None:
+    """Set the tagger's weights from the documents at ``use`` (both kinds, some with tokens)."""
+    labels = _token_labels([docs[i] for i in use], y[use], ids)
+    clean = [k for k, i in enumerate(use) if not y[i]][:CHAIN_CLEAN]
+    chosen = [k for k in [*np.flatnonzero(y[use]), *clean] if len(docs[use[k]])]
+    if not chosen:
+        return
+    token = np.concatenate([docs[use[k]] for k in chosen])
+    mark = np.concatenate([labels[k] for k in chosen]).astype(np.float64)
+    sizes = np.array([len(docs[use[k]]) for k in chosen])
     first = np.zeros(len(token), dtype=bool)
     first[np.cumsum(sizes) - sizes] = True
+    own, token = np.unique(token, return_inverse=True)
+    ids = ids[own]
 
     w, bias, log_move, log_begin = np.zeros(WEIGHTS + 1), -5.0, np.zeros((2, 2)), 0.0
     step = np.flatnonzero(~first)
@@ -229,7 +219,7 @@ def fit(texts: list[str], toxic: list[int]) -> Tagger:
     for k in range(1, STEPS + 1):
         by_word = w[ids].sum(axis=1) + bias
         p, pairs = marginals(by_word[token], first, np.exp(log_move), math.exp(log_begin))
-        miss = np.bincount(token, weights=mark - p, minlength=len(words))
+        miss = np.bincount(token, weights=mark - p, minlength=len(own))
         grad = np.concatenate([np.bincount(ids.ravel(), weights=np.repeat(miss, ids.shape[1]), minlength=WEIGHTS + 1) - 0.05 * w,
                                [miss.sum()], (seen - pairs.sum(axis=1)) - 0.05 * log_move.ravel(),
                                [(mark - p)[first].sum() - 0.05 * log_begin]])
@@ -240,23 +230,48 @@ def fit(texts: list[str], toxic: list[int]) -> Tagger:
         log_move = log_move + move[WEIGHTS + 2:WEIGHTS + 6].reshape(2, 2)
         log_begin += move[-1]
     tagger.weights, tagger.bias = w.astype(np.float32), bias
-    tagger.move, tagger.begin, tagger.fitted = np.exp(log_move), math.exp(log_begin), True
+    tagger.move, tagger.begin = np.exp(log_move), math.exp(log_begin)
+
 
-    held = np.flatnonzero(aside) if aside.any() else np.arange(len(docs))
-    got = tagger.tag([texts[i] for i in held])
-    x = np.array([[1.0, math.log(min(max(t, 1e-9), 1 - 1e-9) / (1 - min(max(t, 1e-9), 1 - 1e-9))), math.log1p(e)] for t, e, _ in got])
-    z, use = y[held].astype(float), [0, 1, 2]
+def _logistic(x: np.ndarray, z: np.ndarray) -> tuple[float, ...]:
+    """Newton steps; a coefficient under 0 is left out, as more evidence must not lower a score."""
+    use = [0, 1, 2]
     while True:
         xs, beta = x[:, use], np.zeros(len(use))
         ridge = np.diag([1e-3, *[1e-2] * (len(use) - 1)])
-        for _ in range(30):                                 # Newton steps
+        for _ in range(30):
             q = 1 / (1 + np.exp(-np.clip(xs @ beta, -30, 30)))
             beta = beta + np.linalg.solve((xs * (q * (1 - q))[:, None]).T @ xs + ridge, xs.T @ (z - q) - ridge @ beta)
         if len(use) < 3 or (beta[1:] >= 0).all():
-            break
-        use = [0, 1 if beta[1] > beta[2] else 2]            # more evidence must not lower a score
-    beta = [float(beta[use.index(i)]) if i in use else 0.0 for i in range(3)]
-    tagger.map = tuple(beta)
+            return tuple(float(beta[use.index(i)]) if i in use else 0.0 for i in range(3))
+        use = [0, 1 if beta[1] > beta[2] else 2]
+
+
+def fit(texts: list[str], toxic: list[int]) -> Tagger:
+    """Train on labelled documents, held in one process (the sample is bounded). The map
+    is fitted on documents tagged by chains of the other ``FOLDS`` - 1 folds."""
+    tagger = Tagger()
+    y = np.array(toxic, dtype=bool)
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in _TOKEN.findall(t)], dtype=np.int64) for t in texts]
+    if y.sum() < 2 * FOLDS or (~y).sum() < 2 * FOLDS or not index:
+        return tagger
+    ids = word_features(list(index))
+    del index
+    fold = np.empty(len(docs), dtype=np.int64)
+    for kind in (y, ~y):                                    # as many of either kind in each
+        fold[kind] = np.random.default_rng(7).permutation(int(kind.sum())) % FOLDS
+    x, z = [], []
+    for f in range(FOLDS):
+        _fit_chain(tagger, docs, y, np.flatnonzero(fold != f), ids)
+        held = np.flatnonzero(fold == f)
+        for top, expected, _ in tagger.tag([texts[i] for i in held]):
+            top = min(max(top, 1e-9), 1 - 1e-9)
+            x.append((1.0, math.log(top / (1 - top)), math.log1p(expected)))
+        z.append(y[held])
+    tagger.map = _logistic(np.array(x), np.concatenate(z).astype(float))
+    _fit_chain(tagger, docs, y, np.arange(len(docs)), ids)
+    tagger.fitted = True
     return tagger
 
 
