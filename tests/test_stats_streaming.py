@@ -96,10 +96,10 @@ def test_config_rules_and_overrides():
         CF.custom_config("minimal", **{"time_series.rolling_windows": [1]})
     c = CF.custom_config("basic_timeseries", **{"feature_selection.max_features": 30})
     assert c.feature_selection.max_features == 30
-    assert CF.presets()["minimal"].steps() == ["lag_features", "rolling_features"]
+    assert CF.presets()["minimal"].steps() == ["carry_values", "lag_features", "rolling_features", "missing_values", "validation"]
     assert "feature_selection" in CF.presets()["advanced_timeseries"].steps()
-    assert CF.SelectionConfig().get_max_features(398) == 20
-    assert CF.SelectionConfig().get_max_features(30) == 5
+    assert CF.SelectionConfig().size(398, 50) == 20
+    assert CF.SelectionConfig().size(30, 50) == 5
 
 
 def test_unnamed_columns_dropped(spark):

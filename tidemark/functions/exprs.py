@@ -3,7 +3,10 @@ codegen; ANSI mode is on, so every division is guarded."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +19,15 @@ def safe_div(a, b) -> Column:
     return F.try_divide(col(a), F.nullif(col(b), F.lit(0)))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null, so rows of a series
+    without a key stay; the keys appear once, from ``left``."""
+    names = {k: f"__join_{i}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(names)
+    cond = reduce(Column.__and__, [left[k].eqNullSafe(r[n]) for k, n in names.items()])
+    return left.join(r, cond, how).drop(*names.values())
+
+
 def q(name: str) -> str:
     """Quote a column name for a SQL expression string."""
     return "`" + name.replace("`", "``") + "`"

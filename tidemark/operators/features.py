@@ -310,28 +310,26 @@ def financial_features(df: DataFrame, col: str, series=None, order=None, rsi_win
     return d.groupBy(*series).applyInPandas(ema, StructType(out_fields))
 
 
-def text_features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                  num_features: int = 1 << 18, min_df: int = 2, vectorizer: str = "tfidf"):
-    """Whole-text tokenisation, then tf-idf (HashingTF + IDF) or term
-    counts (CountVectorizer), as Spark ML stages. Returns (fitted pipeline
-    model, transformed frame with a ``text_vec`` column)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\W+", minTokenLength=2)
-    if vectorizer == "count":
-        stages = [tok, CountVectorizer(inputCol="_tokens", outputCol="text_vec", minDF=min_df)]
-    else:
-        stages = [tok, HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-                  IDF(inputCol="_tf", outputCol="text_vec", minDocFreq=min_df)]
-    model = Pipeline(stages=stages).fit(docs.select(id_col, text_col))
-    return model, model.transform(docs.select(id_col, text_col))
+def text_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """K10 counts with an exact vocabulary: (doc, term, tf) of every term of the
+    whole text. No vocabulary is collected and none is cut."""
+    return (docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\W+")).alias("term"))
+            .where(F.length("term") >= 2).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def term_weights(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_df: int = 2) -> DataFrame:
+    """K10 vocabulary table: per term its documents, occurrences and smoothed idf."""
+    n = docs.count()
+    return text_counts(docs, text_col, id_col).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).withColumn(
+        "idf", F.when(F.col("df") >= min_df, F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0)))
 
 
 def tfidf_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 min_df: int = 2) -> DataFrame:
     """K10 as DataFrame operations with an exact vocabulary: tokens of the
-    whole lower-cased text split on non-word characters (the tokenizer
-    rule of ``text_features``: ``\\W+``, tokens of 2+ characters), term
+    whole lower-cased text split on non-word characters (``\\W+``, tokens of
+    2+ characters), term
     frequency per (doc, term), document frequency per term (partial
     aggregate before the shuffle, so a term present in every document is
     a counter, not a hot group) and Spark's smoothed idf
@@ -339,9 +337,7 @@ def tfidf_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     (doc, term) rows with the per-term table is a shuffle join on the term;
     AQE's skew handling splits the partition of a very common term. The
     document count is one scalar, inlined as a literal."""
-    tok = (docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\W+")).alias("term"))
-           .where(F.length("term") >= 2))
-    tf = tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = text_counts(docs, text_col, id_col)
     n = docs.count()
     dfq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.when(F.col("df") >= min_df, F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0)))) \

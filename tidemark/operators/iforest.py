@@ -2,15 +2,15 @@
 
 Plan on Spark:
 
-1. Sampling. Every row gets a deterministic uniform number from a hash of
-   its feature values and the seed (``xxhash64``), so a lost executor
-   recomputes exactly the same samples. When ``n_trees * sample_size`` fits
-   in the data, each sampled row goes to ONE tree (disjoint subsamples, one
-   hash per row); on small inputs each row joins each tree independently
-   (a per-row array of tree ids, exploded).
+1. Sampling. A tree's sample is the ``sample_size`` complete rows with the
+   smallest hash of (row key, tree, seed): one rule for every input size,
+   repeatable under any partitioning, and exactly ``sample_size`` rows (all, if
+   there are fewer). The key is ``key`` or, without one, all columns: rows equal in
+   all of them are interchangeable. Hashes above a bound that lets through a small
+   multiple of the rows needed are dropped before the shuffle; the bound is raised
+   until every tree is full, so it changes the work, never the sample.
 2. Growing. ``groupBy(tree).applyInPandas`` grows one random isolation tree
-   per group; a group holds about ``sample_size`` rows (the sample cap is
-   the algorithm's subsampling, not a row cap on the result).
+   per group of ``sample_size`` rows, taken in hash order.
 3. Scoring. The forest has at most ``n_trees * (2 * sample_size - 1)``
    nodes, a size fixed by the parameters and not by the data, so it is
    broadcast, and every row is scored in Arrow batches by ``mapInPandas``
@@ -28,11 +28,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions.exprs import q
+from ..session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 _HASH_RANGE = 1 << 30
@@ -110,34 +111,40 @@ class IsolationForest:
         return out.withColumn(score_col, F.nanvl(F.col(score_col), F.lit(None).cast("double")))
 
 
+def sample_rows(df: DataFrame, feats: Sequence[str], n_trees: int, psi: int, n: int, seed: int,
+                key: Sequence[str] | None = None) -> DataFrame:
+    """(_tree, _h, features): per tree the ``psi`` of ``n`` rows with the smallest hashes."""
+    keys = ", ".join(q(c) for c in (key or df.columns))
+    hashed = f"pmod(xxhash64({keys}, t, {int(seed)}), {_HASH_RANGE})"
+    per_tree = Window.partitionBy("_tree").orderBy("_h", *feats)
+    share = min(1.0, (2.0 * psi + 64) / max(n, 1))
+    while True:
+        bound = int(share * _HASH_RANGE)
+        pairs = F.expr(f"filter(transform(sequence(0, {n_trees - 1}), t -> named_struct('t', t, 'h', {hashed})),"
+                       f" s -> s.h < {bound})")
+        sample = materialize(
+            df.select(*feats, F.explode(pairs).alias("_s")).select(F.col("_s.t").alias("_tree"), F.col("_s.h").alias("_h"), *feats)
+            .withColumn("_r", F.row_number().over(per_tree)).where(F.col("_r") <= psi).drop("_r"))
+        full = sample.groupBy("_tree").count().where(F.col("count") == psi).count()      # n_trees rows
+        if share >= 1.0 or full == n_trees:
+            return sample
+        share = min(1.0, 4 * share)
+
+
 def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100,
-                         sample_size: int = 256, seed: int = 42,
-                         threshold: float = 0.5) -> IsolationForest:
+                         sample_size: int = 256, seed: int = 42, threshold: float = 0.5,
+                         key: Sequence[str] | None = None) -> IsolationForest:
     feats = list(cols)
-    clean = df.select(*feats).dropna()
+    clean = df.dropna(subset=feats)
     n = clean.count()
     psi = max(1, min(sample_size, n))
-    h = f"pmod(xxhash64({', '.join(q(c) for c in feats)}, {int(seed)}), {_HASH_RANGE})"
-    if n_trees * psi <= n:
-        frac = n_trees * psi / n
-        u = F.expr(f"CAST({h} AS DOUBLE) / {float(_HASH_RANGE)!r}D")
-        samp = (clean.withColumn("_u", u).where(F.col("_u") < F.lit(frac))
-                .withColumn("_tree", F.least(F.floor(F.col("_u") / F.lit(frac / n_trees)),
-                                             F.lit(n_trees - 1)).cast("int")).drop("_u"))
-    else:
-        frac = psi / max(n, 1)
-        ht = f"pmod(xxhash64({', '.join(q(c) for c in feats)}, t, {int(seed)}), {_HASH_RANGE})"
-        trees = F.expr(f"filter(sequence(0, {n_trees - 1}), "
-                       f"t -> CAST({ht} AS DOUBLE) / {float(_HASH_RANGE)!r}D < {frac!r}D)")
-        samp = clean.withColumn("_tree", F.explode(trees))
+    samp = sample_rows(clean, feats, n_trees, psi, n, seed, key)
     limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
         rng = np.random.default_rng([int(seed), t])
-        X = pdf[feats].to_numpy(dtype="float64")
-        if len(X) > psi:
-            X = X[rng.permutation(len(X))[:psi]]
+        X = pdf.sort_values(["_h", *feats], kind="mergesort")[feats].to_numpy(dtype="float64")
         nodes = []
 
         def node(idx, depth):

@@ -24,6 +24,7 @@ import os
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor,
                                    GeneralizedLinearRegression,
@@ -114,7 +115,11 @@ class FittedModel:
                              [f"`{c}` * {dlit(b)}" for c, b in zip(self.features, self.coef[off:])])
             out = df.withColumn(pred, F.expr(f"exp({eta})" if self.link == "log" else f"({eta})"))
         if self.clip is not None and not self.fallback:
-            out = out.withColumn(pred, F.greatest(F.col(pred), F.lit(self.clip)))
+            p = F.col(pred)
+            if self.train_mean is not None:          # M12: an overflowing link gives the training mean
+                p = F.when(F.isnan(p) | (F.abs(p) == float("inf")), F.lit(float(self.train_mean))).otherwise(p)
+            # A missing input stays missing; greatest() would skip the null
+            out = out.withColumn(pred, F.when(F.col(pred).isNotNull(), F.greatest(p, F.lit(self.clip))))
         return out
 
     # ---------------------------------------------------------------- S7 / S8
@@ -169,7 +174,7 @@ def fit_model(spec: ModelSpec, df: DataFrame, features: list, label: str,
         df.select(*features, label).where(F.col(label).isNotNull()))
     kind = spec.kind
     if kind in ("linear", "ridge", "lasso", "enet"):
-        n, s, m, _ = _label_stats(df, label)
+        n, s, m, _ = _label_stats(x, label)          # of the rows that the fit uses
         if kind == "linear":
             est = LinearRegression(solver="normal", regParam=0.0)
         elif kind == "ridge":
@@ -205,10 +210,19 @@ def fit_model(spec: ModelSpec, df: DataFrame, features: list, label: str,
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def is_numeric_failure(e: Exception) -> bool:
+    """Whether a fit failed on its numbers (bad label, singular or diverging
+    system). Lost executors, full disks and programming errors are not."""
+    if isinstance(e, (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)):
+        return True
+    text = str(e)
+    return any(s in text for s in ("requirement failed", "SingularMatrixException", "singular matrix", "AssertionError"))
+
+
 def _fit_glm(spec, p, df, x, features, label) -> FittedModel:
     fam, link = p.get("family", "gamma"), p.get("link", "log")
     alpha, icpt = float(p.get("alpha", 0.0)), bool(p.get("fit_intercept", True))
-    n, s, m, mn = _label_stats(df, label)
+    n, s, m, mn = _label_stats(x, label)
     try:
         if link == "log" and mn is not None and mn <= 0 and fam in ("gamma", "gaussian"):
             raise ValueError(f"{fam} with log link needs a positive label (min {mn})")
@@ -229,7 +243,9 @@ def _fit_glm(spec, p, df, x, features, label) -> FittedModel:
             .setLabelCol(label)
         return FittedModel(spec, p, features, label, est.fit(x), link=link, clip=0.01,
                            train_mean=m)
-    except Exception as e:  # noqa: BLE001  (M12 policy)
+    except Exception as e:
+        if not is_numeric_failure(e):
+            raise
         ols = LinearRegression(solver="normal", featuresCol=VEC, labelCol=label).fit(x)
         return FittedModel(spec, p, features, label, ols, fallback=f"{type(e).__name__}: {e}"[:300],
                            train_mean=m)
@@ -289,11 +305,12 @@ def irls_elastic_net(df: DataFrame, features: list, label: str, family: str, lin
                 for j in range(i, k):
                     G[i, j] = G[j, i] = row[f"g_{i}_{j}"] / n
             new = _cd_enet(G, h, alpha, l1_wt, beta.copy())
+            if not np.all(np.isfinite(new)):
+                raise ArithmeticError("the penalised GLM fit diverged")
             if np.max(np.abs(new - beta)) < tol * (1 + np.max(np.abs(beta))):
-                beta = new
-                break
+                return [float(b) for b in new]
             beta = new
-        return [float(b) for b in beta]
+        raise ArithmeticError(f"the penalised GLM fit did not converge in {max_iter} iterations")
     finally:
         d.unpersist()
 

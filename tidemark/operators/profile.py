@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import q, safe_corr, safe_div, sample_skewness
+from ..functions.exprs import join_null_safe, q, safe_corr, safe_div, sample_skewness
 from .windows import _cols, add_lag_roll, with_row_pos
 
 STAT_SEP = "|"
@@ -339,7 +339,7 @@ def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     (AQE broadcasts it when the measured size is small); for a global
     statistic the single row is fetched and inlined as literals."""
     if by:
-        return df.join(stats, by)
+        return join_null_safe(df, stats, by)
     row = stats.first().asDict()
     return df.withColumns({k: F.lit(v) for k, v in row.items()})
 
@@ -425,7 +425,7 @@ def drift_report(train_stats: DataFrame, new: DataFrame, cols: Sequence[str],
     j = train_stats.select("feature", F.col("mean").alias("mean_train")).join(
         F.broadcast(now), "feature", "left")  # both sides have one row per feature
     return j.select("feature", "mean_train", "mean_new",
-                    F.col("mean_new").isNull().alias("missing"),
+                    (~F.col("feature").isin(present) if present else F.lit(True)).alias("missing"),
                     (F.abs(F.col("mean_new") - F.col("mean_train"))
                      > threshold * F.abs(F.col("mean_train"))).alias("drift"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.exprs import q, safe_corr, safe_div
+from ..functions.exprs import dlit, q, safe_corr, safe_div
 from .profile import _k, _unpivot
 from .windows import _cols
 
@@ -44,10 +44,10 @@ def univariate_scores(df: DataFrame, features: Sequence[str], target: str, by=No
                    *[F.expr(f"avg({q(c)}) AS {q(_k(c, 'mean'))}") for c in features]).first()
     n_all = first["_n"]
     complete = first["_ny"] == n_all and all(first[_k(c, "cnt")] == n_all for c in features)
-    my = repr(float(first["_my"] or 0.0))
+    my = dlit(first["_my"] or 0.0)
     exprs = []
     for c in features:
-        mx = repr(float(first[_k(c, "mean")] or 0.0))
+        mx = dlit(first[_k(c, "mean")] or 0.0)
         if complete:
             xc, yc, n = f"({q(c)} - {mx})", f"({t} - {my})", "count(1)"
         else:
@@ -75,19 +75,20 @@ def _grouped_scores(df, features, target, by):
                   (F.covar_pop(x, y) * F.count_if(m)).alias(_k(c, "sxy"))]
     long = _unpivot(df.groupBy(*by).agg(*exprs), features,
                     ["n", "sx", "sy", "sxx", "syy", "sxy"], by, name="feature")
-    return _finish_scores(long, features)
+    return _finish_scores(long, features, by)
 
 
-def _finish_scores(long: DataFrame, features) -> DataFrame:
+def _finish_scores(long: DataFrame, features, by: Sequence[str] = ()) -> DataFrame:
     idx = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(features)) + " END"
+    keys = [q(b) for b in by]
     t = long.selectExpr(
-        "feature", "CAST(n AS BIGINT) AS n",
+        *keys, "feature", "CAST(n AS BIGINT) AS n",
         # centred sums about the true pairwise means
         "sxx - sx * sx / n AS _sxx", "syy - sy * sy / n AS _syy", "sxy - sx * sy / n AS _sxy",
         f"CAST({idx} AS INT) AS idx")
     t = t.selectExpr("*", "CASE WHEN _sxx > 0 AND _syy > 0 THEN _sxy / sqrt(_sxx * _syy) END AS corr")
     return t.selectExpr(
-        "feature", "n", "corr",
+        *keys, "feature", "n", "corr",
         "CASE WHEN NOT (_sxx > 0) THEN CAST(NULL AS DOUBLE) WHEN NOT (_syy > 0) THEN 1.0D "
         "ELSE corr * corr END AS r2",
         "idx", "abs(corr) AS abs_corr",
@@ -236,9 +237,9 @@ def mutual_info_binned(df: DataFrame, features: Sequence[str], target: str,
     def b(c):
         mn, mx = mm[f"{c}|mn"], mm[f"{c}|mx"]
         if mn is None or mx == mn:
-            return F.lit(0).cast("long")
-        return F.least(F.floor((F.col(c) - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn))
-                       .cast("long"), F.lit(bins - 1))
+            return F.when(F.col(c).isNotNull(), F.lit(0).cast("long"))
+        at = F.floor((F.col(c) - F.lit(mn)) * F.lit(float(bins)) / F.lit(mx - mn)).cast("long")
+        return F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1)))     # least() skips nulls
 
     d = df.where(F.col(target).isNotNull())
     long = d.select(b(target).alias("by"), F.explode(F.array(*[

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import q
+from ..functions.exprs import join_null_safe, q
 from ..functions.stats import chi2_sf, norm_cdf, norm_ppf
 from .windows import _cols, with_row_pos
 
@@ -27,12 +27,12 @@ def _ranked(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     size, from a global consecutive position (no per-group sort window)."""
     d = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     d = with_row_pos(d, [*by, "_x"], "_pos")
-    g = d.groupBy(*by).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
+    g = d.groupBy(*by).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
     if by:
-        d = d.join(g, by)
+        d = join_null_safe(d, g, by)
     else:
         r = g.first()
-        d = d.withColumns({"_p0": F.lit(r["_p0"]), "_n": F.lit(r["_n"])})
+        d = d.withColumns({"_p0": F.lit(r["_p0"]), "_n": F.lit(r["_n"]), "_mean": F.lit(r["_mean"])})
     return d.withColumn("_i", F.col("_pos") - F.col("_p0") + 1)
 
 
@@ -60,6 +60,8 @@ def shapiro_wilk(df: DataFrame, col: str, by=None) -> DataFrame:
     by = _cols(by)
     d = _ranked(df, col, by)
     d = d.withColumn("_m", norm_ppf((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
+    # W does not change when a constant is taken off; sums of squares keep their digits
+    d = d.withColumn("_x", F.col("_x") - F.col("_mean"))
     s = d.groupBy(*by).agg(
         F.first("_n").alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("mm"),
         F.sum("_x").alias("sx"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
@@ -209,7 +211,7 @@ def adf_test(df: DataFrame, col: str, order, series=None, maxlag: int | None = N
     g = (d.where(F.col("_rn") >= 2).groupBy(*series, "_b")
          .agg(F.count(F.lit(1)).alias("_cnt"), *aggs))
     nobs = d.groupBy(*series).agg(F.count(F.lit(1)).alias("nobs"))
-    g = g.join(nobs, series) if series else g.withColumn("nobs", F.lit(nobs.first()[0]))
+    g = join_null_safe(g, nobs, series) if series else g.withColumn("nobs", F.lit(nobs.first()[0]))
     keys_schema = [f"{q(s)} {df.schema[s].dataType.simpleString()}" for s in series]
     schema = ", ".join(keys_schema + ["n long", "used_lag int", "adf_stat double", "p_value double",
                                       "crit_1 double", "crit_5 double", "crit_10 double",
@@ -284,7 +286,7 @@ def ljung_box(df: DataFrame, col: str, order, series=None, lags: int = 10) -> Da
     w = Window.partitionBy(*series).orderBy(*order)
     mean = df.groupBy(*series).agg(F.avg(col).alias("_m"), F.count(col).alias("_n"))
     d = df.where(F.col(col).isNotNull())
-    d = d.join(mean, series) if series else d.withColumns(
+    d = join_null_safe(d, mean, series) if series else d.withColumns(
         {k: F.lit(v) for k, v in mean.first().asDict().items()})
     d = d.withColumn("_e", F.col(col) - F.col("_m"))
     d = d.select(*series, "_n", "_e", *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import FittedModel, ModelSpec, expand_grid, fit_model
+from .models import FittedModel, ModelSpec, expand_grid, fit_model, is_numeric_failure
 
 
 @dataclass(frozen=True)
@@ -87,8 +87,10 @@ def grid_search(spec: ModelSpec, data: DataFrame, features: list, label: str,
         te = data.where((F.col(pos) >= f.test_start) & (F.col(pos) < f.test_end))
         try:
             return _mse(fit_model(spec, tr, features, label, grid[gi]), te, label)
-        except Exception:  # noqa: BLE001  (a failing grid point scores +inf)
-            return float("inf")
+        except Exception as e:
+            if not is_numeric_failure(e):
+                raise
+            return float("inf")                        # a grid point that cannot be fitted loses
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         mses = list(ex.map(one, jobs))
     per = [(grid[gi], [mses[i] for i, (g, _) in enumerate(jobs) if g == gi])
@@ -124,7 +126,9 @@ def train_models(specs: list[ModelSpec], data: DataFrame, features: list, label:
             for f, m in zip(folds, mses):
                 rows.append((spec.name, str(best), order, f.fold, float(m), None))
             summary.append((order, spec, best, mean, std))
-        except Exception as e:  # noqa: BLE001
+        except Exception as e:
+            if not is_numeric_failure(e):
+                raise
             rows.append((spec.name, None, order, None, None, f"{type(e).__name__}: {e}"[:300]))
     res = spark.createDataFrame(rows, "model string, params string, registry_pos int, fold int, "
                                       "mse double, error string")
@@ -133,6 +137,7 @@ def train_models(specs: list[ModelSpec], data: DataFrame, features: list, label:
         raise RuntimeError("every model failed")
     order, spec, best, _, _ = min(summary, key=lambda t: (t[3], t[0]))   # T4: first wins ties
     champion = fit_model(spec, data, features, label, best)
+    data.unpersist()
     return res, spec.name, champion
 
 
@@ -149,12 +154,12 @@ def comparison_table(results: DataFrame) -> DataFrame:
 
 
 def holdout_split(df: DataFrame, key: str, test_share: float = 0.2):
-    """V6: repeatable hash split on a key (Fibonacci hashing: the fractional
-    part of key x golden ratio spreads consecutive keys evenly), not
-    ``randomSplit``: the same key always lands on the same side, whatever
-    the partitioning."""
-    h = F.col(key).cast("double") * F.lit(0.6180339887498949)
-    u = h - F.floor(h)
+    """V6: repeatable hash split on a key of any type, not ``randomSplit``: the
+    share is the first 32 bits of the MD5 of the key's text, so the same key
+    always lands on the same side, whatever its size or the partitioning. A
+    null key counts as the empty text."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     flag = u < F.lit(test_share)
     return df.where(~flag), df.where(flag)
 

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import q
+from ..functions.exprs import join_null_safe, q
 from ..session import materialize, shuffle_partitions
 
 
@@ -153,7 +153,7 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], series=None, order
             bspec.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_prev_{c}") for c in cols],
         *[F.first(F.col(f"_first_{c}"), True).over(
             bspec.rowsBetween(1, Window.unboundedFollowing)).alias(f"_next_{c}") for c in cols])
-    j = local.join(summ, [*series, "_hb"])
+    j = join_null_safe(local, summ, [*series, "_hb"])
     repl = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_prev_{c}"),
                           F.col(f"_bf_{c}"), F.col(f"_next_{c}")) for c in cols}
     keep = [c for c in df.columns]

@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.ml.functions import vector_to_array
 
 from ..functions.exprs import rnd
 from ..operators import features as FE
@@ -20,7 +19,8 @@ def _p(spark, sf):
 
 
 def _preset(name, **over):
-    cfg = CF.custom_config(name, **{"time_series.series": ["series_id"], "target_column": "y", **over})
+    cfg = CF.custom_config(name, **{"time_series.series": ["series_id"], "time_series.time_unit": "yyyymm",
+                                    "target_column": "y", **over})
     return cfg
 
 
@@ -100,15 +100,32 @@ def q_k8(spark, sf):
                                                         "avg_order_value_macd_signal")
 
 
-@register("k10_text_tfidf")
+_TOKENS = r"""
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\W+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE length(term) >= 2 GROUP BY doc_id, term)"""
+
+
+@register("k10_text_tfidf", _TOKENS + r"""
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf,
+       (round(CASE WHEN count(*) >= 2 THEN ln((n.n + 1.0) / (count(*) + 1.0)) ELSE 0.0 END, 10) + CAST(0 AS DOUBLE)) AS idf
+FROM tf, (SELECT count(*) AS n FROM documents) n GROUP BY term, n.n""")
 def q_k10(spark, sf):
-    """K10 on every document's whole text: tokens -> hashing TF -> IDF."""
+    """K10 vocabulary of every document's whole text: document frequency,
+    occurrences and idf of every term; none merged by hashing, none cut."""
+    return FE.term_weights(read_table(spark, sf, "documents", ["doc_id", "text"])).select(
+        "term", "df", "tf", rnd("idf", 10).alias("idf"))
+
+
+@register("k10_term_counts", _TOKENS + r"""
+SELECT d.doc_id, CAST(coalesce(sum(tf), 0) AS BIGINT) AS n_tokens, count(term) AS n_terms,
+       CAST(coalesce(max(tf), 0) AS BIGINT) AS max_tf
+FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY d.doc_id""")
+def q_k10_counts(spark, sf):
+    """K10 counts with an exact vocabulary, summed up per document."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    _, out = FE.text_features(docs)
-    o = out.withColumn("_arr", vector_to_array("text_vec"))
-    return o.select("doc_id", F.size("_tokens").alias("n_tokens"),
-                    F.expr("size(filter(_arr, x -> x != 0))").alias("n_terms"),
-                    F.sqrt(F.aggregate("_arr", F.lit(0.0), lambda a, v: a + v * v)).alias("tfidf_l2"))
+    per = FE.text_counts(docs).groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"),
+                                                     F.max("tf").alias("max_tf"))
+    return docs.select("doc_id").join(per, "doc_id", "left").fillna(0)
 
 
 @register("k10_tfidf_doc_summary", r"""

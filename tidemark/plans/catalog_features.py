@@ -444,7 +444,8 @@ def q_k6(spark, sf):
     from ..operators import iforest as IF
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     li = P.lineitem_frame(spark, sf).select("l_orderkey", "l_linenumber", *cols)
-    model = IF.fit_isolation_forest(li, cols, n_trees=100, sample_size=256, seed=42)
+    model = IF.fit_isolation_forest(li, cols, n_trees=100, sample_size=256, seed=42,
+                                    key=["l_orderkey", "l_linenumber"])
     return model.transform(li).select("l_orderkey", "l_linenumber", rnd("anomaly_score", 9)
                                       .alias("anomaly_score"), "is_outlier")
 

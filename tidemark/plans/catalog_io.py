@@ -49,7 +49,7 @@ def q_s10(spark, sf):
     the shared model folder as one table."""
     from .training import TrainConfig, fit_single
     root = _scratch(spark, "registry")
-    p = _panel(spark, sf).drop("year").where((F.col("period") < CUTOFF) & (F.col("y") > 0))
+    p = _panel(spark, sf).drop("year").where(F.col("period") < CUTOFF)
     for lags, wins in (([1], [3]), ([1, 2], [3, 6])):
         cfg = TrainConfig(target="y", time_col="period", series=["series_id"], features=list(FEATS),
                           lags=lags, windows=wins)
@@ -74,7 +74,7 @@ _EV_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string,
 
 @register("stream_event_lags", """
 SELECT user_id, event_id, ts, value,
-       lag(value, 1) OVER w AS value_lag_1, lag(value, 2) OVER w AS value_lag_2
+       lag(value, 1) OVER w AS value_lag_1, lag(value, 2) OVER w AS value_lag_2, false AS late
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def q_stream_lags(spark, sf):
     """W1 on a stream: the events file read as a stream, lags 1 and 2 of

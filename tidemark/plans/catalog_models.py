@@ -355,8 +355,8 @@ def q_p12(spark, sf):
 @register("v6_holdout_split", """
 SELECT CASE WHEN u < 0.2 THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value_cents
-FROM (SELECT o_totalprice, CAST(o_orderkey AS DOUBLE) * 0.6180339887498949::DOUBLE
-                            - floor(CAST(o_orderkey AS DOUBLE) * 0.6180339887498949::DOUBLE) AS u
+FROM (SELECT o_totalprice, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT)
+                            / 4294967296.0::DOUBLE AS u
       FROM orders) t GROUP BY 1""")
 def q_v6(spark, sf):
     o = P.read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])

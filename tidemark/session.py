@@ -34,8 +34,9 @@ def get_session(master: str | None = None, app: str = "tidemark",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a private folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local master, whose
+    driver and executors are one process, may go without: it gets a private
+    folder. Elsewhere executors could not share one, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -73,22 +73,3 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet", partition_by=No
         w.option("header", True).csv(path)
     else:
         w.parquet(path)
-
-
-def synthetic_series(spark: SparkSession, n: int = 1000, seed: int = 42,
-                     missing_share: float = 0.05) -> DataFrame:
-    """The reference's example generator as a Spark plan (sin / cos
-    plus noise, exponential, a seeded 5 % null mask, linear target computed
-    before the nulls). For examples only; registered queries read tables."""
-    i = F.col("id").cast("double")
-    df = spark.range(n).select(
-        F.col("id").alias("Annee"),
-        (F.sin(0.1 * i) + 0.1 * F.randn(seed)).alias("feature_1"),
-        (F.cos(0.05 * i) + 0.1 * F.randn(seed + 1)).alias("feature_2"),
-        F.randn(seed + 2).alias("f3"),
-        (-F.log(1 - F.rand(seed + 3))).alias("feature_4"),
-        (F.rand(seed + 4) < missing_share).alias("_null"))
-    df = df.withColumn("target", 2 * F.col("feature_1") + 1.5 * F.col("feature_2")
-                       + 0.5 * F.col("f3") + 0.2 * F.randn(seed + 5))
-    return df.select("Annee", "feature_1", "feature_2",
-                     F.when(~F.col("_null"), F.col("f3")).alias("feature_3"), "feature_4", "target")

@@ -43,24 +43,36 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str, output_mode: str =
 def stream_lags(df: DataFrame, key: str, order: Sequence[str], value: str,
                 lags: Sequence[int] = (1,)) -> DataFrame:
     """W1 on a stream: lags of ``value`` per ``key`` across micro-batches.
-    State per key: the last max(lags) values and the last order key."""
+    State per key: the last max(lags) values and the last order key (numbers or
+    times). A row that comes after a later one of an earlier micro-batch is
+    ``late``: it gets null lags and leaves the history as it is."""
     order = list(order)
+    for c in order:
+        if df.schema[c].dataType.typeName() not in ("long", "integer", "short", "byte", "double", "float",
+                                                    "date", "timestamp", "timestamp_ntz"):
+            raise ValueError(f"order column {c} must be a number or a time")
     h = max(lags)
     out_schema = _out_schema(df, key, order, value, lags)
-    state_schema = "hist array<double>, last_order string"
+    state_schema = "hist array<double>, last_order array<double>"
 
     def step(k, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
         hist, last = ([], None)
         if state.exists:
-            hist, last = list(state.get[0] or []), state.get[1]
-        vals = hist + pdf[value].astype("float64").tolist()
-        start = len(hist)
+            hist, last = list(state.get[0] or []), list(state.get[1])
+        at = list(zip(*[_numbers(pdf[c]) for c in order]))
+        late = [last is not None and list(t) < last for t in at]
+        vals, lagged = list(hist), {lag: [] for lag in lags}
+        for v, is_late in zip(pdf[value].astype("float64").tolist(), late):
+            for lag in lags:
+                lagged[lag].append(vals[-lag] if not is_late and lag <= len(vals) else None)
+            if not is_late:
+                vals.append(v)
         res = pdf[[key, *order, value]].copy()
         for lag in lags:
-            res[f"{value}_lag_{lag}"] = [vals[start + i - lag] if start + i - lag >= 0 else None
-                                         for i in range(len(pdf))]
-        state.update((vals[-h:], str(pdf[order].iloc[-1].tolist())))
+            res[f"{value}_lag_{lag}"] = lagged[lag]
+        res["late"] = late
+        state.update((vals[-h:], max([list(t) for t in at] + ([last] if last else []))))
         yield res
 
     return df.groupBy(key).applyInPandasWithState(
@@ -68,9 +80,17 @@ def stream_lags(df: DataFrame, key: str, order: Sequence[str], value: str,
 
 
 def _out_schema(df, key, order, value, lags) -> StructType:
-    from pyspark.sql.types import DoubleType, StructField
+    from pyspark.sql.types import BooleanType, DoubleType, StructField
     fields = [df.schema[c] for c in [key, *order, value]]
-    return StructType(fields + [StructField(f"{value}_lag_{k}", DoubleType()) for k in lags])
+    return StructType(fields + [StructField(f"{value}_lag_{k}", DoubleType()) for k in lags]
+                      + [StructField("late", BooleanType())])
+
+
+def _numbers(s: pd.Series) -> list[float]:
+    """Order values as comparable numbers; times in microseconds."""
+    if s.dtype == object or "datetime" in str(s.dtype):
+        s = pd.to_datetime(s).astype("datetime64[us]").astype("int64")
+    return s.astype("float64").tolist()
 
 
 def drift_monitor(train_means: dict, report_path: str, threshold: float = 0.1):
