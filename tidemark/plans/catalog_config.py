@@ -12,6 +12,7 @@ from ..sources.tables import read_table
 from . import config as CF
 from .catalog import FEATS, register
 from .catalog_profile import CUTOFF, _panel
+from .sqlparts import DIGITS, R, with_panel
 
 
 def _p(spark, sf):
@@ -31,7 +32,31 @@ def _run_preset(spark, sf, name):
 
 
 register("c2_preset_basic_timeseries")(lambda s, sf: _run_preset(s, sf, "basic_timeseries"))
-register("c2_preset_minimal")(lambda s, sf: _run_preset(s, sf, "minimal"))
+
+
+def _minimal_sql() -> str:
+    """Lag 1, rolling mean and std over 3; gaps take the training median of the engineered column."""
+    w3 = "(PARTITION BY series_id ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    eng = {}
+    for c in FEATS:
+        eng[f"{c}_lag_1"] = (f"lag({c}, 1) OVER (PARTITION BY series_id ORDER BY period)", c)
+        for stat, fn in (("mean", "avg"), ("std", "stddev_samp")):
+            eng[f"{c}_roll_{stat}_3"] = (f"CASE WHEN count({c}) OVER {w3} = 3 THEN {fn}({c}) OVER {w3} END", c)
+    made = ", ".join(f"{e} AS {n}" for n, (e, _) in eng.items())
+    meds = ", ".join(f"median({n}) AS {n}" for n in eng)
+    cols = [R(c, DIGITS[c]) + f" AS {c}" for c in FEATS] + [
+        R(f"coalesce(e.{n}, m.{n})", DIGITS[c]) + f" AS {n}" for n, (_, c) in eng.items()]
+    return with_panel(f"SELECT series_id, period, {R('y', 10)} AS y, {', '.join(cols)} FROM e, m",
+                      f"e AS (SELECT *, {made} FROM panel), m AS (SELECT {meds} FROM e WHERE period < {CUTOFF})")
+
+
+@register("c2_preset_minimal", _minimal_sql())
+def q_c2_minimal(spark, sf):
+    out = _run_preset(spark, sf, "minimal")
+    base = {c: max((f for f in [*FEATS, "y"] if c == f or c.startswith(f + "_")), key=len, default=None) for c in out.columns}
+    return out.withColumns({c: rnd(c, DIGITS[f]) for c, f in base.items() if f})
+
+
 register("c2_preset_advanced_timeseries")(lambda s, sf: _run_preset(s, sf, "advanced_timeseries"))
 
 
@@ -92,12 +117,32 @@ def q_k4(spark, sf):
                                  "feature string")
 
 
-@register("k8_financial_features")
+_RSI_FRAME = "(PARTITION BY series_id ORDER BY period ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+_K8_SQL = with_panel(f"""
+SELECT r.series_id, r.period, {R("CASE WHEN nd = 14 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END END", 6)}
+           AS avg_order_value_rsi_14,
+       {R("f - s", 4)} AS avg_order_value_macd, {R("g", 4)} AS avg_order_value_macd_signal
+FROM (SELECT series_id, period, avg(greatest(d, 0.0)) OVER {_RSI_FRAME} AS gain, avg(greatest(-d, 0.0)) OVER {_RSI_FRAME} AS loss,
+             count(d) OVER {_RSI_FRAME} AS nd FROM num) r
+JOIN ema USING (series_id, period)""", """
+num AS (SELECT series_id, period, avg_order_value AS x,
+               avg_order_value - lag(avg_order_value) OVER (PARTITION BY series_id ORDER BY period) AS d,
+               row_number() OVER (PARTITION BY series_id ORDER BY period) AS i FROM panel),
+ema AS (SELECT series_id, period, i, x AS f, x AS s, CAST(0.0 AS DOUBLE) AS g FROM num WHERE i = 1
+        UNION ALL
+        SELECT n.series_id, n.period, n.i, n.x * 2 / 13 + e.f * 11 / 13, n.x * 2 / 27 + e.s * 25 / 27,
+               ((n.x * 2 / 13 + e.f * 11 / 13) - (n.x * 2 / 27 + e.s * 25 / 27)) * 2 / 10 + e.g * 8 / 10
+        FROM ema e JOIN num n ON n.series_id = e.series_id AND n.i = e.i + 1)""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("k8_financial_features", _K8_SQL)
 def q_k8(spark, sf):
-    return FE.financial_features(_p(spark, sf), "avg_order_value", series="series_id",
+    out = FE.financial_features(_p(spark, sf), "avg_order_value", series="series_id",
                                  order="period").select("series_id", "period", "avg_order_value_rsi_14",
                                                         "avg_order_value_macd",
                                                         "avg_order_value_macd_signal")
+    digits = {"avg_order_value_rsi_14": 6, "avg_order_value_macd": 4, "avg_order_value_macd_signal": 4}
+    return out.withColumns({c: rnd(c, d) for c, d in digits.items()})
 
 
 _TOKENS = r"""

@@ -478,9 +478,27 @@ def q_f9(spark, sf):
     return scores.where(F.col("feature").isin(names)).select("feature", "f_stat")
 
 
-@register("k12_feature_checks")
+# Decimals of a feature's variance.
+_VAR_DIGITS = {"n_orders": 4, "n_customers": 4, "avg_order_value": 0, "avg_qty": 6, "avg_tax": 12, "ret_share": 10}
+
+
+def _k12_sql() -> str:
+    rows = []
+    for c in FEATS:
+        most = ", ".join(f"abs(corr({c}, {d}))" for d in FEATS if d != c)
+        rows.append(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) / count(*) AS missing_share, "
+                    f"{R(f'var_samp({c})', _VAR_DIGITS[c])} AS variance, greatest({most}) AS r, var_samp({c}) AS v FROM panel")
+    return ("SELECT feature, CAST(missing_share AS DOUBLE) AS missing_share, variance, " + R("r", 9) + " AS max_abs_corr, "
+            "missing_share > 0.1 AS too_many_missing, r > 0.95 AS too_correlated, v < 0.01 AS low_variance "
+            "FROM (" + " UNION ALL ".join(rows) + ") t")
+
+
+@register("k12_feature_checks", with_panel(_k12_sql()))
 def q_k12(spark, sf):
-    return SE.feature_checks(_panel(spark, sf), FEATS)
+    """Missing share, variance and largest correlation per feature against the thresholds."""
+    out = SE.feature_checks(_panel(spark, sf), FEATS)
+    var = F.coalesce(*[F.when(F.col("feature") == c, rnd("variance", d)) for c, d in _VAR_DIGITS.items()])
+    return out.withColumn("variance", var).withColumn("max_abs_corr", rnd("max_abs_corr", 9))
 
 
 @register("k7_polynomial_features", with_panel(

@@ -17,7 +17,7 @@ from ..streaming import scoring as SS
 from .catalog import FEATS, register
 from .catalog_models import model_root
 from .catalog_profile import CUTOFF, _panel, _rounded
-from .sqlparts import with_panel
+from .sqlparts import R, with_panel
 
 
 def _scratch(spark, what: str) -> str:
@@ -87,7 +87,9 @@ def q_stream_lags(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("stream_lineitem_scoring")
+@register("stream_lineitem_scoring", f"""
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, {R('a + b * l_quantity', 4)} AS prediction, false AS batch_drift
+FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem) f""")
 def q_stream_score(spark, sf):
     """Stateless model scoring on a stream plus a per-micro-batch drift
     report (A22/O6 in ``foreachBatch``): OLS fitted on the batch table,
@@ -106,4 +108,4 @@ def q_stream_score(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(path)
     drift = spark.read.parquet(report).where("feature = 'l_quantity'").agg(F.max("drift")).first()[0]
-    return out.withColumn("batch_drift", F.lit(bool(drift)))
+    return out.withColumn("prediction", rnd("prediction", 4)).withColumn("batch_drift", F.lit(bool(drift)))

@@ -13,7 +13,7 @@ from ..operators import models as M
 from ..operators import scoring as S
 from ..operators import validation as V
 from ..operators import windows as W
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import panels as P
 from .catalog import FEATS, register
 from .catalog_profile import CUTOFF, _panel, _rounded, _scen_sql, _scenarios
@@ -452,16 +452,49 @@ def q_v5(spark, sf):
                                                  "is_best")
 
 
-@register("s7_s8_save_load_roundtrip")
+# Least squares of y on ret_share and its lag 1, fitted on complete history rows;
+# when scoring, a series' first lag is carried back from its second row.
+_TWO_CTES = f"""
+eng AS (SELECT series_id, period, y, ret_share AS x1, lag(ret_share, 1) OVER w AS x2 FROM panel
+        WINDOW w AS (PARTITION BY series_id ORDER BY period)),
+m AS (SELECT count(*) AS n, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22,
+             covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+      FROM eng WHERE x2 IS NOT NULL AND period < {CUTOFF}),
+b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+             (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m),
+two AS (SELECT series_id, period, y, my + b1 * (x1 - m1)
+               + b2 * (coalesce(x2, lead(x2) OVER (PARTITION BY series_id ORDER BY period)) - m2) AS prediction
+        FROM eng, b)"""
+
+
+def _two_feature_predictor(p):
+    from .training import TrainConfig, fit_single
+    cfg = TrainConfig(target="y", time_col="period", series=["series_id"], features=["ret_share"], lags=[1],
+                      windows=[], select=False)
+    return fit_single(p.where(F.col("period") < CUTOFF), cfg, M.ModelSpec("Linear Regression", "linear"))
+
+
+@register("o1_predictor_scoring", with_panel(
+    f"SELECT series_id, period, {R('y', 10)} AS y, {R('prediction', 9)} AS prediction, 0.95::DOUBLE AS confidence, "
+    "CAST(0 AS BIGINT) AS schema_warnings FROM two", _TWO_CTES))
+def q_o1(spark, sf):
+    """O1 through ``Predictor.predict``: schema check (S5), lags, fill chain (F3),
+    robust scaling (F5), stored feature list (P8), model, confidence (O2)."""
+    p = _panel(spark, sf).drop("year")
+    pr = _two_feature_predictor(p)
+    out = _rounded(pr.predict(p, return_confidence=True), {"y": 10, "prediction": 9})
+    return out.withColumn("schema_warnings", F.lit(pr.schema_report.count()).cast("long"))
+
+
+@register("s7_s8_save_load_roundtrip", with_panel(
+    f"SELECT series_id, period, {R('y', 10)} AS y, {R('prediction', 9)} AS p_saved, {R('prediction', 9)} AS p_loaded FROM two",
+    _TWO_CTES))
 def q_s7(spark, sf):
     """Fit, save the package to the shared model folder, load it
     back and score; the loaded predictions must equal the originals."""
-    from .training import Predictor, TrainConfig, fit_single
+    from .training import Predictor
     p = _panel(spark, sf).drop("year")
-    cfg = TrainConfig(target="y", time_col="period", series=["series_id"], features=list(FEATS),
-                      lags=[1, 2], windows=[3, 6])
-    pr = fit_single(p.where(F.col("period") < CUTOFF), cfg,
-                    M.ModelSpec("GLM_Gamma_Log", "glm", {"family": "gamma", "link": "log"}))
+    pr = _two_feature_predictor(p)
     path = os.path.join(model_root(spark), f"best_model_{uuid.uuid4().hex[:12]}")
     pr.save(path)
     back = Predictor.load(path)
@@ -471,20 +504,25 @@ def q_s7(spark, sf):
     bad = j.where(F.abs(F.col("p_saved") - F.col("p_loaded")) > 1e-12).count()
     if bad:
         raise AssertionError(f"{bad} predictions differ after reload")
-    return j.select("series_id", "period", "y", "p_saved", "p_loaded")
+    return _rounded(j.select("series_id", "period", "y", "p_saved", "p_loaded"), {"y": 10, "p_saved": 9, "p_loaded": 9})
 
 
-@register("s6_batch_score_to_parquet")
+@register("s6_batch_score_to_parquet", with_panel(
+    f"SELECT scenario, series_id, period, {R('y', 10)} AS y, {R('prediction', 10)} AS prediction, "
+    "0.95::DOUBLE AS confidence FROM sc", _O4_CTES))
 def q_s6(spark, sf):
     """Score a batch and write input columns plus ``prediction``; the
     query returns what was written (read back from the shared folder)."""
     out = _scored(spark, sf)
     path = os.path.join(model_root(spark), f"scored_{uuid.uuid4().hex[:12]}")
     out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return _rounded(spark.read.parquet(path), {"y": 10, "prediction": 10})
 
 
-@register("o6_monitored_scoring")
+@register("o6_monitored_scoring", with_panel(
+    f"SELECT scenario, series_id, period, {R('prediction', 10)} AS prediction, "
+    f"(SELECT count(*) FROM sc) AS input_rows, "
+    f"(SELECT count(*) FROM lagd WHERE period >= {CUTOFF} AND l1 IS NULL) AS input_null_lag FROM sc", _O4_CTES))
 def q_o6(spark, sf):
     """Scoring with input null counts observed on the same pass."""
     s = _scenarios(spark, sf)
@@ -492,9 +530,8 @@ def q_o6(spark, sf):
     hist = x.where((F.col("scenario") == 0) & (F.col("period") < CUTOFF)).dropna()
     fm = M.fit_model(M.ModelSpec("Linear Regression", "linear"), hist, ["ret_share_lag_1"], "y")
     out, info = S.monitored(x.where(F.col("period") >= CUTOFF), fm.transform, ["ret_share_lag_1"])
-    res = out.select("scenario", "series_id", "period", "prediction").cache()
-    res.count()                                   # acting fills the observation
+    res = materialize(out.select("scenario", "series_id", "period", "prediction"))     # acting fills the observation
     obs = info["observation"].get
-    return res.withColumn("input_rows", F.lit(obs.get("rows"))) \
+    return _rounded(res, {"prediction": 10}).withColumn("input_rows", F.lit(obs.get("rows"))) \
         .withColumn("input_null_lag", F.lit(obs.get("null_ret_share_lag_1")))
 

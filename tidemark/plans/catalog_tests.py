@@ -50,13 +50,16 @@ def q_g3(spark, sf):
     return TS.qq_points(_panel(spark, sf), "y", by="series_id")
 
 
-def _lb_sql(lags=10):
+def _lb_sql(lags=10, p_value=False):
     lag_cols = ", ".join(f"lag(e, {k}) OVER (PARTITION BY series_id ORDER BY period) AS l{k}"
                          for k in range(1, lags + 1))
     sums = ", ".join(f"sum(e * l{k}) AS c{k}" for k in range(1, lags + 1))
     q = " + ".join(f"power(c{k} / c0, 2) / (n - {k})" for k in range(1, lags + 1))
+    h = f"(n * (n + 2) * ({q}) / 2)"
+    # the chi-square tail of ten degrees of freedom is a finite sum
+    tail = ", " + R(f"exp(-{h}) * (1 + {h} + power({h}, 2) / 2 + power({h}, 3) / 6 + power({h}, 4) / 24)", 9) + " AS lb_pvalue"
     return with_panel(f"""
-SELECT series_id, n, {R(f'n * (n + 2) * ({q})', 8)} AS lb_stat FROM (
+SELECT series_id, n, {R(f'n * (n + 2) * ({q})', 8)} AS lb_stat{tail if p_value else ""} FROM (
   SELECT series_id, CAST(count(*) AS BIGINT) AS n, sum(e * e) AS c0, {sums} FROM (
     SELECT series_id, e, {lag_cols} FROM (
       SELECT series_id, period, y - avg(y) OVER (PARTITION BY series_id) AS e FROM panel) a) b
@@ -69,6 +72,7 @@ def q_k13(spark, sf):
     return _rounded(lb.select("series_id", "n", "lb_stat"), {"lb_stat": 8})
 
 
-@register("k13_ljung_box_pvalue")
+@register("k13_ljung_box_pvalue", _lb_sql(p_value=True))
 def q_k13p(spark, sf):
-    return TS.ljung_box(_panel(spark, sf), "y", "period", series="series_id", lags=10)
+    lb = TS.ljung_box(_panel(spark, sf), "y", "period", series="series_id", lags=10)
+    return _rounded(lb.select("series_id", "n", "lb_stat", "lb_pvalue"), {"lb_stat": 8, "lb_pvalue": 9})

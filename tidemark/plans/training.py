@@ -53,6 +53,7 @@ class Predictor:
     results: DataFrame | None = None
     champion: str | None = None
     schema: dict | None = None
+    schema_report: DataFrame | None = None               # S5 report of the last predict
 
     def engineer(self, df: DataFrame) -> DataFrame:
         c = self.config
@@ -63,7 +64,7 @@ class Predictor:
     def predict(self, df: DataFrame, return_confidence: bool = False) -> DataFrame:
         """Score every row of every series in one plan."""
         c = self.config
-        validate_schema(df, self.schema or {}, required=self.base_features + [c.time_col, *c.series])
+        self.schema_report = validate_schema(df, self.schema or {}, required=self.base_features + [c.time_col, *c.series])
         x = self.engineer(df)
         x = FE.fill_chain(x, self.selected, self.train_medians, series=c.series, order=c.time_col,
                           skew_safe=c.skew_safe)
