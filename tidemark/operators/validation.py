@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .gram import LINEAR_KINDS, FoldGram
 from .models import FittedModel, ModelSpec, expand_grid, fit_model, is_numeric_failure
 
 
@@ -64,8 +65,13 @@ def _mse(fm: FittedModel, test: DataFrame, label: str) -> float:
 
 def cross_validate(spec: ModelSpec, data: DataFrame, features: list, label: str,
                    folds: list[Fold], params: dict | None = None, pos: str = "row_pos",
-                   parallelism: int = 4) -> list[float]:
-    """V4 per fold: fit on [0, train_end), MSE on the test range."""
+                   parallelism: int = 4, gram: FoldGram | None = None) -> list[float]:
+    """V4 per fold: fit on [0, train_end), MSE on the test range. Linear kinds
+    come from Gram sums (``gram``: already gathered ones)."""
+    if spec.kind in LINEAR_KINDS:
+        gram = gram or FoldGram(data, features, label, folds, pos)
+        return [gram.mse(spec.kind, {**spec.params, **(params or {})}, f) for f in folds]
+
     def one(f: Fold):
         tr = data.where(F.col(pos) < f.train_end)
         te = data.where((F.col(pos) >= f.test_start) & (F.col(pos) < f.test_end))
@@ -75,14 +81,22 @@ def cross_validate(spec: ModelSpec, data: DataFrame, features: list, label: str,
 
 
 def grid_search(spec: ModelSpec, data: DataFrame, features: list, label: str,
-                folds: list[Fold], pos: str = "row_pos", parallelism: int = 4):
+                folds: list[Fold], pos: str = "row_pos", parallelism: int = 4,
+                gram: FoldGram | None = None):
     """V3: every grid point scored by mean fold MSE (score = -MSE); the first
     best wins ties; returns (best params, [(params, fold MSEs)])."""
     grid = expand_grid(spec.grid)
     jobs = [(gi, f) for gi in range(len(grid)) for f in folds]
+    if spec.kind in LINEAR_KINDS:
+        gram = gram or FoldGram(data, features, label, folds, pos)
 
     def one(job):
         gi, f = job
+        if gram is not None and spec.kind in LINEAR_KINDS:
+            try:
+                return gram.mse(spec.kind, {**spec.params, **grid[gi]}, f)
+            except (ValueError, ArithmeticError):      # numpy's LinAlgError is a ValueError
+                return float("inf")
         tr = data.where(F.col(pos) < f.train_end)
         te = data.where((F.col(pos) >= f.test_start) & (F.col(pos) < f.test_end))
         try:
@@ -116,12 +130,13 @@ def train_models(specs: list[ModelSpec], data: DataFrame, features: list, label:
     data = data.persist()
     n = data.count()
     folds = expanding_folds(n, k)
+    gram = FoldGram(data, features, label, folds, pos) if any(s.kind in LINEAR_KINDS for s in specs) else None
     rows, summary = [], []
     for order, spec in enumerate(specs):
         try:
-            best, _ = grid_search(spec, data, features, label, folds, pos, parallelism) \
+            best, _ = grid_search(spec, data, features, label, folds, pos, parallelism, gram) \
                 if spec.grid else ({}, None)
-            mses = cross_validate(spec, data, features, label, folds, best, pos, parallelism)
+            mses = cross_validate(spec, data, features, label, folds, best, pos, parallelism, gram)
             mean, std, r = cv_rmse(mses)
             for f, m in zip(folds, mses):
                 rows.append((spec.name, str(best), order, f.fold, float(m), None))

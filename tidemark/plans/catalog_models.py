@@ -252,6 +252,44 @@ def q_v3(spark, sf):
     return _rounded(t, {"cv_rmse_mean": 10, "cv_rmse_std": 10})
 
 
+_GRIDS = {s.name: s.grid["alpha"] for s in M.linear_registry() if s.name in ("Ridge", "Lasso")}
+
+
+def _grid_sql(k=5):
+    """Ridge and lasso of y on ret_share in closed form, per grid point and fold."""
+    points = ", ".join(f"('{m}', {a}::DOUBLE, {i})" for m, grid in _GRIDS.items() for i, a in enumerate(grid))
+    slope = ("CASE model WHEN 'Ridge' THEN sxy / (sxx + alpha) "
+             "ELSE sign(sxy) * greatest(abs(sxy) / tn - alpha, 0) / (sxx / tn) END")
+    return with_panel(f"""
+SELECT model, alpha, {R('avg(mse)', 14)} AS cv_mse,
+       row_number() OVER (PARTITION BY model ORDER BY avg(mse), ai) = 1 AS is_best
+FROM mse GROUP BY model, alpha, ai""", POS_CTE + f""",
+fl AS (SELECT f AS fold, n - ({k} - f) * (n // {k + 1}) AS s, n - ({k} - f) * (n // {k + 1}) + n // {k + 1} AS e
+       FROM range({k}) r(f), (SELECT count(*) AS n FROM panel) c),
+al AS (SELECT * FROM (VALUES {points}) v(model, alpha, ai)),
+tr AS (SELECT fold, count(*) AS tn, avg(ret_share) AS mx, avg(y) AS my, regr_sxy(y, ret_share) AS sxy,
+              regr_sxx(y, ret_share) AS sxx FROM fl JOIN pos ON rp < fl.s GROUP BY fold),
+cf AS (SELECT fold, model, alpha, ai, {slope} AS b, my - ({slope}) * mx AS a FROM tr, al),
+mse AS (SELECT cf.model, cf.alpha, cf.ai, cf.fold, avg(power(y - (a + b * ret_share), 2)) AS mse
+        FROM cf JOIN fl USING (fold) JOIN pos ON rp >= fl.s AND rp < fl.e GROUP BY 1, 2, 3, 4)""")
+
+
+@register("v3_grid_search", _grid_sql())
+def q_v3_grid(spark, sf):
+    """V3 over the registry's ridge and lasso grids: every grid point's mean
+    fold MSE, the best of each model flagged (first wins ties)."""
+    p = _panel_pos(spark, sf).persist()
+    folds = V.expanding_folds(p.count(), 5)
+    gram = V.FoldGram(p, ["ret_share"], "y", folds)
+    rows = []
+    for spec in M.linear_registry():
+        if spec.name in _GRIDS:
+            best, scored = V.grid_search(spec, p, ["ret_share"], "y", folds, gram=gram)
+            rows += [(spec.name, float(g["alpha"]), float(sum(m) / len(m)), g == best) for g, m in scored]
+    p.unpersist()
+    return _rounded(spark.createDataFrame(rows, "model string, alpha double, cv_mse double, is_best boolean"), {"cv_mse": 14})
+
+
 # ----------------------------------------------------------------- G1 / A20 / G6
 
 @register("g1_evaluate_ols_panel", with_panel(f"""
