@@ -187,3 +187,28 @@ def test_gram_folds_equal_fitted_models(spark, kind, params):
             assert gram.mse(kind, params, f) > 0
         else:
             assert gram.mse(kind, params, f) == pytest.approx(want, rel=2e-3 if kind == "lasso" else 1e-6)
+
+
+def test_narrowed_quantiles_are_exact(spark):
+    import numpy as np
+    from tidemark.operators.quantile import column_quantiles
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.lognormal(0, 4)) if i % 17 else None, 0.0 if rng.random() < 0.9 else float(rng.normal()),
+             float("nan") if i % 50 == 0 else float(i % 3) * 1e300 * (-1) ** i, None, int(rng.integers(-5, 5))) for i in range(3_001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e int").repartition(5)
+    probs = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+    got = column_quantiles(df, ["a", "b", "c", "d", "e"], probs)
+    for i, c in enumerate("abce"):
+        x = np.array([r[i if c != "e" else 4] for r in rows if r[i if c != "e" else 4] is not None], dtype=float)
+        np.testing.assert_allclose(got[c], np.quantile(x[~np.isnan(x)], probs), rtol=1e-12)
+    assert got["d"] == [None] * len(probs)
+    a, b = (FE.fit_robust_scaler(df, ["a", "e"], method=m) for m in ("exact", "rank"))
+    assert a.center == pytest.approx(b.center) and a.scale == pytest.approx(b.scale)
+
+
+def test_equal_values_are_spread_over_partitions(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 0.0).otherwise(F.rand(1)).alias("x"))
+    d = W.with_row_pos(df.withColumn("t", F.monotonically_increasing_id()), ["x", "t"], "pos", partitions=8)
+    assert d.count() == 20_000 and d.select("pos").distinct().count() == 20_000
+    q = TS.qq_points(df, "x")
+    assert q.count() == 20_000

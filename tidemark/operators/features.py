@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, q
+from .quantile import column_quantiles
 from .windows import _cols, fill_forward_backward
 
 
@@ -42,10 +43,12 @@ class FittedImputer:
         return asdict(self)
 
 
-def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> FittedImputer:
+def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median", method: str = "exact") -> FittedImputer:
     """F1 (median of features and target) / F2 (median or mean). Exact
     medians; ``pyspark.ml.feature.Imputer`` uses approximate ones."""
-    if strategy == "median":
+    if strategy == "median" and method == "rank":
+        row = {c: v[0] for c, v in column_quantiles(df, cols, (0.5,)).items()}
+    elif strategy == "median":
         row = df.agg(*[F.expr(f"median({q(c)}) AS {q(c)}") for c in cols]).first()
     elif strategy == "mean":
         row = df.agg(*[F.expr(f"avg({q(c)}) AS {q(c)}") for c in cols]).first()
@@ -61,9 +64,10 @@ def fill_chain(df: DataFrame, cols: Sequence[str], train_medians: dict, series=N
     entirely null falls back to the training median)."""
     cols = list(cols)
     filled = fill_forward_backward(df, cols, series=series, order=order, skew_safe=skew_safe)
-    cur = filled.agg(*[F.expr(f"median({q(c)}) AS {q(c)}") for c in cols]).first()
+    new = [c for c in cols if train_medians.get(c) is None]      # only these need the scored data
+    cur = {c: v[0] for c, v in column_quantiles(filled, new, (0.5,)).items()} if new else {}
     return filled.withColumns({
-        c: F.expr(f"coalesce({q(c)}, {dlit(train_medians.get(c))}, {dlit(cur[c])})") for c in cols})
+        c: F.expr(f"coalesce({q(c)}, {dlit(cur[c] if c in cur else train_medians[c])})") for c in cols})
 
 
 # --------------------------------------------------------------------- F5 / F6 / K1
@@ -84,11 +88,15 @@ class FittedScaler:
         return asdict(self)
 
 
-def fit_robust_scaler(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
-    """centre by the exact median, divide by Q3 - Q1 (a zero range
+def fit_robust_scaler(df: DataFrame, cols: Sequence[str], method: str = "exact") -> FittedScaler:
+    """``method="rank"`` narrows brackets over the data instead of holding value
+    maps: for columns of many distinct values. F5: centre by the exact median, divide by Q3 - Q1 (a zero range
     divides by 1, as scikit-learn does). Spark's ``RobustScaler`` uses
     approximate quantiles and does not centre by default."""
-    q = _exact_median_iqr(df, cols)
+    if method == "rank":
+        q = {c: (a, m, b) for c, (a, m, b) in column_quantiles(df, cols, (0.25, 0.5, 0.75)).items()}
+    else:
+        q = _exact_median_iqr(df, cols)
     center = {c: float(q[c][1]) for c in cols}
     scale = {c: (float(q[c][2] - q[c][0]) or 1.0) for c in cols}
     return FittedScaler(center, scale, "robust")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import join_null_safe, q, safe_corr, safe_div, sample_skewness
+from .quantile import column_quantiles
 from .windows import _cols, add_lag_roll, with_row_pos
 
 STAT_SEP = "|"
@@ -82,10 +83,15 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
 
     ``exact`` — ``percentile`` aggregate (value->count map per group; right
     for panels and low-cardinality columns); ``rank`` — distributed exact
-    selection by global sort, for high-cardinality columns at scale;
+    selection for high-cardinality columns at scale: narrowing brackets
+    (``quantile.py``), with ``by`` a global sort;
     ``approx`` — ``percentile_approx``."""
     by, cols = _cols(by), list(cols)
     names = [f"q{i}" for i in range(len(probs))]
+    if method == "rank" and not by:
+        found = column_quantiles(df, cols, probs)
+        return df.sparkSession.createDataFrame([(c, *found[c]) for c in cols],
+                                               "column string, " + ", ".join(f"{n} double" for n in names))
     if method == "rank":
         parts = [_rank_quantiles(df, c, probs, by) for c in cols]
         out = parts[0]
@@ -103,7 +109,8 @@ def _rank_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: list[str]
     No task ever holds a group's values."""
     d = df.select(*by, F.col(c).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    d = with_row_pos(d, [*by, "_v"], "_pos")
+    # the tie-break lets range partitioning split equal values; their order does not matter
+    d = with_row_pos(d.withColumn("_t", F.monotonically_increasing_id()), [*by, "_v", "_t"], "_pos")
     g = d.groupBy(*by).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
     d = _attach(d, g, by).withColumn("_i", F.col("_pos") - F.col("_p0"))
     need, outs = None, []

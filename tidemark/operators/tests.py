@@ -26,7 +26,8 @@ def _ranked(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Ascending 1-based rank of ``col`` within each group plus the group
     size, from a global consecutive position (no per-group sort window)."""
     d = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    d = with_row_pos(d, [*by, "_x"], "_pos")
+    # the tie-break lets range partitioning split equal values; their order does not matter
+    d = with_row_pos(d.withColumn("_t", F.monotonically_increasing_id()), [*by, "_x", "_t"], "_pos").drop("_t")
     g = d.groupBy(*by).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
     if by:
         d = join_null_safe(d, g, by)
