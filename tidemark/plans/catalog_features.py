@@ -60,7 +60,7 @@ def q_w4_hot(spark, sf):
     gaps exist inside every bucket."""
     o = P.order_sequence(spark, sf, key="o_orderstatus")
     l2 = W.add_lag_roll(o, ["o_totalprice"], (2,), (), series="o_orderstatus",
-                        order=["o_orderdate", "o_orderkey"])
+                        order=["o_orderdate", "o_orderkey"], skew_safe=True, bucket_rows=1000)
     l2 = l2.withColumn("l2", F.when(F.col("o_orderkey") % 7 == 0, None)
                        .otherwise(F.col("o_totalprice_lag_2")))
     out = W.fill_forward_backward(l2, ["l2"], series="o_orderstatus",
@@ -519,3 +519,34 @@ def q_k1(spark, sf):
     q = FE.fit_quantile_scaler(p.where(F.col("period") < CUTOFF), FEATS)
     return q.transform(p).select("series_id", "period", *FEATS)
 
+
+
+@register("f2_mean_impute", with_panel(
+    f"SELECT series_id, period, {R('coalesce(l1, (SELECT avg(l1) FROM lagged WHERE period < ' + str(CUTOFF) + '))', 8)} AS avg_qty_lag_1 "
+    "FROM lagged",
+    "lagged AS (SELECT series_id, period, lag(avg_qty, 1) OVER (PARTITION BY series_id ORDER BY period) AS l1 FROM panel)"))
+def q_f2_mean(spark, sf):
+    """F2 mean strategy: the training mean fills the gap that a lag leaves."""
+    p = W.add_lag_roll(_panel(spark, sf), ["avg_qty"], (1,), (), series="series_id", order="period")
+    imp = FE.fit_imputer(p.where(F.col("period") < CUTOFF), ["avg_qty_lag_1"], "mean")
+    return _rounded(imp.transform(p).select("series_id", "period", "avg_qty_lag_1"), {"avg_qty_lag_1": 8})
+
+
+@register("f2_forward_fill", with_panel(
+    f"""SELECT series_id, period, {R("coalesce(last_value(v IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    "first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", 8)} AS avg_qty
+FROM gaps WINDOW w AS (PARTITION BY series_id ORDER BY period)""",
+    "gaps AS (SELECT series_id, period, CASE WHEN period % 3 <> 0 THEN avg_qty END AS v FROM panel)"))
+def q_f2_ffill(spark, sf):
+    """F2 forward fill (leading gaps take the first value) of a column with gaps."""
+    p = _panel(spark, sf).select("series_id", "period", F.when(F.col("period") % 3 != 0, F.col("avg_qty")).alias("avg_qty"))
+    return _rounded(W.fill_forward_backward(p, ["avg_qty"], series="series_id", order="period"), {"avg_qty": 8})
+
+
+@register("k6_zscore_outliers", """
+SELECT l_orderkey, l_linenumber, abs(l_extendedprice - m) / s > 2.0 AS l_extendedprice_zoutlier
+FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) t""")
+def q_k6_z(spark, sf):
+    """K6 z-score flags of every lineitem row."""
+    li = P.lineitem_frame(spark, sf).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return FE.zscore_outliers(li, ["l_extendedprice"], 2.0).drop("l_extendedprice")

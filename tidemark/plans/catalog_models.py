@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
 from ..operators import models as M
+from ..operators import profile as PR
 from ..operators import scoring as S
 from ..operators import validation as V
 from ..operators import windows as W
@@ -126,6 +127,7 @@ def q_m4(spark, sf):
 GLMS = [("GLM_Gamma_Log", {"family": "gamma", "link": "log"}),
         ("GLM_Gamma_Identity", {"family": "gamma", "link": "identity"}),
         ("GLM_Gaussian_Log", {"family": "gaussian", "link": "log"}),
+        ("GLM_Tweedie_1.1", {"family": "tweedie", "var_power": 1.1, "link": "log"}),
         ("GLM_Tweedie_1.5", {"family": "tweedie", "var_power": 1.5, "link": "log"}),
         ("GLM_Tweedie_1.9", {"family": "tweedie", "var_power": 1.9, "link": "log"})]
 
@@ -316,6 +318,43 @@ def q_g1(spark, sf):
                      "actual_min": 10, "actual_max": 10})
 
 
+_RES_CTE = """
+res AS (SELECT series_id, period, y, ret_share, y - (regr_intercept(y, ret_share) OVER () + regr_slope(y, ret_share) OVER () * ret_share) AS e
+        FROM panel)"""
+
+
+def _residuals(spark, sf):
+    """Least squares of y on ret_share: fitted and residual columns beside the label."""
+    p = materialize(_panel(spark, sf))
+    fm = M.fit_model(M.ModelSpec("Linear Regression", "linear"), p, ["ret_share"], "y")
+    return fm.transform(p).withColumn("e", F.col("y") - F.col("prediction"))
+
+
+@register("g6_residual_rows", with_panel(
+    f"SELECT series_id, period, {R('y - e', 10)} AS fitted, {R('e', 10)} AS residual FROM res", _RES_CTE))
+def q_g6(spark, sf):
+    """Fitted value and residual of every row."""
+    out = _residuals(spark, sf).select("series_id", "period", F.col("prediction").alias("fitted"), F.col("e").alias("residual"))
+    return _rounded(out, {"fitted": 10, "residual": 10})
+
+
+@register("g2_residual_histogram", with_panel(f"""
+SELECT bin, {R('mn + (mx - mn) * bin / 20', 9)} AS lower, {R('mn + (mx - mn) * (bin + 1) / 20', 9)} AS upper,
+       CAST(count(*) AS BIGINT) AS count
+FROM (SELECT CAST(least(floor((e - mn) * 20.0 / (mx - mn)), 19) AS BIGINT) AS bin, mn, mx
+      FROM res, (SELECT min(e) AS mn, max(e) AS mx FROM res) s) t GROUP BY bin, mn, mx""", _RES_CTE))
+def q_g2_res(spark, sf):
+    """The residuals in 20 equal bins."""
+    return _rounded(PR.histogram(_residuals(spark, sf), "e", bins=20), {"lower": 9, "upper": 9})
+
+
+@register("g3_residual_qq")
+def q_g3_res(spark, sf):
+    """Normal quantiles against the sorted residuals (DuckDB has no normal quantile function)."""
+    from ..operators import tests as TS
+    return TS.qq_points(_residuals(spark, sf), "e")
+
+
 @register("g8_actual_vs_predicted", with_panel(f"""
 SELECT series_id, period, {R('y', 10)} AS actual, {R('p', 10)} AS predicted FROM (
   SELECT series_id, period, y,

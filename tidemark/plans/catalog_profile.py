@@ -397,3 +397,27 @@ def q_p5(spark, sf):
 def q_x1(spark, sf):
     p = _panel(spark, sf).drop("year")
     return PR.dummy_advisor(p, "y", "period", series="series_id")
+
+
+_A9_COLS = ["l_linenumber", "l_tax", "l_quantity"]
+
+
+@register("a9_sorted_distinct_values", "SELECT * FROM (" + _union(
+    [f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem GROUP BY {c}" for c in _A9_COLS])
+    + """) t WHERE "column" IN (SELECT "column" FROM (""" + _union(
+    [f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n FROM lineitem" for c in _A9_COLS]) + ") u WHERE n <= 10)")
+def q_a9_values(spark, sf):
+    """The distinct values of columns that have at most ten."""
+    li = P.read_table(spark, sf, "lineitem", _A9_COLS)
+    rows = [(c, float(v)) for c, vs in PR.distinct_values(li, _A9_COLS).items() for v in vs]
+    return spark.createDataFrame(rows, "column string, value double")
+
+
+@register("j3_missing_names", with_panel(
+    "SELECT feature FROM (" + _union([f"SELECT '{c}' AS feature, count({c}) AS n FROM panel" for c in ["avg_tax", "ret_share"]])
+    + ") t WHERE n > 0"))
+def q_j3(spark, sf):
+    """The training features that a scoring frame lacks (it has no avg_tax and no ret_share)."""
+    p = _panel(spark, sf)
+    stats = PR.fit_feature_stats(p.where(F.col("period") < CUTOFF), FEATS).select("feature")
+    return PR.missing_features(stats, p.drop("avg_tax", "ret_share").columns)
