@@ -22,8 +22,10 @@ rows stay; with fewer than ``2 * FOLDS`` labelled documents of either kind every
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -248,7 +250,7 @@ def _logistic(x: np.ndarray, z: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(texts: list[str], toxic: list[int]) -> Tagger:
-    """Train on labelled documents, held in one process (the sample is bounded). The map
+    """Train on labelled documents, held by one task (the sample is bounded). The map
     is fitted on documents tagged by chains of the other ``FOLDS`` - 1 folds."""
     tagger = Tagger()
     y = np.array(toxic, dtype=bool)
@@ -265,9 +267,10 @@ def fit(texts: list[str], toxic: list[int]) -> Tagger:
     for f in range(FOLDS):
         _fit_chain(tagger, docs, y, np.flatnonzero(fold != f), ids)
         held = np.flatnonzero(fold == f)
-        for top, expected, _ in tagger.tag([texts[i] for i in held]):
-            top = min(max(top, 1e-9), 1 - 1e-9)
-            x.append((1.0, math.log(top / (1 - top)), math.log1p(expected)))
+        for at in range(0, len(held), 200):
+            for top, expected, _ in tagger.tag([texts[i] for i in held[at:at + 200]]):
+                top = min(max(top, 1e-9), 1 - 1e-9)
+                x.append((1.0, math.log(top / (1 - top)), math.log1p(expected)))
         z.append(y[held])
     tagger.map = _logistic(np.array(x), np.concatenate(z).astype(float))
     _fit_chain(tagger, docs, y, np.arange(len(docs)), ids)
@@ -292,8 +295,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = []
     for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         chosen = known.where(F.col("__y") == y).orderBy(*order).limit(2 * n)     # some have no text or a long one
-        sample += texts.join(F.broadcast(chosen), "__id").orderBy(*order).limit(n).collect()
-    return fit([r["__t"] for r in sample], [r["__y"] for r in sample])
+        sample.append(texts.join(F.broadcast(chosen), "__id").orderBy(*order).limit(n).select("__t", "__y"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t) for b in batches for t, y in zip(b.column("__t").to_pylist(), b.column("__y").to_pylist()))
+        tagger = fit([t for _, t in rows], [y for y, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["model"])
+
+    # one task fits the bounded sample, away from the driver; only the weights come back
+    small_batches(docs.sparkSession)
+    row = sample[0].unionByName(sample[1]).coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else Tagger()
 
 
 _MEMORIES: dict[str, Memory] = {}
