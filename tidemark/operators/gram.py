@@ -9,6 +9,8 @@ the number of folds, models and grid points. The data is read twice.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ class FoldGram:
         self.p = len(features)
         d = data.dropna(subset=cols)
         means = d.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        self.center = np.array([means[f"m{i}"] or 0.0 for i in range(len(cols))])
         self.edges = sorted({0, *(e for f in folds for e in (f.train_end, f.test_start, f.test_end))})
         block = " + ".join(f"CAST({q(pos)} >= {e} AS int)" for e in self.edges)
         z = [f"({q(c)} - {dlit(means[f'm{i}'] or 0.0)})" for i, c in enumerate(cols)]
@@ -73,3 +76,16 @@ class FoldGram:
             return float("nan")
         w = np.append(-b, 1.0)                     # residual = w . z - a
         return float(max(0.0, (w @ g @ w - 2 * a * (w @ s)) / n + a * a))
+
+
+def linear_grid(df: DataFrame, features: list, label: str, kind: str, grid: list[dict]) -> list[tuple[dict, float, list[float]]]:
+    """(params, intercept, slopes) of a linear kind at every grid point, fitted on
+    all complete rows from one set of Gram sums: the data is read twice, however
+    many points and iterations there are."""
+    everything = SimpleNamespace(train_end=1, test_start=0, test_end=1)
+    gram = FoldGram(df.withColumn("_pos", F.lit(0)), features, label, [everything], "_pos")
+    out = []
+    for params in grid:
+        a, b = gram.coefficients(kind, params, 0, 1)
+        out.append((params, float(a + gram.center[-1] - b @ gram.center[:-1]), [float(x) for x in b]))
+    return out

@@ -94,7 +94,9 @@ def _sel_frame(spark, sf):
 @register("k2_rfe_selection")
 def q_k2(spark, sf):
     d, cand = _sel_frame(spark, sf)
-    return spark.createDataFrame([(n,) for n in CF.select_rfe(d, cand, "y", 10)], "feature string")
+    names = CF.select_rfe(d, cand, "y", 10)
+    d.unpersist()
+    return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
 @register("k3_lasso_selection")
@@ -107,14 +109,16 @@ def q_k3(spark, sf):
     li = li.select((F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity", "l_discount",
                    "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber")).cache()
     keep = CF.select_lasso(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "price_k", 0.01)
+    li.unpersist()
     return spark.createDataFrame([(n,) for n in keep], "feature string")
 
 
 @register("k4_tree_importance_selection")
 def q_k4(spark, sf):
     d, cand = _sel_frame(spark, sf)
-    return spark.createDataFrame([(n,) for n in CF.select_tree_importance(d, cand, "y", 0.01)],
-                                 "feature string")
+    names = CF.select_tree_importance(d, cand, "y", 0.01)
+    d.unpersist()
+    return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
 _RSI_FRAME = "(PARTITION BY series_id ORDER BY period ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"

@@ -14,6 +14,7 @@ from ..operators import profile as PR
 from ..operators import scoring as S
 from ..operators import validation as V
 from ..operators import windows as W
+from ..operators.gram import linear_grid
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import panels as P
 from .catalog import FEATS, register
@@ -64,11 +65,8 @@ LASSO_ALPHAS = (0.001, 0.01, 0.1, 1.0)
 def q_m2(spark, sf):
     """M2 ridge grid on the panel, y on ret_share; closed-form oracle
     b = Sxy / (Sxx + alpha)."""
-    p = _panel(spark, sf).cache()
-    rows = []
-    for a in RIDGE_ALPHAS:
-        fm = M.fit_model(M.ModelSpec("Ridge", "ridge", {"alpha": a}), p, ["ret_share"], "y")
-        rows.append((a, float(fm.model.intercept), float(fm.model.coefficients[0])))
+    fits = linear_grid(_panel(spark, sf), ["ret_share"], "y", "ridge", [{"alpha": a} for a in RIDGE_ALPHAS])
+    rows = [(p["alpha"], a, b[0]) for p, a, b in fits]
     return _rounded(spark.createDataFrame(rows, "alpha double, intercept double, coef double"),
                     {"intercept": 10, "coef": 10})
 
@@ -85,11 +83,9 @@ def q_m3(spark, sf):
     """M3 lasso grid over every lineitem row (price in thousands on
     quantity); oracle: soft-threshold of cov(x, y) at alpha over var(x)."""
     li = P.lineitem_frame(spark, sf).select(
-        (F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity").cache()
-    rows = []
-    for a in LASSO_ALPHAS:
-        fm = M.fit_model(M.ModelSpec("Lasso", "lasso", {"alpha": a}), li, ["l_quantity"], "price_k")
-        rows.append((a, float(fm.model.intercept), float(fm.model.coefficients[0])))
+        (F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity")
+    fits = linear_grid(li, ["l_quantity"], "price_k", "lasso", [{"alpha": a} for a in LASSO_ALPHAS])
+    rows = [(p["alpha"], a, b[0]) for p, a, b in fits]
     return _rounded(spark.createDataFrame(rows, "alpha double, intercept double, coef double"),
                     {"intercept": 5, "coef": 5})
 
@@ -108,16 +104,12 @@ SELECT alpha, l1_ratio, """ + R("my - b * mx", 5) + " AS intercept, " + R("b", 5
   GROUP BY alpha, l1_ratio) t""")
 def q_m4(spark, sf):
     """M4 elastic net over every lineitem row, grid alpha x l1_ratio, in
-    scikit-learn's parameterisation (converted in ``fit_model``); oracle:
+    scikit-learn's parameterisation, from one set of Gram sums; oracle:
     the one-feature closed form soft(cov, alpha*l1) / (var + alpha*(1-l1))."""
     li = P.lineitem_frame(spark, sf).select(
-        (F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity").cache()
-    rows = []
-    for a, l1 in ENET_GRID:
-        fm = M.fit_model(M.ModelSpec("Elastic Net", "enet", {"alpha": a, "l1_ratio": l1}), li,
-                         ["l_quantity"], "price_k")
-        rows.append((a, l1, float(fm.model.intercept), float(fm.model.coefficients[0])))
-    li.unpersist()
+        (F.col("l_extendedprice") / 1000).alias("price_k"), "l_quantity")
+    fits = linear_grid(li, ["l_quantity"], "price_k", "enet", [{"alpha": a, "l1_ratio": l1} for a, l1 in ENET_GRID])
+    rows = [(p["alpha"], p["l1_ratio"], a, b[0]) for p, a, b in fits]
     return _rounded(spark.createDataFrame(rows, "alpha double, l1_ratio double, intercept double, "
                                                 "coef double"), {"intercept": 5, "coef": 5})
 
