@@ -212,3 +212,13 @@ def test_equal_values_are_spread_over_partitions(spark):
     assert d.count() == 20_000 and d.select("pos").distinct().count() == 20_000
     q = TS.qq_points(df, "x")
     assert q.count() == 20_000
+
+
+def test_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+    from tidemark import session
+    conf = SimpleNamespace(get=lambda *_: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(
+        getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077", setCheckpointDir=lambda d: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
