@@ -81,30 +81,19 @@ def _unary(fp: str) -> str:
     return f"(({a} | {b}) | shiftleft({a} & {b}, 1))"
 
 
-def _half(fp: str, half: str) -> str:
-    return f"(shiftrightunsigned({_unary(fp)}, 32 * {half}) & 4294967295L)"
+_HALF = "4294967295L"
 
 
 def _cells(reps: DataFrame) -> DataFrame:
-    """(cell, fp): per half the own cell and all cells one step away."""
-    halves = reps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).selectExpr(
-        "fp", "half", f"{_half('fp', 'half')} AS h")
+    """(cell, fp, u): per half the own cell and all cells one step away; u: the counts in unary."""
+    halves = (reps.selectExpr("fp", f"{_unary('fp')} AS u").select("fp", "u", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+              .selectExpr("fp", "u", "half", f"shiftrightunsigned(u, 32 * half) & {_HALF} AS h"))
     steps = """flatten(transform(sequence(0, 30, 2), i -> CASE shiftright(h, i) & 3L
         WHEN 0 THEN array(h | shiftleft(1L, i))
         WHEN 1 THEN array(h ^ shiftleft(1L, i), h | shiftleft(2L, i))
         ELSE array(h ^ shiftleft(2L, i)) END))"""
-    return halves.selectExpr("fp", f"explode(concat(array(h), {steps})) AS c", "half").selectExpr(
-        "c | shiftleft(CAST(half AS long), 32) AS cell", "fp")
-
-
-def _meets(half: int) -> str:
-    """The cell of this half in which the pair a.fp < b.fp is emitted, if within two steps."""
-    a, b = _half("a.fp", str(half)), _half("b.fp", str(half))
-    d, low = f"({a} ^ {b})", f"(({a} ^ {b}) & -({a} ^ {b}))"
-    same_segment = f"(({d} ^ {low}) = shiftleft({low}, 1) AND ({low} & {_EVEN}L) <> 0)"
-    return f"""(a.cell = (CASE bit_count({d}) WHEN 0 THEN {a} WHEN 1 THEN {a} & {b}
-        ELSE CASE WHEN {same_segment} THEN ({a} & {b}) | {low} ELSE {a} ^ ({d} ^ {low}) END END
-        | {half << 32}L))"""
+    return halves.selectExpr("fp", "u", f"explode(concat(array(h), {steps})) AS c", "half").selectExpr(
+        "c | shiftleft(CAST(half AS long), 32) AS cell", "fp", "u")
 
 
 def links(reps: DataFrame, bits: int) -> DataFrame:
@@ -112,11 +101,19 @@ def links(reps: DataFrame, bits: int) -> DataFrame:
     if not 0 <= bits <= 5:
         raise ValueError("the two halves cover up to 5 bits")
     cells = _cells(reps)
-    near = [f"bit_count({_half('a.fp', str(h))} ^ {_half('b.fp', str(h))}) <= 2" for h in (0, 1)]
+    # x, y: the two places in the half that the shared cell is of; they are at most two steps apart
+    shift = "CAST(32 * shiftright(a.cell, 32) AS int)"
+    x, y = (f"(shiftrightunsigned({t}.u, {shift}) & {_HALF})" for t in ("a", "b"))
+    low = f"(({x} ^ {y}) & -({x} ^ {y}))"
+    # the one cell that emits the pair: up to one step apart, the lower counts; two steps in one
+    # segment, the count between; else the second segment's count from the one, the first's from the other
+    cell = f"""CASE WHEN bit_count({x} ^ {y}) <= 1 THEN {x} & {y}
+        WHEN bit_count({low} & {_EVEN}L) = 1 AND ({x} ^ {y}) = 3L * {low} THEN ({x} & {y}) | {low}
+        ELSE {y} ^ {low} END"""
     return cells.alias("a").join(cells.alias("b"), F.expr(f"""a.cell = b.cell AND a.fp < b.fp
-        AND bit_count({_unary('a.fp')} ^ {_unary('b.fp')}) <= {bits}
-        AND bit_count(a.fp ^ b.fp) <= {bits}
-        AND CASE WHEN {near[0]} THEN {_meets(0)} ELSE {near[1]} AND {_meets(1)} END""")).selectExpr("a.fp AS u", "b.fp AS v")
+        AND bit_count(a.u ^ b.u) <= {bits} AND bit_count(a.fp ^ b.fp) <= {bits}
+        AND (a.cell <= {_HALF} OR bit_count((a.u ^ b.u) & {_HALF}) > 2)
+        AND (a.cell & {_HALF}) = ({cell})""")).selectExpr("a.fp AS u", "b.fp AS v")
 
 
 def as_hex(fp: Column | str) -> Column:
