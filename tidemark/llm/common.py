@@ -61,6 +61,17 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, total: int)
             .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)))
 
 
+def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the lowest hashes of ``key``; of a repeated key one,
+    null keys never. Keys are chosen first, alone, among those under a bound that leaves
+    a small multiple of n; only then do the rows' other columns move."""
+    share = min(1.0, (2 * n + 1_000) / max(rows.count(), 1))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    picked = (rows.select(key).where(F.col(key).isNotNull() & (h < int(share * (1 << 30)))).distinct()
+              .orderBy(h, key).limit(n))
+    return rows.join(F.broadcast(picked), key).dropDuplicates([key])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

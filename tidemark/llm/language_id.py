@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, slices, small_batches, stored
+from .common import join_by_key, sample_by_hash, slices, small_batches, stored
 from .html_text import main_text
 
 TRAIN_DOCS, TRAIN_CHARS, LEAST_DOCS = 4_000, 20_000, 3
@@ -67,7 +67,8 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     sample = (docs.select(docs["doc_id"].cast("long").alias("i"), docs["text"].cast("string").alias("t"), docs["lang"].cast("string").alias("l"))
-              .where(F.length("t").between(1, TRAIN_CHARS) & (F.length("l") > 0)).orderBy(F.xxhash64("i"), "i").limit(TRAIN_DOCS).collect())
+              .where(F.length("t").between(1, TRAIN_CHARS) & (F.length("l") > 0)))
+    sample = sample_by_hash(sample, "i", TRAIN_DOCS).collect()
     return fit([r["t"] for r in sample], [r["l"] for r in sample])
 
 

@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import sample_by_hash, stored, whole_text
 
 MIN_LENGTH = 16
 RUN = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
@@ -75,8 +75,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """The most frequent words of a bounded sample of documents."""
-    sample = (whole_text(docs, id_col, text_col).where(F.length("text").between(1, DICTIONARY_CHARS))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS))
+    sample = sample_by_hash(whole_text(docs, id_col, text_col).where(F.length("text").between(1, DICTIONARY_CHARS)),
+                            "doc_id", DICTIONARY_DOCS)
     words = (sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
              .groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY))
     return [r["w"] for r in words.collect()]
