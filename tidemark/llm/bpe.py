@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import Memory, slices, small_batches, whole_text
 
 #: Entries of a generation of a worker's memory.
-MEMO = 500_000
+MEMO = 300_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 #: Letters only, whichever Unicode version: the split pattern takes it whole.

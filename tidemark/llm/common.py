@@ -79,13 +79,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 class Memory:
     """A bounded dict for one Python worker, in two generations: ``young`` holds what
     the slice at hand needs; once it has ``limit`` entries it becomes the older
-    generation, from which what is seen again comes back."""
+    generation, from which what is seen again comes back. A worker serves one operator
+    after another, so only the memory in use keeps its entries."""
+
+    in_use: Memory | None = None
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
     def need(self, keys) -> list:
         """The distinct keys that are not known; all others are in ``young`` afterwards."""
+        if Memory.in_use is not self:
+            if Memory.in_use is not None:
+                Memory.in_use.young, Memory.in_use.old = {}, {}
+            Memory.in_use = self
         young, old, new = self.young, self.old, []
         for k in set(keys).difference(young):
             v = old.get(k)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Memory, slices, small_batches, stored, whole_text
 
 #: Entries of a generation of a worker's memory of words.
-MEMO = 500_000
+MEMO = 300_000
 #: Nodes of the search; the incumbent at the end is a full packing in any case.
 NODES = 6_000
 #: Fillings tried at a node.

@@ -31,7 +31,7 @@ from .common import Memory, slices, small_batches, whole_text
 #: Bytes of a chunk and of the first overlap between two.
 CHUNK, OVERLAP = 32_768, 256
 #: Entries of a generation of a worker's memory of piece counts.
-MEMO = 1_000_000
+MEMO = 600_000
 _PLAIN = re.compile(r" [^\s<>|]+")
 
 

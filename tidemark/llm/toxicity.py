@@ -47,7 +47,7 @@ CLEAR = math.log(16.0)
 FOLDS = 3
 THRESHOLD = 0.7
 #: Entries of a generation of a worker's memory of words.
-MEMO = 500_000
+MEMO = 300_000
 
 _TOKEN = re.compile(r"\w+")
 
