@@ -158,11 +158,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             suspects.append(screen(new, filters, buckets).join(old, "sha", "left_semi"))
         if b + 1 < batches:
             snapshots.append((new, snapshot_filters(new, buckets)))
-    suspects = union_all(suspects).distinct()
+    suspects = stored(grouped.join(union_all(suspects).distinct(), "sha", "left_semi")
+                      .groupBy("sha").agg(F.sum("n").alias("n")))
 
     # byte check: the normalised text itself is part of the grouping key
+    # (rows of a very common text meet its digest by broadcast and are combined where they lie)
     def suspected(shas: DataFrame) -> DataFrame:
-        return (texts.withColumn("sha", digest(F.col("text"))).join(shas.hint("shuffle_hash"), "sha", "left_semi")
+        return (join_by_key(texts.withColumn("sha", digest(F.col("text"))), shas, "sha", "n", total).drop("n")
                 .withColumn("text", ascii_lower("text")))
 
     classes = stored(suspected(suspects).groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
@@ -173,7 +175,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = join_by_key(rows.select("doc_id", "sha"), of_sha.where("texts = 1"), "sha", "group_size", total).select(
         "doc_id", "keep_id", "group_size", "sha")
     parts = [alone, same]
-    collided = of_sha.where("texts > 1").select("sha")
+    collided = of_sha.where("texts > 1").select("sha", F.col("group_size").alias("n"))
     if not collided.isEmpty():
         parts.append(suspected(collided).join(classes, ["sha", "text"]).select("doc_id", "keep_id", "group_size", "sha"))
     return union_all(parts).select("doc_id", "keep_id", "group_size",
