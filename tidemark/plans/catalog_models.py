@@ -373,7 +373,8 @@ def _one_row(a, b):
 
 def _scored(spark, sf):
     s = _scenarios(spark, sf)
-    x = W.add_lag_roll(s, ["ret_share"], (1,), (), series=["scenario", "series_id"], order="period")
+    # a small aggregate of three tables: built once for the statistics, the fit and the scores
+    x = materialize(W.add_lag_roll(s, ["ret_share"], (1,), (), series=["scenario", "series_id"], order="period"))
     hist = x.where((F.col("scenario") == 0) & (F.col("period") < CUTOFF))
     fm = M.fit_model(M.ModelSpec("Linear Regression", "linear"), hist.dropna(subset=["ret_share_lag_1"]),
                      ["ret_share_lag_1"], "y")
