@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import Memory, slices, small_batches, whole_text
 
+#: Characters of a slice: a merge then has many positions to work on at once.
+SLICE = 8_000_000
 #: Entries of a generation of a worker's memory.
 MEMO = 300_000
 
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for t in slices(batches, "text"):
+        for t in slices(batches, "text", SLICE):
             ids = c.encode_texts(t["text"].to_pylist())
             out = pa.table({"doc_id": t["doc_id"], "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                             "ids": pa.array(map(c.spell, ids), pa.string()),

@@ -108,7 +108,7 @@ class Memory:
             self.young, self.old = {}, self.young
 
 
-def slices(batches, column: str, size: int = 8_000_000):
+def slices(batches, column: str, size: int = 2_000_000):
     """Arrow batches joined to tables whose texts have about ``size`` characters."""
     held, n = [], 0
     for b in batches:
