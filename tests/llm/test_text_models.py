@@ -86,6 +86,18 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_markup_alone_splits_nothing():
+    first, short, last = "long text " * 200, "short part " * 9, "last words " * 160
+    want = "\n".join(x.strip() for x in ("One", first, "Two", short, "Three", last))
+    for page in (f"<body><section><h2>One</h2><p>{first}</p></section><section><h2>Two</h2><p>{short}</p></section><section><h2>Three</h2><p>{last}</p></section>",
+                 f"<table><tr><td>One</td></tr><tr><td>{first}</td></tr><tr><td>Two</td></tr><tr><td>{short}</td></tr><tr><td>Three</td></tr><tr><td>{last}</td></tr></table>",
+                 f"<div><h2>One</h2><div><p>{first}</p></div></div><form>Mail</form><div><h2>Two</h2><p>{short}</p></div><div class='ad'>Buy</div><h2>Three</h2><p>{last}</p>"):
+        assert html_text.main_text(page) == want
+    links = "".join(f"<li><a href='/{i}'>Topic number {i}</a></li>" for i in range(9))
+    assert html_text.main_text(f"<ul>{links}</ul><h1><a href='/'>Title</a></h1><p>Text.</p><div><ul>{links}</ul></div><p>End.</p>") == "Title\nText.\nEnd."
+    assert html_text.main_text(f"<ul>{links}</ul>").count("Topic") == 9
+
+
 def test_html_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "c"), (1, "u", "<p>x</p>", "c"), (None, None, None, "c"), (3, "v", long, "c")],
