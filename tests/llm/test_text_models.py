@@ -98,6 +98,24 @@ def test_markup_alone_splits_nothing():
     assert html_text.main_text(f"<ul>{links}</ul>").count("Topic") == 9
 
 
+@pytest.mark.parametrize("page, want", [
+    *[(f"<body><div class='{c}'><div class='sidebar'>Side</div><article><p>One.</p></article></div></body>", "One.")
+      for c in ("layout with-sidebar", "has-sidebar", "page-with-nav", "sidebar", "wrapper nav")],
+    ("<form><div id=comments><main><p>One.</p></main></div></form>", "One."),
+    ("<main><article><p>One.</p></article><div id='comments'><article>First!</article></div></main>", "One."),
+    ("<article><div class='entry-header'><h1>Title</h1></div><pre><code>a = 1 <span class='hljs-comment'># note</span></code></pre>"
+     "<p>Word <span class='tag'>kept</span>.</p><ul class='search-results'><li>Hit</li></ul><div class='header'>Lead</div></article>",
+     "Title\na = 1 # note\nWord kept.\nHit\nLead"),
+    ("<article><p>One.</p><figure><img src='a'><figcaption>Picture</figcaption></figure><p>If <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> then.</p></article>",
+     "One.\nPicture\nIf x<2 then."),
+    ("<article><p class=ad>Buy<p>One.<ul><li class=promo>Buy<li>Two<li class=promo>Buy</ul><p>Three."
+     "<table><tr class=ad><td>Buy<td>Buy<tr><td class=ad>Buy<td>Four</table><dl><dt class=ad>Buy<dd>Five</dl></article>", "One.\nTwo\nThree.\nFour\nFive"),
+    ("<article><div class='ad'><b>Buy<p>Buy</div><p>One.</p><div class='cookie-banner'>Cookies<div>x</div></div><p>Two.</p></article>", "One.\nTwo."),
+])
+def test_skipped_elements(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "c"), (1, "u", "<p>x</p>", "c"), (None, None, None, "c"), (3, "v", long, "c")],
