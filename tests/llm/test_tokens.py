@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +116,45 @@ def test_bin_completion_finds_the_optimum():
         assert packing.lower_bound(count, size) <= _fewest(lengths, size) == sum(t for t, _ in bins)
 
 
+@pytest.mark.parametrize("times", [1, 1_000])
+def test_hot_lengths_take_the_undominated_filling(times):
+    count = np.zeros(2_049, dtype=np.int64)
+    count[[1100, 500, 300]] = np.array([12, 12, 36]) * times
+    bins = packing.complete(count, 2_048)
+    assert sum(t for t, _ in bins) == 15 * times
+    assert Counter({x: sum(t * b.count(x) for t, b in bins) for x in (1100, 500, 300)}) == Counter({1100: 12 * times, 500: 12 * times, 300: 36 * times})
+
+
+def test_few_hot_lengths_reach_the_optimum():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        size = int(rng.integers(10, 60))
+        kinds = rng.integers(2, size * 2 // 3, 3)
+        lengths = sorted(rng.choice(kinds, int(rng.integers(6, 12))).tolist(), reverse=True)
+        bins = packing.complete(np.bincount(lengths, minlength=size + 1), size, 100_000)
+        assert Counter(x for t, b in bins for x in b for _ in range(t)) == Counter(lengths)
+        assert sum(t for t, _ in bins) == _fewest(lengths, size)
+
+
+def test_every_filling_is_dominated_by_a_listed_one():
+    rng = np.random.default_rng(5)
+
+    def fits(a, room):
+        """Whether the pieces of a fit into places of these lengths, by trying all."""
+        return not a or any(a[0] <= x and fits(a[1:], [*room[:i], x - a[0], *room[i + 1:]]) for i, x in enumerate(room))
+
+    for _ in range(40):
+        room = int(rng.integers(3, 25))
+        have = np.bincount(rng.integers(1, room + 1, int(rng.integers(1, 7))), minlength=room + 1)
+        listed = [f for f in packing.undominated(have, room, room) if f is not None]
+        assert len(listed) == len(set(listed))
+        pieces = [x for x in range(1, room + 1) for _ in range(have[x])]
+        for n in range(1, len(pieces) + 1):
+            for f in set(itertools.combinations(pieces, n)):
+                if sum(f) <= room:
+                    assert any(fits(sorted(f, reverse=True), list(g)) or sum(f) == 0 for g in listed)
+
+
 def test_hashes_of_the_queries(spark):
     """The digest columns derive from the operator's own output."""
     from tidemark.llm import queries as Q

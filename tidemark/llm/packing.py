@@ -4,12 +4,16 @@ Documents become runs of token ids; only a document longer than a sequence is
 cut. What has to be packed is then known from a histogram: how many pieces
 there are of each length, at most ``size`` numbers whatever the corpus. The
 search works on that histogram. It completes one sequence at a time around the
-longest piece left: the undominated fillings of the remaining room are listed,
-the fullest first, and the chosen filling is repeated as often as the pieces
-last. A branch is pruned once its waste, with the lower bound on what must
-still be wasted, allows no fewer sequences than the incumbent, which starts as
-the best-fit-decreasing packing; the search ends at the lower bound of the
-whole or after ``nodes`` nodes, and the incumbent holds.
+longest piece left: the undominated fillings of the remaining room are
+enumerated depth first, without those that waste more than the incumbent allows,
+and are tried the fullest first (where there are more than ``LISTED`` steps'
+worth, a few greedy ones are tried first and the others as they are found). A
+filling is repeated as often as the pieces last, and then any smaller number of
+times. A branch is pruned once its sequences, with the lower bound of what is
+left, are no fewer than the incumbent's, which starts as the best-fit-decreasing
+packing; the search ends at the lower bound of the whole, when all is tried, or
+after ``nodes`` nodes (a filling tried, or ``TICK`` steps of an enumeration), and
+the incumbent holds.
 
 The plan says: the pieces of length l with ranks [a, b) go to sequences
 s + rank - a at offset o. Pieces get consecutive ranks within their length from
@@ -27,6 +31,7 @@ import math
 import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -41,8 +46,10 @@ from .common import Memory, slices, small_batches, stored, whole_text
 MEMO = 300_000
 #: Nodes of the search; the incumbent at the end is a full packing in any case.
 NODES = 6_000
-#: Fillings tried at a node.
+#: Greedy fillings tried first where the undominated ones are too many to sort.
 WIDTH = 6
+#: Steps of an enumeration before it goes on as it is used, and steps that count as a node.
+LISTED, TICK = 400, 50
 #: Pieces that a numbering task sorts.
 BUCKET_ROWS = 200_000
 
@@ -144,15 +151,14 @@ def lower_bound(count: np.ndarray, size: int) -> int:
     middle ones cannot fit into their room."""
     lengths = np.arange(size + 1)
     total = int((count * lengths).sum())
-    best = -(-total // size)
     upto, mass = np.cumsum(count), np.cumsum(count * lengths)
-    for k in range(1, size // 2 + 1):
-        big = int(upto[size] - upto[size - k])                      # longer than size - k
-        mid = int(upto[size - k] - upto[size // 2])                 # longer than a half
-        mid_mass = int(mass[size - k] - mass[size // 2])
-        small = int(mass[size // 2] - mass[k - 1])
-        best = max(best, big + mid + max(0, -(-(small - (mid * size - mid_mass)) // size)))
-    return best
+    k = np.arange(1, size // 2 + 1)
+    big = upto[size] - upto[size - k]                               # longer than size - k
+    mid = upto[size - k] - upto[size // 2]                          # longer than a half
+    mid_mass = mass[size - k] - mass[size // 2]
+    small = mass[size // 2] - mass[k - 1]
+    bounds = big + mid + np.maximum(0, -(-(small - (mid * size - mid_mass)) // size))
+    return max(-(-total // size), int(bounds.max(initial=0)))
 
 
 def _pair(have: np.ndarray, room: int) -> tuple[int, int] | None:
@@ -194,36 +200,91 @@ def _greedy(have: np.ndarray, room: int, skip: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of a fit into places as long as the pieces of b."""
-    room = sorted(b)
-    for x in sorted(a, reverse=True):
-        fit = [i for i, r in enumerate(room) if r >= x]
-        if not fit:
-            return False
-        room[fit[0]] -= x
-        room.sort()
-    return True
-
-
-def fillings(have: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room beside the longest piece, fullest first."""
+def undominated(have: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings that leave at most ``allowed`` of the room, longest pieces first; None after every TICK steps.
+    A filling is dominated if a piece not in it fits into what it leaves, with the place of none, one, two or all of
+    its pieces that are together not longer."""
+    asc = (np.flatnonzero(have[1:room + 1]) + 1).tolist()
+    lens = asc[::-1]
+    number = {x: int(have[x]) for x in lens}
+    mass = [0]                                       # of the pieces from a place of lens on
+    for x in asc:
+        mass.append(mass[-1] + x * number[x])
+    mass.reverse()
+    steps = 0
+
+    def free(low: int, high: int, used: dict[int, int]) -> bool:
+        for x in asc[bisect_left(asc, low):bisect_right(asc, high)]:
+            if number[x] > used.get(x, 0):
+                return True
+        return False
+
+    def dominated(used: dict[int, int], rest: int) -> bool:
+        if free(1, rest, used) or any(free(x + 1, x + rest, used) for x in used):
+            return True
+        held = list(used)
+        pairs = {x + y for i, x in enumerate(held) for y in held[i + (used[x] < 2):]}
+        if sum(used.values()) > 2:
+            pairs.add(room - rest)
+        return any(free(x, x + rest, used) for x in pairs)
+
+    def go(at: int, rest: int, used: dict[int, int], allowed: int) -> Iterator[tuple[int, ...] | None]:
+        nonlocal steps
+        k = max(at, len(lens) - bisect_right(asc, rest))
+        if k == len(lens):
+            if rest <= allowed and not dominated(used, rest):
+                yield tuple(x for x, n in used.items() for _ in range(n))
+            return
+        while k < len(lens) and rest - mass[k] <= allowed:
+            x = lens[k]
+            most = min(number[x], rest // x)
+            for n in range(most, 0, -1):
+                steps += 1
+                if steps % TICK == 0:
+                    yield None
+                # a piece of this length that stays out may not fit into what is left
+                yield from go(k + 1, rest - n * x, {**used, x: n}, min(allowed, x - 1) if n < number[x] else allowed)
+            allowed = min(allowed, x - 1)
+            k += 1
+
+    return go(0, room, {}, allowed)
+
+
+def fillings(have: np.ndarray, room: int, allowed: int, width: int = WIDTH) -> Iterator[tuple[int, ...] | None]:
+    """Undominated ways to fill the room beside the longest piece with at most ``allowed`` left; None after every TICK steps
+    beyond the first. The fullest first, where they can be listed; else greedy ones and then all others."""
     if room == 0 or not have[1:room + 1].any():
-        return [()]
+        if room <= allowed:
+            yield ()
+        return
     if have[room]:
-        return [(room,)]                 # one exact piece dominates all else
+        yield (room,)                    # one exact piece dominates all else
+        return
+    every, listed, ticks = undominated(have, room, allowed), [], 0
+    for f in every:
+        if f is not None:
+            listed.append(f)
+        elif (ticks := ticks + 1) * TICK >= LISTED:
+            break
+    else:
+        yield from sorted(listed, key=lambda f: (-sum(f), len(f), [-x for x in f]))
+        return
     found = {(int(np.flatnonzero(have[:room + 1])[-1]),)}
     if two := _pair(have, room):
         found.add(two)
     for skip in range(width):
         if got := _greedy(have, room, skip):
             found.add(tuple(sorted(got, reverse=True)))
-    order = sorted(found, key=lambda f: (-sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in order:
-        if not any(len(f) + len(g) <= 64 and _dominated(f, g) for g in kept):
-            kept.append(f)
-    return kept[:width]
+    found = sorted((f for f in found if room - sum(f) <= allowed), key=lambda f: (-sum(f), len(f), [-x for x in f]))[:width]
+    yield from found
+    yield from (f for f in chain(sorted(listed, key=lambda f: -sum(f)), every) if f not in found)
+
+
+def _times(most: int) -> Iterator[int]:
+    """most, its halves, and then every smaller number."""
+    halves = [most >> i for i in range(most.bit_length())]
+    yield from halves
+    yield from (t for t in range(most - 1, 0, -1) if t not in halves)
 
 
 def best_fit(count: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -264,43 +325,58 @@ def complete(count: np.ndarray, size: int, nodes: int = NODES) -> list[tuple[int
     bound = lower_bound(count, size)
     best = best_fit(count, size)
     fewest = sum(t for t, _ in best)
-    have, path, waste = count.astype(np.int64).copy(), [], 0
-    stack: list[tuple[Iterator, int]] = []
-
-    def options() -> Iterator[tuple[int, tuple[int, ...]]]:
+    have, path, waste, used = count.astype(np.int64).copy(), [], 0, 0
+    #: of every node: what is to be tried, waste and sequences before it, its longest piece, fillings that are done with it
+    stack: list[tuple[Iterator, int, int, int, frozenset]] = []
+
+    def options(longest: int, done: frozenset, allowed: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        rest = have.copy()
+        rest[longest] -= 1
+        every = fillings(rest, size - longest, allowed)
+        ahead = [next(every, ...), next(every, ...)]
+        only = ahead[1] is ... and ahead[0] is not None          # no other filling is as good, any number of times
+        for f in chain(ahead, every):
+            if f is ...:
+                return
+            if f is None:
+                yield 0, ()
+            elif f not in done:
+                bin_ = (longest, *f)
+                need = np.unique(bin_, return_counts=True)
+                most = int((have[need[0]] // need[1]).min())
+                for t in (most,) if only else _times(most):
+                    yield t, bin_
+
+    def push(done: frozenset) -> None:
         longest = int(np.flatnonzero(have)[-1])
-        have[longest] -= 1
-        found = fillings(have, size - longest)
-        have[longest] += 1
-        for f in found:
-            bin_ = (longest, *f)
-            need = np.unique(bin_, return_counts=True)
-            yield int((have[need[0]] // need[1]).min()), bin_
-
-    stack.append((options(), waste))
+        if not (stack and stack[-1][3] == longest):
+            done = frozenset()
+        stack.append((options(longest, done, (fewest - 1) * size - total - waste), waste, used, longest, done))
+
+    push(frozenset())
     while stack and fewest > bound and nodes > 0:
-        tried, before = stack[-1]
+        tried, waste, used, _, done = stack[-1]
         if len(path) == len(stack):             # the last try of this node is undone
             times, bin_ = path.pop()
-            np.add.at(have, np.array(bin_), times)
-            waste = before
+            if times:
+                np.add.at(have, np.array(bin_), times)
         step = next(tried, None)
         if step is None:
             stack.pop()
             continue
         nodes -= 1
         times, bin_ = step
-        now = before + times * (size - sum(bin_))
-        if now > (fewest - 1) * size - total:   # cannot beat the incumbent
+        waste += times * (size - sum(bin_))
+        used += times
+        if not times or waste > (fewest - 1) * size - total:    # cannot beat the incumbent
             path.append((0, bin_))
             continue
         np.subtract.at(have, np.array(bin_), times)
         path.append(step)
-        waste = now
-        if have.any():
-            stack.append((options(), waste))
-        else:
-            fewest, best = sum(t for t, _ in path), [s for s in path if s[0]]
+        if not have.any():
+            fewest, best = used, [s for s in path if s[0]]
+        elif used + lower_bound(have, size) < fewest:
+            push(done | {bin_[1:]})
     return best
 
 
