@@ -191,6 +191,12 @@ def test_secrets_found_placed_and_masked(spark):
     assert secrets.scan(df.where("false")).collect() == [] and secrets.redact(df.where("false")).collect() == []
 
 
+def test_dictionary_counts_all_documents(spark):
+    rows = [(i, "common words") for i in range(2_000)] + [(9_999, "rare " * 5_000 + "x" * 9), (None, "null " * 3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.dictionary(df) == ["rare", "null", "common", "words", "xxxxxxxxx"]
+
+
 # ----------------------------------------------------------------- top k
 
 def test_block_search_equals_sorting():

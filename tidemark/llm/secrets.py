@@ -13,8 +13,7 @@ paths, and runs in running text are not. The forest is trained on a bounded samp
 labelled findings (``TRAIN_FINDINGS``, the lowest by a hash, and a few fixed ones so
 that both labels occur) and scores every finding of the corpus; what is under
 ``THRESHOLD`` is a false positive. The dictionary is the ``DICTIONARY`` most frequent
-words of a bounded sample of documents (``DICTIONARY_DOCS``); it is part of the
-classifier.
+words of all documents.
 
 Defined results: null and empty texts have no findings; a run is never cut, however
 long; repeated rows give repeated findings; null ids stay; an empty table gives no
@@ -30,13 +29,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash, stored, whole_text
+from .common import stored, whole_text
 
 MIN_LENGTH = 16
 RUN = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 #: Characters kept on either side of a run.
 CONTEXT = 64
-TRAIN_FINDINGS, DICTIONARY, DICTIONARY_DOCS, DICTIONARY_CHARS = 5_000, 500, 500, 20_000
+TRAIN_FINDINGS, DICTIONARY = 5_000, 500
 TREES, DEPTH, THRESHOLD = 30, 6, 0.5
 MASK = "[SECRET]"
 
@@ -74,11 +73,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The most frequent words of a bounded sample of documents."""
-    sample = sample_by_hash(whole_text(docs, id_col, text_col).where(F.length("text").between(1, DICTIONARY_CHARS)),
-                            "doc_id", DICTIONARY_DOCS)
-    words = (sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
-             .groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY))
+    """The most frequent words of all documents, each time a word stands there."""
+    words = (whole_text(docs, id_col, text_col).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+             .where(F.length("w") >= 3).groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY))
     return [r["w"] for r in words.collect()]
 
 
