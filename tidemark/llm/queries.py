@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (bpe, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
+from . import (align, bpe, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
                topk_search, toxicity)
 
 QUERIES: dict = {}
@@ -104,6 +104,12 @@ def op2(spark, sf_dir):
                                 read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+@register("op12_token_alignment")
+def op12(spark, sf_dir):
+    return align.align_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                 vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 # ------------------------------------------------------------ the pipeline
 
 def stage_toxicity(spark, docs, sf_dir):
