@@ -3,7 +3,9 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -104,10 +106,10 @@ def test_given_documents(spark):
 @given(st.lists(st.text(st.sampled_from("ab é.,'\n\t 　日🙂1x́▁\x00\x1c-"), max_size=40), max_size=4))
 def test_units_make_the_whole(texts):
     al = align.aligner(A, B)
-    cut, known = al.align_texts(texts), al.known.young
-    for t, ss in zip(texts, cut):
-        parts = [known[s] for s in ss]
-        got = "" if None in parts else "".join(p[0] for p in parts)
+    spelled = al.spelled.to_pylist()
+    for t, ss in zip(texts, align.segments(pa.array(texts, pa.string()), al.cuttable).to_pylist()):
+        parts = al.align_segments(ss or [])
+        got = "".join(spelled[w] for p in parts for w in np.frombuffer(p, np.int32)) if all(parts) else ""
         assert got == "".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) + ";" for x, y in WALK(t))
 
 
@@ -117,12 +119,10 @@ def test_wide_groups_count_by_distinct_ids(monkeypatch):
     want = None
     for wide in (10**9, 0):
         monkeypatch.setattr(align, "WIDE", wide)
-        al.known.young.clear(), al.known.old.clear()
-        _, _, _, weight, _, held, _ = al.slice([text])
+        _, _, _, weight, _, held, _ = al.slice(pa.array([text]))
         got = dict(zip(held.tolist(), weight.tolist()))
         assert want is None or got == want
         want = got
-    al.known.young.clear(), al.known.old.clear()
 
 
 def test_empty_table(spark):

@@ -36,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,28 +52,40 @@ WIDE = 64
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_RUN = re.compile(r"\s[ \n]")
-_WORD = re.compile(f" [{_LATIN}]+")
 _PREFIX = re.compile(f"[{_LATIN}]+(?=[!-@\\[-`{{-~])")
+_INNER = re.compile(r"\s")
+#: Units that can be joined with others: no white space but one leading space.
+_EVEN = re.compile(r" ?[^\s▁]+")
 _CROSSING = re.compile(f"[^▁]▁|\n|[{_LATIN}][!-@\\[-`{{-~]")
 
-#: A unit: its groups as text, the id pairs of its links, how often each is
-#: linked, and its numbers of A tokens, B tokens, groups and links; None if the
-#: tokenizers' bytes differ from the text's.
-Unit = tuple[str, bytes, bytes, int, int, int, int]
+#: Texts that a plain split at every space and line end would cut elsewhere too.
+_UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\x00"
 
 
-def segments(text: str) -> list[str]:
-    """Cut before a space or line end that follows another character."""
-    if "\0" in text or _RUN.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+def segments(texts: pa.Array, cut: bool) -> pa.ListArray:
+    """Cut space + text before every space or line end that follows another character;
+    null and empty texts have no segments. ``cut`` False: texts stay whole."""
+    full = pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type))
+    full = pc.if_else(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0), full, None)
+    if not cut:
+        return pa.array([[t] if t else [] for t in full.to_pylist()], pa.list_(texts.type))
+    uneven = pc.fill_null(pc.match_substring_regex(full, _UNEVEN), False)
+    marked = pc.replace_substring(pc.replace_substring(full, " ", "\0 "), "\n", "\0\n")
+    even = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), "\0")
+    if not pc.any(uneven).as_py():
+        return even
+    odd = pa.array([_CUT.split(t) if u else None for t, u in zip(full.to_pylist(), uneven.to_pylist())],
+                   pa.list_(texts.type))
+    return pa.array([o if u else e for o, u, e in zip(odd.to_pylist(), uneven.to_pylist(), even.to_pylist())],
+                    pa.list_(texts.type))
 
 
 def units(segment: str) -> list[str]:
     """A segment's units: `` word``, ``word``, ``\\n``, the rest behind a word."""
+    if segment[1:].isalpha() and segment[0] == " ":
+        return [segment]
     body = segment[1:]
-    if not body or re.search(r"\s", body):
+    if not body or _INNER.search(body):
         return [segment]
     word = _PREFIX.match(body)
     stop = word.end() if word else 0
@@ -134,7 +147,8 @@ class Aligner:
         self.bytes_b = Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                               for i, p in enumerate(pieces)])
         self.cuttable = not any(ok and _CROSSING.search(p) for ok, p in zip(plain, pieces))
-        self.decimal = [f"{i}{s}" for n, ss in ((self.size_a, ",|"), (self.size_b, ",;")) for s in ss for i in range(n)]
+        # a token in a group: its id, told apart by side and by being the last of its side
+        self.spelled = pa.array([f"{i}{s}" for n, ss in ((self.size_a, ",|"), (self.size_b, ",;")) for s in ss for i in range(n)])
         self.known = Memory(MEMO)
 
     def align(self, text: str) -> tuple[np.ndarray, ...] | None:
@@ -155,59 +169,37 @@ class Aligner:
         ends_b = self.bytes_b.ends(ids_b, chars[spans], raw)
         return None if ends_b is None else (ids_a, ends_a, ids_b, ends_b)
 
-    def _cut(self, got: tuple[np.ndarray, ...], bounds: np.ndarray) -> list[Unit]:
-        """The units that lie between the byte offsets (begin, end) of ``bounds``."""
+    def _cut(self, got: tuple[np.ndarray, ...], bounds: np.ndarray) -> list[bytes]:
+        """The units that lie between the byte offsets (begin, end) of ``bounds``: the
+        tokens (32-bit places in ``spelled``) of one group after the other, A's first."""
         ids_a, ends_a, ids_b, ends_b = got
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
-        upto_a, upto_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
-        # the text of a group: its A ids, its B ids, each list with commas and its own end
-        word = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        upto_a = np.append(0, np.cumsum(np.bincount(of_a, minlength=len(common))))
+        upto_b = np.append(0, np.cumsum(np.bincount(of_b, minlength=len(common))))
+        words = np.empty(len(ids_a) + len(ids_b), dtype=np.int32)
         last_a = np.arange(1, len(ids_a) + 1) == upto_a[of_a + 1]
         last_b = np.arange(1, len(ids_b) + 1) == upto_b[of_b + 1]
-        word[np.arange(len(ids_a)) + upto_b[of_a]] = ids_a + np.where(last_a, self.size_a, 0)
-        word[np.arange(len(ids_b)) + upto_a[of_b + 1]] = ids_b + 2 * self.size_a + np.where(last_b, self.size_b, 0)
-        words = list(map(self.decimal.__getitem__, word.tolist()))
-        # links: every A token meets its group's B tokens; wide groups by distinct ids
-        many = n_b[of_a]
-        wide = np.flatnonzero(n_a + n_b > WIDE)
-        many[np.isin(of_a, wide)] = 0
-        stop = np.cumsum(many)
-        meets = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - many, many) + np.repeat(upto_b[of_a], many)
-        pairs = np.repeat(ids_a, many) * self.size_b + ids_b[meets]
-        upto = np.append(0, np.cumsum(np.where(n_a + n_b > WIDE, 0, n_a * n_b)))
-        n_links = np.append(0, np.cumsum(n_a * n_b))
-        first, beyond = np.searchsorted(common, bounds[:, 0], "right"), np.searchsorted(common, bounds[:, 1], "right")
-        out = []
-        for g, h in zip(first.tolist(), beyond.tolist()):
-            found = pairs[upto[g]:upto[h]]
-            times = np.ones(len(found), dtype=np.int64)
-            for w in wide[(wide >= g) & (wide < h)] if len(wide) else ():
-                xs, nx = np.unique(ids_a[upto_a[w]:upto_a[w + 1]], return_counts=True)
-                ys, ny = np.unique(ids_b[upto_b[w]:upto_b[w + 1]], return_counts=True)
-                found = np.append(found, (xs[:, None] * self.size_b + ys).ravel())
-                times = np.append(times, (nx[:, None] * ny).ravel())
-            out.append(("".join(words[upto_a[g] + upto_b[g]:upto_a[h] + upto_b[h]]), found.tobytes(), times.tobytes(),
-                        int(upto_a[h] - upto_a[g]), int(upto_b[h] - upto_b[g]), h - g, int(n_links[h] - n_links[g])))
-        return out
-
-    def _joined(self, found: list[str], sep: str) -> list[Unit | None]:
-        """Align units as one text, behind a letter, parted by ``sep``."""
+        words[np.arange(len(ids_a)) + upto_b[of_a]] = ids_a + np.where(last_a, self.size_a, 0)
+        words[np.arange(len(ids_b)) + upto_a[of_b + 1]] = ids_b + 2 * self.size_a + np.where(last_b, self.size_b, 0)
+        flat, upto = words.tobytes(), 4 * (upto_a + upto_b)
+        first, beyond = (upto[np.searchsorted(common, bounds[:, k], "right")].tolist() for k in (0, 1))
+        return [flat[i:j] for i, j in zip(first, beyond)]
+
+    def _joined(self, found: list[str], sep: str) -> list[bytes]:
+        """Align units as one text, behind a letter, parted by ``sep``; b'' if changed."""
         sizes = np.array([len(u.encode()) for u in found], dtype=np.int64)
         ends = 2 + np.cumsum(sizes + len(sep))
         got = self.align(" x" + "".join([sep + u for u in found]))
         if got is not None:
             return self._cut(got, np.column_stack([ends - sizes, ends]))
-        return [None] if len(found) == 1 else [self._joined([u], sep)[0] for u in found]
+        return [b""] if len(found) == 1 else [self._joined([u], sep)[0] for u in found]
 
-    def align_units(self, found: list[str]) -> dict[str, Unit | None]:
+    def align_units(self, found: list[str]) -> dict[str, bytes]:
         """Units that begin with a space are put side by side, others parted by line
-        ends; a unit with white space inside stands alone."""
-        out: dict[str, Unit | None] = {}
-        inner = re.compile(r"\s")
-        alone = [u for u in found if "▁" in u or not u[1:] or inner.search(u, 1)]
-        alone = [u for u in alone if u[0] in " \n" or inner.search(u) or "▁" in u]
+        ends; a unit with white space inside, or of white space alone, stands alone."""
+        out: dict[str, bytes] = {}
+        alone = [u for u in found if not _EVEN.fullmatch(u)]
         odd = set(alone)
         for sep, part in (("", [u for u in found if u[0] == " " and u not in odd]),
                           ("\n", [u for u in found if u[0] != " " and u not in odd])):
@@ -224,61 +216,102 @@ class Aligner:
             out[u] = self._joined([u], "" if u[0] in " \n" else "\n")[0]
         return out
 
-    def align_texts(self, texts: list[str | None]) -> list[list[str]]:
-        """Every text's segments; all of them are in ``known.young`` afterwards."""
-        cut = [(segments(" " + t) if self.cuttable else [" " + t]) if t else [] for t in texts]
-        known = self.known.young
-        made = {s: [s] if not self.cuttable or _WORD.fullmatch(s) else units(s)
-                for s in self.known.need(chain.from_iterable(cut))}
-        fresh = self.align_units(self.known.need(chain.from_iterable(made.values())))
-        known.update((u, x) for u, x in fresh.items())
-        for s, us in made.items():
-            if len(us) > 1:
-                parts = [known[u] for u in us]
-                known[s] = None if None in parts else (
-                    "".join(p[0] for p in parts), b"".join(p[1] for p in parts), b"".join(p[2] for p in parts),
-                    *(sum(p[k] for p in parts) for k in range(3, 7)))
-        return cut
-
-    def slice(self, texts: list[str | None]) -> tuple:
-        """Per text: n_a, n_b, n_groups, n_links, digest of the groups, places of its
-        distinct pairs in the slice's list and how often each is linked; then the
-        slice's sorted pairs and how many of its texts hold each."""
-        cut = self.align_texts(texts)
+    def align_segments(self, found: list[str]) -> list[bytes]:
+        """The tokens of distinct segments, group by group; b'' if either tokenizer
+        changes one. A unit that is in memory is not encoded again."""
+        made = [units(s) if self.cuttable else [s] for s in found]
+        new = self.known.need(chain.from_iterable(made))
         known = self.known.young
-        names = list(set(chain.from_iterable(cut)))
-        at = dict(zip(names, range(len(names))))
-        recs = [known[s] for s in names]
-        bad = np.array([r is None for r in recs], dtype=bool)
-        recs = [("", b"", b"", 0, 0, 0, 0) if r is None else r for r in recs]
-        stream = [np.fromiter(map(at.__getitem__, ss), dtype=np.int64, count=len(ss)) for ss in cut]
-        stream = [x[:0] if len(x) and bad[x].any() else x for x in stream]
-        words = [r[0] for r in recs]
-        digests = []
-        for x in stream:
-            groups = "".join(map(words.__getitem__, x.tolist()))
-            digests.append(hashlib.sha256(groups[:-1].encode()).hexdigest() if groups else "")
-        numbers = np.array([r[3:] for r in recs], dtype=np.int64).reshape(-1, 4)
-        sums = [numbers[x].sum(axis=0) for x in stream]
-        pairs = np.frombuffer(b"".join(r[1] for r in recs), dtype=np.int64)
-        times = np.frombuffer(b"".join(r[2] for r in recs), dtype=np.int64)
-        size = np.array([len(r[1]) // 8 for r in recs], dtype=np.int64)
-        place = np.cumsum(size) - size
-        flat = np.concatenate([*stream, np.empty(0, dtype=np.int64)])
-        text = np.repeat(np.arange(len(texts)), [len(x) for x in stream])
-        many = size[flat]
+        known.update(self.align_units(new))
+        out = [known[us[0]] if len(us) == 1 else _whole([known[u] for u in us]) for us in made]
+        self.known.turn()
+        return out
+
+    def links(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of segments, whose tokens lie one after the other in ``words`` up to ``bounds``:
+        numbers of A tokens, B tokens, groups and links; the segment, the pair and the
+        weight of every link. A pair of a wide group counts once with its product."""
+        is_a = words < 2 * self.size_a
+        end = words >= 2 * self.size_a + self.size_b               # the last B token of a group
+        ids_a = np.where(words >= self.size_a, words - self.size_a, words)[is_a].astype(np.int64)
+        ids_b = (words[~is_a] - 2 * self.size_a) % self.size_b
+        group = np.cumsum(end) - end
+        n_groups = int(group[-1]) + 1 if len(group) else 0
+        n_a, n_b = np.bincount(group[is_a], minlength=n_groups), np.bincount(group[~is_a], minlength=n_groups)
+        upto_a, upto_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        upto = np.append(0, np.cumsum(end))[bounds]                # groups before each segment's end
+        total = lambda x: np.diff(np.append(0, np.cumsum(x))[upto], prepend=0)
+        numbers = total(n_a), total(n_b), np.diff(upto, prepend=0), total(n_a * n_b)
+        owner = np.repeat(np.arange(len(bounds)), numbers[2])      # segment of each group
+        wide = np.flatnonzero(n_a + n_b > WIDE)
+        of = group[is_a]
+        many = n_b[of]
+        many[np.isin(of, wide)] = 0
         stop = np.cumsum(many)
-        take = np.arange(stop[-1] if len(stop) else 0) + np.repeat(place[flat] - (stop - many), many)
+        meets = np.arange(stop[-1] if len(stop) else 0) + np.repeat(upto_b[of] - (stop - many), many)
+        segment = [np.repeat(owner[of], many)]
+        pair = [np.repeat(ids_a * self.size_b, many) + ids_b[meets]]
+        weight = [np.ones(len(meets), dtype=np.int64)]
+        for g in wide.tolist():
+            xs, nx = np.unique(ids_a[upto_a[g]:upto_a[g + 1]], return_counts=True)
+            ys, ny = np.unique(ids_b[upto_b[g]:upto_b[g + 1]], return_counts=True)
+            pair.append((xs[:, None] * self.size_b + ys).ravel())
+            weight.append((nx[:, None] * ny).ravel())
+            segment.append(np.full(len(pair[-1]), owner[g]))
+        segment, pair, weight = map(np.concatenate, (segment, pair, weight))
+        if len(wide):
+            order = np.argsort(segment, kind="stable")
+            segment, pair, weight = segment[order], pair[order], weight[order]
+        return *numbers, segment, pair, weight
+
+    def slice(self, texts: pa.Array) -> tuple:
+        """n_a, n_b, n_groups, n_links of the texts; digests of their groups; for all
+        texts' distinct pairs the place in the slice's list, how often each is linked
+        and where a text's begin; the slice's sorted pairs and how many texts hold each."""
+        cut = segments(texts, self.cuttable)
+        sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        flat = coded.indices.to_numpy().astype(np.int64)
+        recs = self.align_segments(coded.dictionary.to_pylist())
+        bad = np.array([not r for r in recs], dtype=bool)
+        if bad.any():                               # a text with a changed segment has no tokens
+            text = np.repeat(np.arange(len(texts)), sizes)
+            keep = ~np.isin(text, text[bad[flat]])
+            flat, sizes = flat[keep], np.bincount(text[keep], minlength=len(texts))
+        words = np.frombuffer(b"".join(recs), dtype=np.int32)
+        bounds = np.cumsum(np.array([len(r) // 4 for r in recs], dtype=np.int64))
+        *numbers, segment, pair, weight = self.links(words, bounds)
+        stops = np.append(0, np.cumsum(sizes))
+        sums = [np.diff(np.append(0, np.cumsum(x[flat]))[stops]) for x in numbers]
+        # the groups as text: every text's tokens, spelled and joined
+        begin = np.append(0, bounds)[:-1]
+        upto = np.append(0, np.cumsum((bounds - begin)[flat]))
+        spelled = self.spelled.take(pa.array(words[_ragged(begin[flat], (bounds - begin)[flat])]))
+        groups = pc.binary_join(pa.LargeListArray.from_arrays(upto[stops], spelled), "")
+        digests = [hashlib.sha256(memoryview(g.as_buffer())[:-1]).hexdigest() if n else ""
+                   for g, n in zip(groups, sizes.tolist())]
+        # distinct pairs of every text
+        size = np.bincount(segment, minlength=len(recs))
+        place = np.cumsum(size) - size
+        take = _ragged(place[flat], size[flat])
         space = self.size_a * self.size_b
-        key = np.repeat(text, many) * space + pairs[take]
+        key = np.repeat(np.repeat(np.arange(len(texts)), sizes), size[flat]) * space + pair[take]
         order = np.argsort(key, kind="stable")
-        key, weight = key[order], times[take][order]
+        key, weight = key[order], weight[take][order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
         key, weight = key[start], np.add.reduceat(weight, start) if len(start) else weight
         held, where, docs = np.unique(key % space, return_inverse=True, return_counts=True)
-        upto = np.searchsorted(key, np.arange(len(texts) + 1) * space)
-        self.known.turn()
-        return sums, digests, where, weight, upto, held, docs
+        return sums, digests, where, weight, np.searchsorted(key, np.arange(len(texts) + 1) * space), held, docs
+
+
+def _whole(parts: list[bytes]) -> bytes:
+    return b"".join(parts) if all(parts) else b""
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of all runs, one run after the other."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
 
 
 def _pairs(spans: list[tuple[int, int]]) -> np.ndarray:
@@ -305,13 +338,13 @@ def _sliced(docs: DataFrame, path_a: str, path_b: str, size: int) -> DataFrame:
         al = aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for t in slices(batches, "text", size):
-            sums, digests, where, weight, upto, held, docs_of = al.slice(t["text"].to_pylist())
-            n = len(sums)
+            sums, digests, where, weight, upto, held, docs_of = al.slice(t["text"].combine_chunks())
+            n = len(digests)
             once = np.append(0, np.full(n, len(held)))
             lists = lambda stops, x, kind: pa.ListArray.from_arrays(
                 pa.array(stops, pa.int32()), pa.array(x, kind))
             yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks(), *(pa.array([int(s[k]) for s in sums], pa.int64()) for k in range(4)),
+                [t["doc_id"].combine_chunks(), *(pa.array(s, pa.int64()) for s in sums),
                  pa.array(digests, pa.string()), pa.array(np.full(n, number)), lists(upto, where, pa.int32()),
                  lists(upto, weight, pa.int64()), lists(once, held, pa.int64()), lists(once, docs_of, pa.int64())],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "slice", "place", "times", "pair", "docs"])
