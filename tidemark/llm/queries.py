@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (align, bpe, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
+from . import (align, bpe, chat, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
                topk_search, toxicity)
 
 QUERIES: dict = {}
@@ -110,6 +110,16 @@ def op12(spark, sf_dir):
                                  vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+@register("op13_chat_format")
+def op13(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    done = chat.read_back(chat.format_chat(rows.unionByName(extra)))
+    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 # ------------------------------------------------------------ the pipeline
 
 def stage_toxicity(spark, docs, sf_dir):
