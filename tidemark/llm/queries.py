@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (align, bpe, chat, exact_dedup, html_text, language_id, packing, secrets, simhash, token_counts,
+from . import (align, bpe, chat, exact_dedup, html_text, language_id, packing, periodic, secrets, simhash, token_counts,
                topk_search, toxicity)
 
 QUERIES: dict = {}
@@ -104,6 +104,31 @@ def op2(spark, sf_dir):
                                 read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def repeat_tails(docs):
+    """Every tenth document (by the checksum of its id) with its words from some place on
+    replaced by repeats of the first of them; the others, and null ids, as they are."""
+    h = F.crc32(docs["doc_id"].cast("string"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.expr(
+        r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("w"))
+    w = w.withColumn("n", F.size("w")).withColumn("a", F.expr("(h div 10) % n"))
+    w = w.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    tail = "slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a + p - 1) div p))), 1, int(n - a))"
+    return w.select("doc_id", F.when(F.col("n") > 0, F.expr(f"array_join(concat(slice(w, 1, int(a)), {tail}), ' ')"))
+                    .otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = repeat_tails(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    got = periodic.periodic_runs(docs)
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS s, -r.period AS p)))")
+    line = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return (got.withColumn("b", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"),
+                    (-F.col("b.p")).alias("period"), F.expr("1000 * b.length div -b.p").alias("exponent_milli"),
+                    F.sha2(F.expr(line), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 @register("op12_token_alignment")
 def op12(spark, sf_dir):
     return align.align_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
