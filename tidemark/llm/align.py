@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import Memory, join_by_key, slices, small_batches, stored, whole_text
 
 #: Bytes of text in a slice; entries of a generation of a worker's memory.
-SLICE, MEMO = 4_000_000, 150_000
+SLICE, MEMO = 2_000_000, 100_000
 #: Units that are encoded as one text, and its characters.
 UNITS, JOINED = 2_000, 65_536
 #: Tokens of a group from which its links are counted by distinct ids.
