@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, q
+from .buckets import affine_scan, bucketed, halo, home, neighbours, over_bucket
 from .quantile import column_quantiles
 from .windows import _cols, fill_forward_backward
 
@@ -208,24 +209,24 @@ class StructuralBreaks:
 # --------------------------------------------------------------------- K5 / K7 / K9 / K11
 
 def interpolate_linear(df: DataFrame, cols: Sequence[str], series=None, order=None,
-                       pos_col: str | None = None) -> DataFrame:
+                       pos_col: str | None = None, bucket_rows: int = 1 << 17) -> DataFrame:
     """K5: linear interpolation between the previous and next non-null
-    values (by row position within the series); edges stay null."""
-    series, order = _cols(series), _cols(order)
+    values (by row position within the series, or by ``pos_col``); edges stay
+    null. Each bucket takes the nearest values outside it from a small per-bucket
+    table, forwards and backwards, so no task holds a whole series."""
     if not cols:
         return df
-    over = (f"PARTITION BY {', '.join(q(s) for s in series)} " if series else "") + \
-        f"ORDER BY {', '.join(q(o) for o in order)}"
-    d = df.withColumn("_rn", F.expr(f"CAST(row_number() OVER ({over}) AS DOUBLE)")) if pos_col is None \
-        else df.withColumn("_rn", F.col(pos_col).cast("double"))
+    at, kept = {c: q(c) for c in cols}, df.columns
+    if pos_col is not None:         # the position travels with the value
+        df = df.withColumns({f"_at_{c}": F.when(F.col(c).isNotNull(), F.col(pos_col)) for c in cols})
+    base = bucketed(df, series, order, bucket_rows)
+    near = neighbours(base, [*cols, *([f"_at_{c}" for c in cols] if pos_col is not None else [])], series)
     out = {}
     for c in cols:
-        s_ = f"CASE WHEN {q(c)} IS NOT NULL THEN named_struct('p', _rn, 'v', CAST({q(c)} AS DOUBLE)) END"
-        pv = f"last({s_}, true) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        nv = f"first({s_}, true) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-        out[c] = F.expr(f"coalesce({q(c)}, {pv}.v + ({nv}.v - {pv}.v) * (_rn - {pv}.p) / "
-                        f"nullif({nv}.p - {pv}.p, 0))")
-    return d.withColumns(out).drop("_rn")
+        p, n = q(f"_prev_{c}"), q(f"_next_{c}")
+        here, a, b = ("_gpos", f"{p}.p", f"{n}.p") if pos_col is None else (q(pos_col), f"{q(f'_prev__at_{c}')}.v", f"{q(f'_next__at_{c}')}.v")
+        out[c] = F.expr(f"coalesce(CAST({at[c]} AS DOUBLE), {p}.v + ({n}.v - {p}.v) * ({here} - {a}) / nullif({b} - {a}, 0))")
+    return near.withColumns(out).select(*kept)
 
 
 def polynomial_features(df: DataFrame, cols: Sequence[str], degree: int = 2,
@@ -243,25 +244,30 @@ def polynomial_features(df: DataFrame, cols: Sequence[str], degree: int = 2,
 
 
 def rolling_moments(df: DataFrame, cols: Sequence[str], window: int, series=None,
-                    order=None) -> DataFrame:
+                    order=None, skew_safe: bool = False, bucket_rows: int = 1 << 20) -> DataFrame:
     """K9: rolling skewness and excess kurtosis (population forms) over
-    complete windows."""
+    complete windows; ``skew_safe`` runs it in halo buckets."""
     from pyspark.sql import Window
-    spec = Window.partitionBy(*_cols(series)).orderBy(*_cols(order)).rowsBetween(1 - window, 0)
+    d = halo(bucketed(df, series, order, bucket_rows), window - 1, 0, bucket_rows) if skew_safe else df
+    part, by = ([*_cols(series), "_hb"], ["_gpos"]) if skew_safe else (_cols(series), _cols(order))
+    spec = Window.partitionBy(*part).orderBy(*by).rowsBetween(1 - window, 0)
     out = {}
     for c in cols:
         full = F.count(F.col(c)).over(spec) == window
         out[f"{c}_roll_skew_{window}"] = F.when(full, F.skewness(c).over(spec))
         out[f"{c}_roll_kurt_{window}"] = F.when(full, F.kurtosis(c).over(spec))
-    return df.withColumns(out)
+    got = d.withColumns(out)
+    return home(got).select(*df.columns, *out) if skew_safe else got
 
 
-def seasonal_features(df: DataFrame, cols: Sequence[str], periods: Sequence[int],
-                      phase_col: str, series=None, order=None) -> DataFrame:
+def seasonal_features(df: DataFrame, cols: Sequence[str], periods: Sequence[int], phase_col: str,
+                      series=None, order=None, skew_safe: bool = False, bucket_rows: int = 1 << 20) -> DataFrame:
     """Seasonal differences ``x - lag(x, period)`` and sin/cos of the
-    phase ``phase_col mod period``."""
+    phase ``phase_col mod period``; ``skew_safe`` runs it in halo buckets."""
     from pyspark.sql import Window
-    spec = Window.partitionBy(*_cols(series)).orderBy(*_cols(order))
+    d = halo(bucketed(df, series, order, bucket_rows), max(periods, default=0), 0, bucket_rows) if skew_safe else df
+    part, by = ([*_cols(series), "_hb"], ["_gpos"]) if skew_safe else (_cols(series), _cols(order))
+    spec = Window.partitionBy(*part).orderBy(*by)
     out = {}
     for p in periods:
         for c in cols:
@@ -269,7 +275,8 @@ def seasonal_features(df: DataFrame, cols: Sequence[str], periods: Sequence[int]
         ang = F.lit(2 * 3.141592653589793 / p) * (F.col(phase_col) % p)
         out[f"sin_{p}"] = F.sin(ang)
         out[f"cos_{p}"] = F.cos(ang)
-    return df.withColumns(out)
+    got = d.withColumns(out)
+    return home(got).select(*df.columns, *out) if skew_safe else got
 
 
 def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) -> DataFrame:
@@ -286,36 +293,41 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0)
 
 # --------------------------------------------------------------------- K8 / K10
 
+def _ema_map(x: Column, gap: Column, first: Column, span: int) -> tuple[Column, Column]:
+    """One observation's step of an exponential average (not adjusted, as pandas): the
+    old value has the weight (1 - alpha) ** gap, the new one alpha. Nulls change nothing."""
+    alpha = 2.0 / (span + 1)
+    old = F.pow(F.lit(1.0 - alpha), gap)
+    a = F.when(x.isNull(), 1.0).when(first, 0.0).otherwise(old / (old + alpha))
+    b = F.when(x.isNull(), 0.0).when(first, x).otherwise(F.lit(alpha) * x / (old + alpha))
+    return a, b
+
+
 def financial_features(df: DataFrame, col: str, series=None, order=None, rsi_window: int = 14,
-                       fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """K8: RSI over ``rsi_window`` rows (mean gain / mean loss, window
-    functions) and MACD = EMA(fast) - EMA(slow) with its signal EMA. The
-    exponential averages are recursive, so they run per series in
-    ``applyInPandas`` (pandas ``ewm``); series here are panel series of
-    bounded length."""
-    from pyspark.sql import Window
-    series, order = _cols(series), _cols(order)
-    spec = Window.partitionBy(*series).orderBy(*order)
-    diff = F.col(col) - F.lag(col, 1).over(spec)
-    d = df.withColumn("_diff", diff)
-    fr = spec.rowsBetween(1 - rsi_window, 0)
-    gain = F.avg(F.greatest(F.col("_diff"), F.lit(0.0))).over(fr)
-    loss = F.avg(F.greatest(-F.col("_diff"), F.lit(0.0))).over(fr)
-    full = F.count("_diff").over(fr) == rsi_window
-    d = d.withColumn(f"{col}_rsi_{rsi_window}", F.when(full, F.when(loss == 0, F.lit(100.0)).otherwise(
-        100 - 100 / (1 + gain / loss)))).drop("_diff")
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    out_fields = d.schema.fields + [StructField(n, DoubleType(), True)
-                                    for n in (f"{col}_macd", f"{col}_macd_signal")]
-
-    def ema(pdf):
-        pdf = pdf.sort_values(order, kind="mergesort")
-        x = pdf[col].astype("float64")
-        macd = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
-        pdf[f"{col}_macd"] = macd
-        pdf[f"{col}_macd_signal"] = macd.ewm(span=signal, adjust=False).mean()
-        return pdf
-    return d.groupBy(*series).applyInPandas(ema, StructType(out_fields))
+                       fast: int = 12, slow: int = 26, signal: int = 9, bucket_rows: int = 1 << 10) -> DataFrame:
+    """K8: RSI over ``rsi_window`` rows (mean gain / mean loss) and MACD =
+    EMA(fast) - EMA(slow) with its signal EMA. RSI runs in halo buckets; the
+    exponential averages are scans of affine maps (``affine_scan``), so a series of
+    any length is spread over many tasks. A null keeps the averages and lets the old
+    weight decay, as pandas ``ewm(adjust=False)`` does."""
+    x = q(col)
+    rsi, macd, sig = f"{col}_rsi_{rsi_window}", f"{col}_macd", f"{col}_macd_signal"
+    w = over_bucket(series)
+    base = bucketed(df.withColumn("_v", F.expr(f"CAST({x} AS DOUBLE)")), series, order, bucket_rows)
+    d = halo(base, rsi_window, 0, bucket_rows).select("*", F.expr(f"_v - lag(_v) OVER ({w})").alias("_diff"))
+    fr = f"({w} ROWS BETWEEN {rsi_window - 1} PRECEDING AND CURRENT ROW)"
+    d = home(d.select("*", *[F.expr(f"{e} OVER {fr}").alias(n) for n, e in (
+        ("_n", "count(_diff)"), ("_gain", "avg(greatest(_diff, 0D))"), ("_loss", "avg(greatest(-_diff, 0D))"))]))
+    d = d.withColumn(rsi, F.expr(f"CASE WHEN _n = {rsi_window} THEN CASE WHEN _loss = 0 THEN 100D "
+                                 "ELSE 100 - 100 / (1 + _gain / nullif(_loss, 0)) END END"))
+    d = neighbours(d, ["_v"], series)
+    v, gap = F.col("_v"), (F.col("_gpos") - F.col("_prev__v.p")).cast("double")
+    first = F.col("_prev__v").isNull()
+    d = affine_scan(d, {n: _ema_map(v, gap, first, s) for n, s in (("_fast", fast), ("_slow", slow))}, series, bucket_rows)
+    d = d.withColumn(macd, F.col("_fast") - F.col("_slow"))
+    begin = first & v.isNotNull()                   # from the first value on MACD has no nulls
+    d = affine_scan(d, {sig: _ema_map(F.col(macd), F.lit(1.0), begin, signal)}, series, bucket_rows)
+    return d.select(*df.columns, rsi, macd, sig)
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

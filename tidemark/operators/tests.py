@@ -1,5 +1,5 @@
 """Statistical tests: A18 Shapiro-Wilk, A19 augmented Dickey-Fuller, G3
-normal Q-Q points, K13 Ljung-Box.
+normal Q-Q points, K13 Ljung-Box, KPSS and seasonal decomposition.
 
 The data work is distributed (ranks, lagged differences, Gram sums per
 series with partial aggregation); the per-series finishing step works on one
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import join_null_safe, q
 from ..functions.stats import chi2_sf, norm_cdf, norm_ppf
+from ..session import materialize
+from .buckets import bucketed, halo, home, over_bucket, prefix_sums
 from .windows import _cols, with_row_pos
 
 
@@ -279,18 +281,24 @@ def adf_test(df: DataFrame, col: str, order, series=None, maxlag: int | None = N
 
 # --------------------------------------------------------------------- K13
 
-def ljung_box(df: DataFrame, col: str, order, series=None, lags: int = 10) -> DataFrame:
+def ljung_box(df: DataFrame, col: str, order, series=None, lags: int = 10, skew_safe: bool = False,
+              bucket_rows: int = 1 << 20) -> DataFrame:
     """Q = n(n+2) sum_k r_k^2 / (n-k) from autocorrelations r_k
     (lagged products by one window pass, sums by one aggregate); p-value
-    from the chi-square(lags) tail."""
+    from the chi-square(lags) tail. ``skew_safe`` runs the pass in halo buckets."""
     series, order = _cols(series), _cols(order)
-    w = Window.partitionBy(*series).orderBy(*order)
+    w = Window.partitionBy(*series, "_hb").orderBy("_gpos") if skew_safe else Window.partitionBy(*series).orderBy(*order)
     mean = df.groupBy(*series).agg(F.avg(col).alias("_m"), F.count(col).alias("_n"))
     d = df.where(F.col(col).isNotNull())
     d = join_null_safe(d, mean, series) if series else d.withColumns(
         {k: F.lit(v) for k, v in mean.first().asDict().items()})
     d = d.withColumn("_e", F.col(col) - F.col("_m"))
-    d = d.select(*series, "_n", "_e", *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    if skew_safe:
+        d = halo(bucketed(d, series, order, bucket_rows), lags, 0, bucket_rows)
+    d = d.select(*series, "_n", "_e", *(["_shift"] if skew_safe else []),
+                 *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    if skew_safe:
+        d = home(d)
     s = d.groupBy(*series).agg(F.first("_n").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_c0"),
                                *[F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_c{k}")
                                  for k in range(1, lags + 1)])
@@ -305,3 +313,89 @@ def ljung_box(df: DataFrame, col: str, order, series=None, lags: int = 10) -> Da
         return pd.Series([chi2_sf(float(v), lags) if v is not None and not pd.isna(v) else np.nan
                           for v in qs])
     return out.withColumn("lb_pvalue", pval("lb_stat"))
+
+
+# Upper tail probabilities and critical values of the KPSS statistic
+# (Kwiatkowski, Phillips, Schmidt and Shin 1992, table 1).
+KPSS_P = (0.10, 0.05, 0.025, 0.01)
+KPSS_CRIT = {"level": (0.347, 0.463, 0.574, 0.739), "trend": (0.119, 0.146, 0.176, 0.216)}
+
+
+def kpss(df: DataFrame, col: str, order, series=None, regression: str = "level", lags: int | None = None,
+         bucket_rows: int = 1 << 17) -> DataFrame:
+    """KPSS test of stationarity around a level or a linear trend, one row per
+    series: n, lags, kpss_stat, kpss_pvalue (between 0.01 and 0.1, by interpolation),
+    stationary (p > 0.05).
+
+    With S the running sums of the residuals, the statistic is sum(S^2) / n^2 over the
+    long-run variance. Bartlett's weights make that variance the mean square of the
+    sums of lags + 1 neighbouring residuals, over lags + 1: differences of S, so one
+    equi-join on (series, position) serves any number of lags. ``lags``: by default
+    ceil(12 (n / 100)^(1/4)), and less than n. Null values are left out; a series without
+    spread has no statistic."""
+    if regression not in KPSS_CRIT:
+        raise ValueError("regression must be level or trend")
+    keys = _cols(series)
+    base = bucketed(df.where(F.col(col).isNotNull()).select(*keys, *[c for c in _cols(order) if c not in keys],
+                                                           F.col(col).cast("double").alias("_y")), series, order, bucket_rows)
+    begin = base.groupBy(*keys).agg(F.min("_gpos").alias("_p0"))
+    base = (join_null_safe(base, begin, keys) if keys else base.withColumn("_p0", F.lit(0))).withColumn(
+        "_t", F.col("_gpos") - F.col("_p0") + 1)
+    n = F.count("_y")
+    fit = [n.alias("n"), F.avg("_y").alias("_my"), F.avg("_t").alias("_mt"),
+           F.try_divide(F.covar_pop("_y", "_t"), F.nullif(F.var_pop(F.col("_t").cast("double")), F.lit(0.0))).alias("_slope"),
+           F.least(F.ceil(12 * F.pow(n / 100.0, 0.25)) if lags is None else F.lit(lags), n - 1).cast("long").alias("lags")]
+    stats = base.groupBy(*keys).agg(*fit)
+    d = join_null_safe(base, stats, keys) if keys else base.withColumns({k: F.lit(v) for k, v in stats.first().asDict().items()})
+    e = F.col("_y") - F.col("_my")
+    if regression == "trend":
+        e = e - F.coalesce("_slope", F.lit(0.0)) * (F.col("_t") - F.col("_mt"))
+    d = materialize(prefix_sums(d.withColumn("_e", e), {"_s": F.col("_e")}, keys).select(*keys, "n", "lags", "_t", "_e", "_s"))
+    ahead = d.select(*keys, (F.col("_t") + F.col("lags") + 1).alias("_t"), F.col("_s").alias("_before"))
+    d = join_null_safe(d, ahead, [*keys, "_t"], "left")
+    # beyond the last residual the running sum stays: it is 0 but for rounding
+    window = F.pow(F.col("_s") - F.coalesce("_before", F.lit(0.0)), 2) + F.when(
+        (F.col("_t") >= F.col("n") - F.col("lags")) & (F.col("_t") < F.col("n")), F.pow("_s", 2)).otherwise(0.0)
+    got = d.groupBy(*keys).agg(F.first("n").alias("n"), F.first("lags").alias("lags"), F.sum(F.pow("_s", 2)).alias("_ss"),
+                               F.sum(window).alias("_w"), F.sum(F.pow("_e", 2)).alias("_e2"))
+    long_run = F.col("_w") / (F.col("n") * (F.col("lags") + 1))
+    got = got.withColumn("kpss_stat", F.when(F.col("_e2") > 0, F.try_divide(F.col("_ss") / (F.col("n") * F.col("n")), long_run)))
+    c, x = KPSS_CRIT[regression], F.col("kpss_stat")
+    p = F.when(x <= c[0], KPSS_P[0])
+    for k in range(3):
+        p = p.when(x <= c[k + 1], KPSS_P[k] + (KPSS_P[k + 1] - KPSS_P[k]) * (x - c[k]) / (c[k + 1] - c[k]))
+    got = got.withColumn("kpss_pvalue", p.when(x.isNotNull(), KPSS_P[3]))
+    return got.select(*keys, "n", "lags", "kpss_stat", "kpss_pvalue", (F.col("kpss_pvalue") > 0.05).alias("stationary"))
+
+
+def seasonal_decompose(df: DataFrame, col: str, period: int, order, series=None, model: str = "additive",
+                       bucket_rows: int = 1 << 17) -> DataFrame:
+    """``{col}_trend`` (centred moving average over ``period`` rows; for an even
+    period the two end rows count half), ``{col}_seasonal`` (mean of what is left at
+    each phase, with the mean over all phases taken out) and ``{col}_resid``. The trend
+    is null within period // 2 rows of a series' ends and beside nulls. Phases count
+    from the series' first row. ``multiplicative`` divides instead of subtracting.
+    Buckets carry a halo on both sides; phase means are a partial aggregate."""
+    if model not in ("additive", "multiplicative") or period < 2:
+        raise ValueError("model must be additive or multiplicative, period at least 2")
+    keys, half = _cols(series), period // 2
+    d = halo(bucketed(df.withColumn("_y", F.col(col).cast("double")), series, order, bucket_rows), half, half, bucket_rows)
+    w = over_bucket(keys)
+    inner = f"({w} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    ends = "" if period % 2 else f" - (lag(_y, {half}) OVER ({w}) + lead(_y, {half}) OVER ({w})) / 2"
+    d = home(d.select("*", F.expr(f"CASE WHEN count(_y) OVER {inner} = {2 * half + 1} THEN (sum(_y) OVER {inner}{ends}) / {period} END").alias("_m")))
+    begin = d.groupBy(*keys).agg(F.min("_gpos").alias("_p0"))
+    d = (join_null_safe(d, begin, keys) if keys else d.withColumn("_p0", F.lit(0))).withColumn(
+        "_phase", F.col("_gpos") - F.col("_p0")).withColumn("_phase", F.col("_phase") % period)
+    additive = model == "additive"
+    left = F.col("_y") - F.col("_m") if additive else F.try_divide(F.col("_y"), F.nullif(F.col("_m"), F.lit(0.0)))
+    phase = d.groupBy(*keys, "_phase").agg(F.avg(left).alias("_f"))
+    level = phase.groupBy(*keys).agg(F.avg("_f").alias("_l"))
+    if keys:
+        phase = join_null_safe(phase, level, keys)
+    else:
+        phase = phase.withColumn("_l", F.lit(level.first()[0]))
+    phase = phase.select(*keys, "_phase", (F.col("_f") - F.col("_l") if additive else F.try_divide("_f", F.nullif("_l", F.lit(0.0)))).alias("_c"))
+    d = join_null_safe(d, phase, [*keys, "_phase"])
+    resid = F.col("_y") - F.col("_m") - F.col("_c") if additive else F.try_divide(F.col("_y"), F.nullif(F.col("_m") * F.col("_c"), F.lit(0.0)))
+    return d.select(*df.columns, F.col("_m").alias(f"{col}_trend"), F.col("_c").alias(f"{col}_seasonal"), resid.alias(f"{col}_resid"))

@@ -142,7 +142,7 @@ ema AS (SELECT series_id, period, i, x AS f, x AS s, CAST(0.0 AS DOUBLE) AS g FR
 @register("k8_financial_features", _K8_SQL)
 def q_k8(spark, sf):
     out = FE.financial_features(_p(spark, sf), "avg_order_value", series="series_id",
-                                 order="period").select("series_id", "period", "avg_order_value_rsi_14",
+                                 order="period", bucket_rows=128).select("series_id", "period", "avg_order_value_rsi_14",
                                                         "avg_order_value_macd",
                                                         "avg_order_value_macd_signal")
     digits = {"avg_order_value_rsi_14": 6, "avg_order_value_macd": 4, "avg_order_value_macd_signal": 4}
