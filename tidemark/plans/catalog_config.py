@@ -57,6 +57,63 @@ def q_c2_minimal(spark, sf):
     return out.withColumns({c: rnd(c, DIGITS[f]) for c, f in base.items() if f})
 
 
+def _ml_pipeline(scaler: str):
+    from pyspark.ml import Pipeline
+
+    from ..operators import stages as ST
+    keys, where = ["series_id", "period", "y", "year"], {"seriesCols": ["series_id"], "orderCols": ["period"]}
+    return Pipeline(stages=[ST.CarryValues(inputCols=FEATS, **where),
+                            ST.LagRoll(inputCols=FEATS, lags=[1], windows=[3], stats=["mean", "std"], **where),
+                            ST.FillMissing(excludeCols=keys, requiredCol="y"), ST.ColumnScaler(excludeCols=keys, kind=scaler),
+                            ST.BreakDummies(yearCol="year")])
+
+
+def _saved_and_loaded(spark, sf, scaler):
+    """Fit on the training months, save, load, transform all months."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    from ..session import ensure_checkpoint_dir
+    p, path = _panel(spark, sf), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    _ml_pipeline(scaler).fit(p.where(F.col("period") < CUTOFF)).write().save(path)
+    return PipelineModel.load(path).transform(p)
+
+
+@register("f10_ml_pipeline_minimal", _minimal_sql())
+def q_f10_minimal(spark, sf):
+    """F10 / 2.17: the minimal preset as pyspark.ml stages, saved and loaded; same rows."""
+    out = _saved_and_loaded(spark, sf, "none")
+    made = [f"{c}_lag_1" for c in FEATS] + [f"{c}_roll_{s}_3" for c in FEATS for s in ("mean", "std")]
+    of = {n: c for c in FEATS for n in (c, f"{c}_lag_1", f"{c}_roll_mean_3", f"{c}_roll_std_3")}
+    return out.select("series_id", "period", rnd("y", 10).alias("y"), *[rnd(n, DIGITS[of[n]]).alias(n) for n in [*FEATS, *made]])
+
+
+def _ml_robust_sql() -> str:
+    names = [c for f in FEATS for c in (f, f"{f}_lag_1")]
+    lag = ", ".join(f"lag({c}, 1) OVER (PARTITION BY series_id ORDER BY period) AS {c}_lag_1" for c in FEATS)
+    med = ", ".join(f"median({c}) AS {c}" for c in names)
+    qs = ", ".join(f"median({c}) AS {c}_c, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_s" for c in names)
+    filled = ", ".join(f"coalesce(e.{c}, m.{c}) AS {c}" for c in names)
+    cols = ", ".join(f"{R(f'(f.{c} - {c}_c) / CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END', 6)} AS {c}" for c in names)
+    return with_panel(f"""SELECT f.series_id, f.period, {cols}, CAST(CASE WHEN f.year BETWEEN 2008 AND 2009 THEN 1 ELSE 0 END AS INTEGER) AS crisis_2008,
+       CAST(f.year - base AS BIGINT) AS trend
+FROM f, q, (SELECT min(year) AS base FROM panel WHERE period < {CUTOFF}) b""", f"""
+e AS (SELECT *, {lag} FROM panel), m AS (SELECT {med} FROM e WHERE period < {CUTOFF}),
+f AS (SELECT e.series_id, e.period, e.year, {filled} FROM e, m), q AS (SELECT {qs} FROM f WHERE period < {CUTOFF})""")
+
+
+@register("f10_ml_pipeline_robust", _ml_robust_sql())
+def q_f10_robust(spark, sf):
+    """F10 / 2.17: lags, imputer, robust scaler and break dummies as pyspark.ml stages, saved and loaded."""
+    out = _saved_and_loaded(spark, sf, "robust")
+    names = [c for f in FEATS for c in (f, f"{f}_lag_1")]
+    return out.select("series_id", "period", *[rnd(c, 6).alias(c) for c in names], F.col(_FIRST_CRISIS).alias("crisis_2008"), "trend")
+
+
+_FIRST_CRISIS = next(iter(FE.DEFAULT_PERIODS))
+
+
 register("c2_preset_advanced_timeseries")(lambda s, sf: _run_preset(s, sf, "advanced_timeseries"))
 
 
