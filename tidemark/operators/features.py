@@ -21,13 +21,6 @@ from .quantile import column_quantiles
 from .windows import _cols, fill_forward_backward
 
 
-def _exact_median_iqr(df: DataFrame, cols: Sequence[str]) -> dict:
-    """One aggregate: exact median, Q1 and Q3 of every column."""
-    row = df.agg(*[F.expr(f"percentile({q(c)}, array(0.25D, 0.5D, 0.75D)) AS {q(c)}")
-                   for c in cols]).first()
-    return {c: tuple(row[c]) for c in cols}
-
-
 # --------------------------------------------------------------------- F1 / F2
 
 @dataclass
@@ -44,13 +37,11 @@ class FittedImputer:
         return asdict(self)
 
 
-def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median", method: str = "exact") -> FittedImputer:
-    """F1 (median of features and target) / F2 (median or mean). Exact
-    medians; ``pyspark.ml.feature.Imputer`` uses approximate ones."""
-    if strategy == "median" and method == "rank":
+def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> FittedImputer:
+    """F1 (median of features and target) / F2 (median or mean). Exact medians by
+    selection; ``pyspark.ml.feature.Imputer`` uses approximate ones."""
+    if strategy == "median":
         row = {c: v[0] for c, v in column_quantiles(df, cols, (0.5,)).items()}
-    elif strategy == "median":
-        row = df.agg(*[F.expr(f"median({q(c)}) AS {q(c)}") for c in cols]).first()
     elif strategy == "mean":
         row = df.agg(*[F.expr(f"avg({q(c)}) AS {q(c)}") for c in cols]).first()
     else:
@@ -89,17 +80,14 @@ class FittedScaler:
         return asdict(self)
 
 
-def fit_robust_scaler(df: DataFrame, cols: Sequence[str], method: str = "exact") -> FittedScaler:
-    """``method="rank"`` narrows brackets over the data instead of holding value
-    maps: for columns of many distinct values. F5: centre by the exact median, divide by Q3 - Q1 (a zero range
+def fit_robust_scaler(df: DataFrame, cols: Sequence[str]) -> FittedScaler:
+    """centre by the exact median, divide by Q3 - Q1 (a zero range
     divides by 1, as scikit-learn does). Spark's ``RobustScaler`` uses
-    approximate quantiles and does not centre by default."""
-    if method == "rank":
-        q = {c: (a, m, b) for c, (a, m, b) in column_quantiles(df, cols, (0.25, 0.5, 0.75)).items()}
-    else:
-        q = _exact_median_iqr(df, cols)
-    center = {c: float(q[c][1]) for c in cols}
-    scale = {c: (float(q[c][2] - q[c][0]) or 1.0) for c in cols}
+    approximate quantiles and does not centre by default. A column without
+    values is left as it is."""
+    found = {c: v for c, v in column_quantiles(df, cols, (0.25, 0.5, 0.75)).items() if v[0] is not None}
+    center = {c: float(m) for c, (_, m, _) in found.items()}
+    scale = {c: (float(b - a) or 1.0) for c, (a, _, b) in found.items()}
     return FittedScaler(center, scale, "robust")
 
 
@@ -148,11 +136,11 @@ class FittedQuantileScaler:
         return df.withColumns(out)
 
 
-def fit_quantile_scaler(df: DataFrame, cols: Sequence[str], n_quantiles: int = 20,
-                        accuracy: int = 10000) -> FittedQuantileScaler:
-    probs = [i / n_quantiles for i in range(n_quantiles + 1)]
-    row = df.agg(*[F.percentile_approx(c, probs, accuracy).alias(c) for c in cols]).first()
-    return FittedQuantileScaler({c: [float(v) for v in row[c]] for c in cols})
+def fit_quantile_scaler(df: DataFrame, cols: Sequence[str], n_quantiles: int = 20) -> FittedQuantileScaler:
+    """K1: the exact quantile grid of the training rows. A column without values is
+    left as it is."""
+    found = column_quantiles(df, cols, [i / n_quantiles for i in range(n_quantiles + 1)])
+    return FittedQuantileScaler({c: v for c, v in found.items() if v[0] is not None})
 
 
 # --------------------------------------------------------------------- F7 / W5

@@ -3,10 +3,9 @@
 Every statistic over many columns is computed in ONE aggregate (one scan,
 partial aggregation before the shuffle) and unpivoted afterwards, instead of
 one pass per column. ``by`` runs the same statistics per group (per series).
-Exact quantiles use Spark's ``percentile`` (interpolated, equal to pandas
-``quantile``); for a high-cardinality column over a huge table use
-``method="rank"`` (distributed sort, no value map in one task) or
-``method="approx"``.
+Exact quantiles (interpolated, equal to pandas ``quantile``) come from radix
+selection (``quantile.py``): no task holds a value list of a column or group;
+``method="approx"`` is ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import join_null_safe, q, safe_corr, safe_div, sample_skewness
-from .quantile import column_quantiles
-from .windows import _cols, add_lag_roll, with_row_pos
+from .quantile import column_quantiles, grouped_quantiles
+from .windows import _cols, add_lag_roll
 
 STAT_SEP = "|"
 
@@ -68,66 +67,24 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None, by=None) -> Da
 
 # ------------------------------------------------------------------- quantiles
 
-def _quantile_exprs(c: str, probs: Sequence[float], method: str, accuracy: int) -> list[Column]:
-    if method == "approx":
-        arr = F.percentile_approx(F.col(c), list(probs), accuracy)
-    else:
-        arr = F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs]))
-    return [arr[i].alias(_k(c, f"q{i}")) for i in range(len(probs))]
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
               by=None, method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """A4/A5: quantiles with linear interpolation, long form
     (by..., column, q0, q1, ...) in the order of ``probs``.
 
-    ``exact`` — ``percentile`` aggregate (value->count map per group; right
-    for panels and low-cardinality columns); ``rank`` — distributed exact
-    selection for high-cardinality columns at scale: narrowing brackets
-    (``quantile.py``), with ``by`` a global sort;
-    ``approx`` — ``percentile_approx``."""
+    ``exact`` (``rank`` is the same) — radix selection over all columns and
+    groups at once; ``approx`` — ``percentile_approx``."""
     by, cols = _cols(by), list(cols)
     names = [f"q{i}" for i in range(len(probs))]
-    if method == "rank" and not by:
-        found = column_quantiles(df, cols, probs)
-        return df.sparkSession.createDataFrame([(c, *found[c]) for c in cols],
-                                               "column string, " + ", ".join(f"{n} double" for n in names))
-    if method == "rank":
-        parts = [_rank_quantiles(df, c, probs, by) for c in cols]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    wide = df.groupBy(*by).agg(*[e for c in cols for e in _quantile_exprs(c, probs, method,
-                                                                         accuracy)])
-    return _unpivot(wide, cols, names, by)
-
-
-def _rank_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """Exact interpolated quantiles by position: sort once (range-partitioned,
-    consecutive positions), pick the <= 2 rows per probability, interpolate.
-    No task ever holds a group's values."""
-    d = df.select(*by, F.col(c).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # the tie-break lets range partitioning split equal values; their order does not matter
-    d = with_row_pos(d.withColumn("_t", F.monotonically_increasing_id()), [*by, "_v", "_t"], "_pos")
-    g = d.groupBy(*by).agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
-    d = _attach(d, g, by).withColumn("_i", F.col("_pos") - F.col("_p0"))
-    need, outs = None, []
-    for j, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        hit = (F.col("_i") == lo) | (F.col("_i") == hi)
-        need = hit if need is None else need | hit
-        outs.append(F.struct(
-            F.max(F.when(F.col("_i") == lo, F.col("_v"))).alias("lo"),
-            F.max(F.when(F.col("_i") == hi, F.col("_v"))).alias("hi"),
-            F.first(h - lo).alias("fr")).alias(f"_s{j}"))
-    # Only the <= 2 rows per probability and group survive the filter.
-    agg = d.where(need).groupBy(*by).agg(*outs)
-    return agg.select(*by, F.lit(c).alias("column"),
-                      *[(F.col(f"_s{j}.lo") + (F.col(f"_s{j}.hi") - F.col(f"_s{j}.lo"))
-                         * F.col(f"_s{j}.fr")).alias(f"q{j}") for j in range(len(probs))])
+    if method == "approx":
+        wide = df.groupBy(*by).agg(*[F.percentile_approx(F.col(c), list(probs), accuracy)[i].alias(_k(c, n))
+                                     for c in cols for i, n in enumerate(names)])
+        return _unpivot(wide, cols, names, by)
+    if by:
+        return grouped_quantiles(df, cols, probs, by)
+    found = column_quantiles(df, cols, probs)
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in cols],
+                                           "column string, " + ", ".join(f"{n} double" for n in names))
 
 
 # ------------------------------------------------------------------- A3
@@ -138,29 +95,26 @@ DESCRIBE_STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 def describe(df: DataFrame, cols: Sequence[str] | None = None, by=None,
              method: str = "exact") -> DataFrame:
     """A3: pandas ``describe`` per column (count, mean, sample std, min,
-    exact quartiles, max), long form, one aggregate for all columns."""
+    quartiles, max), long form: one aggregate and one selection for all columns."""
     by = _cols(by)
     cols = list(cols or numeric_columns(df, exclude=by))
     exprs = []
     for c in cols:
         x = q(c)
-        pct = (f"percentile_approx({x}, array(0.25, 0.5, 0.75), 100000)" if method == "approx"
-               else f"percentile({x}, array(0.25D, 0.5D, 0.75D))")
         exprs += [f"CAST(count({x}) AS BIGINT) AS {q(_k(c, 'count'))}",
                   f"avg({x}) AS {q(_k(c, 'mean'))}", f"stddev_samp({x}) AS {q(_k(c, 'std'))}",
                   f"CAST(min({x}) AS DOUBLE) AS {q(_k(c, 'min'))}",
-                  f"CAST(max({x}) AS DOUBLE) AS {q(_k(c, 'max'))}",
-                  f"{pct}[0] AS {q(_k(c, 'q25'))}", f"{pct}[1] AS {q(_k(c, 'q50'))}",
-                  f"{pct}[2] AS {q(_k(c, 'q75'))}"]
+                  f"CAST(max({x}) AS DOUBLE) AS {q(_k(c, 'max'))}"]
     wide = df.groupBy(*by).agg(*[F.expr(e) for e in exprs])
-    return _unpivot(wide, cols, DESCRIBE_STATS, by)
+    plain = _unpivot(wide, cols, ["count", "mean", "std", "min", "max"], by)
+    got = quantiles(df, cols, (0.25, 0.5, 0.75), by, method)
+    got = got.select(*by, "column", *[F.col(f"q{i}").cast("double").alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return join_null_safe(plain, got, [*by, "column"], "left").select(*by, "column", *DESCRIBE_STATS)
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """A5 as fitted state: exact medians of all columns in one aggregate
-    (one small row reaches the driver)."""
-    row = df.agg(*[F.median(F.col(c)).alias(c) for c in cols]).first()
-    return {c: (None if row[c] is None else float(row[c])) for c in cols}
+    """A5 as fitted state: exact medians of all columns (a few numbers reach the driver)."""
+    return {c: v[0] for c, v in column_quantiles(df, cols, (0.5,)).items()}
 
 
 # ------------------------------------------------------------------- A7/A8/G5

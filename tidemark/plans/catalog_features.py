@@ -513,11 +513,25 @@ def q_k7(spark, sf):
                     {"ret_share_pow_2": 10, "avg_tax_pow_2": 12, "ret_share_x_avg_tax": 12})
 
 
-@register("k1_quantile_scale")
+def _k1_sql(n=20):
+    """Place on the training months' quantile grid, linear between its points."""
+    grid = ", ".join(f"quantile_cont({c}, [{', '.join(str(i / n) for i in range(n + 1))}]) AS g_{c}" for c in FEATS)
+
+    def place(c):
+        g = f"g_{c}"
+        part = lambda i: f"CASE WHEN {g}[{i + 1}] = {g}[{i}] THEN 0 ELSE ({c} - {g}[{i}]) / ({g}[{i + 1}] - {g}[{i}]) END"
+        return f"CASE WHEN {c} <= {g}[1] THEN 0 " + " ".join(
+            f"WHEN {c} <= {g}[{i + 1}] THEN ({i - 1} + {part(i)}) / {n}.0" for i in range(1, n + 1)) + " ELSE 1 END"
+    return with_panel(f"SELECT series_id, period, {', '.join(R(place(c), 8) + f' AS {c}' for c in FEATS)} FROM panel, grids",
+                      f"grids AS (SELECT {grid} FROM panel WHERE period < {CUTOFF})")
+
+
+@register("k1_quantile_scale", _k1_sql())
 def q_k1(spark, sf):
+    """K1: every feature's place on the exact 20-quantile grid of the training months."""
     p = _panel(spark, sf)
-    q = FE.fit_quantile_scaler(p.where(F.col("period") < CUTOFF), FEATS)
-    return q.transform(p).select("series_id", "period", *FEATS)
+    scaler = FE.fit_quantile_scaler(p.where(F.col("period") < CUTOFF), FEATS)
+    return _rounded(scaler.transform(p).select("series_id", "period", *FEATS), {c: 8 for c in FEATS})
 
 
 
