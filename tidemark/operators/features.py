@@ -366,3 +366,45 @@ def tfidf_doc_summary(docs: DataFrame, text_col: str = "text", id_col: str = "do
             .select(id_col, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
                     F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"),
                     F.coalesce("tfidf_l2", F.lit(0.0)).alias("tfidf_l2")))
+
+
+@dataclass
+class WordVectors:
+    """K10 word2vec: the fitted model and the least count of a word in it."""
+    model: object
+    least: int
+    text_col: str
+
+    def transform(self, docs: DataFrame, output: str = "vector") -> DataFrame:
+        """``output``: the mean vector of a document's known words (zeros without any)."""
+        words = docs.withColumn("_words", _tokens(self.text_col))
+        return self.model.setOutputCol(output).transform(words).drop("_words")
+
+
+def _tokens(text_col: str) -> Column:
+    """Lower-cased words of two and more characters, as in ``text_counts``."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\W+"), lambda w: F.length(w) >= 2)
+
+
+def fit_word_vectors(docs: DataFrame, text_col: str = "text", size: int = 32, window: int = 5, min_count: int = 5,
+                     max_words: int = 100_000, partitions: int = 8, iterations: int = 1, step: float = 0.025,
+                     seed: int = 42) -> WordVectors:
+    """K10 word2vec: skip-gram embeddings (Spark ML ``Word2Vec``) trained on all
+    documents' whole texts. The vocabulary is the words with ``min_count`` occurrences;
+    if they are more than ``max_words``, the least count is raised until they are not
+    (counts by one aggregate, the threshold from a table of counts). So the model, which
+    the driver and every task hold, has at most max_words * size numbers. Sentences are
+    split over ``partitions`` tasks, whose vectors are averaged after each iteration."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.sql import Window
+    words = docs.select(_tokens(text_col).alias("_words"))
+    counts = words.select(F.explode("_words").alias("w")).groupBy("w").count().where(F.col("count") >= min_count)
+    # a row per distinct count: few, as n words have at most sqrt(2 n) different counts
+    level = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    more = level.select("count", F.sum("n").over(Window.orderBy(F.col("count").desc())).alias("held"))
+    least = more.where(F.col("held") <= max_words).agg(F.min("count")).first()[0]
+    if least is None:
+        raise ValueError("no word is frequent enough, or too many are equally frequent")
+    w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=int(least), numPartitions=partitions, maxIter=iterations,
+                   stepSize=step, seed=seed, inputCol="_words", outputCol="vector")
+    return WordVectors(w2v.fit(words), int(least), text_col)

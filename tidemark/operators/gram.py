@@ -9,9 +9,12 @@ the number of folds, models and grid points. The data is read twice.
 
 from __future__ import annotations
 
+import math
 from types import SimpleNamespace
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +92,49 @@ def linear_grid(df: DataFrame, features: list, label: str, kind: str, grid: list
         a, b = gram.coefficients(kind, params, 0, 1)
         out.append((params, float(a + gram.center[-1] - b @ gram.center[:-1]), [float(x) for x in b]))
     return out
+
+
+def _sweep(a: np.ndarray, k: int) -> None:
+    """Sweep the symmetric matrix on row and column k, in place; twice undoes it."""
+    d = a[k, k]
+    row = a[k] / d
+    a -= np.outer(a[:, k], row)
+    a[k] = a[:, k] = row
+    a[k, k] = -1.0 / d
+
+
+#: A feature of which less than this share is left beside the others adds nothing to a fit.
+_COLLINEAR = 1e-10
+
+
+def eliminate(df: DataFrame, features: list, label: str, k: int, step: float = 0.1) -> list:
+    """K2: recursive elimination with least squares on standardised features: the
+    ceil(step * p) weakest |coefficient| go, until k remain (of equal ones the later).
+
+    One correlation matrix of the complete rows serves all steps. Sweeping it on every
+    feature gives the full fit; sweeping once more on a feature takes it out again, so a
+    step costs O(p^2) a feature on the driver, and neither a pass over the data nor a new
+    fit. A feature that the others make up (or without spread) has coefficient 0 and goes
+    first; those it kept out of the fit come in then."""
+    cols = [*features, label]
+    plain = [f"c{i}" for i in range(len(cols))]                # the assembler takes no odd names
+    d = df.dropna(subset=cols).select(*[F.col(q(c)).cast("double").alias(n) for c, n in zip(cols, plain)])
+    if len(d.take(2)) < 2:
+        raise ValueError("no two complete rows to fit on")
+    a = np.nan_to_num(Correlation.corr(VectorAssembler(inputCols=plain, outputCol="v").transform(d), "v").first()[0].toArray())
+    np.fill_diagonal(a, (np.abs(a).sum(axis=0) > 1).astype(float))      # 0 for a column without spread
+    kept, within, p = list(range(len(features))), set(), len(features)
+    while True:
+        for j in kept:
+            if j not in within and a[j, j] > _COLLINEAR:
+                _sweep(a, j)
+                within.add(j)
+        if len(kept) <= k:
+            return [features[j] for j in kept]
+        size = {j: abs(a[j, p]) if j in within else 0.0 for j in kept}
+        order = sorted(kept, key=lambda j: (-size[j], j))
+        for j in order[len(order) - min(len(kept) - k, max(1, math.ceil(step * len(kept)))):]:
+            if j in within:
+                _sweep(a, j)
+                within.discard(j)
+            kept.remove(j)

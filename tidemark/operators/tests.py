@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import join_null_safe, q
-from ..functions.stats import chi2_sf, norm_cdf, norm_ppf
+from ..functions.stats import chi2_sf, norm_cdf, norm_ppf_sql
 from ..session import materialize
 from .buckets import bucketed, halo, home, over_bucket, prefix_sums
 from .windows import _cols, with_row_pos
@@ -57,12 +57,12 @@ def _poly(c, x):
 
 def shapiro_wilk(df: DataFrame, col: str, by=None) -> DataFrame:
     """W statistic and p-value (Royston 1995), per group. Sorting and
-    all sums are distributed; normal scores come from an Arrow-batched UDF.
+    all sums are distributed; normal scores are a column expression.
     The p-value approximation is validated for 4 <= n <= 5000; larger groups
     are flagged (``p_reliable`` false)."""
     by = _cols(by)
     d = _ranked(df, col, by)
-    d = d.withColumn("_m", norm_ppf((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
+    d = d.withColumn("_p", (F.col("_i") - 0.375) / (F.col("_n") + 0.25)).withColumn("_m", F.expr(norm_ppf_sql("_p")))
     # W does not change when a constant is taken off; sums of squares keep their digits
     d = d.withColumn("_x", F.col("_x") - F.col("_mean"))
     s = d.groupBy(*by).agg(
@@ -143,11 +143,11 @@ def qq_points(df: DataFrame, col: str, by=None) -> DataFrame:
     med = (F.when(F.col("_i") == F.col("_n"), F.pow(F.lit(0.5), 1.0 / F.col("_n")))
            .when(F.col("_i") == 1, 1 - F.pow(F.lit(0.5), 1.0 / F.col("_n")))
            .otherwise((F.col("_i") - 0.3175) / (F.col("_n") + 0.365)))
-    pts = d.select(*by, F.col("_i").alias("rank"), F.col("_x").alias("sample"),
-                   norm_ppf(med).alias("theoretical"))
+    pts = d.withColumn("_p", med).select(*by, F.col("_i").alias("rank"), F.col("_x").alias("sample"),
+                                         F.expr(norm_ppf_sql("_p")).alias("theoretical"))
     line = pts.groupBy(*by).agg(F.regr_slope("sample", "theoretical").alias("slope"),
                                 F.regr_intercept("sample", "theoretical").alias("intercept"))
-    return pts.join(line, by) if by else pts.withColumns(
+    return join_null_safe(pts, line, by) if by else pts.withColumns(
         {k: F.lit(v) for k, v in line.first().asDict().items()})
 
 

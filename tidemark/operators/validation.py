@@ -109,7 +109,10 @@ def grid_search(spec: ModelSpec, data: DataFrame, features: list, label: str,
         mses = list(ex.map(one, jobs))
     per = [(grid[gi], [mses[i] for i, (g, _) in enumerate(jobs) if g == gi])
            for gi in range(len(grid))]
-    best = min(range(len(per)), key=lambda i: (sum(per[i][1]) / len(per[i][1]), i))
+    mean = [sum(m) / len(m) for _, m in per]
+    if all(map(math.isnan, mean)):
+        raise ValueError("no grid point has an error on every fold")
+    best = min(range(len(per)), key=lambda i: (math.isnan(mean[i]), mean[i], i))       # NaN loses
     return per[best][0], per
 
 
@@ -150,7 +153,10 @@ def train_models(specs: list[ModelSpec], data: DataFrame, features: list, label:
     if not summary:
         data.unpersist()
         raise RuntimeError("every model failed")
-    order, spec, best, _, _ = min(summary, key=lambda t: (t[3], t[0]))   # T4: first wins ties
+    if all(math.isnan(t[3]) for t in summary):
+        data.unpersist()
+        raise RuntimeError("no model has an error on every fold")
+    order, spec, best, _, _ = min(summary, key=lambda t: (math.isnan(t[3]), t[3], t[0]))   # T4: first wins ties, NaN loses
     champion = fit_model(spec, data, features, label, best)
     data.unpersist()
     return res, spec.name, champion

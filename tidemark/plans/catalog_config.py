@@ -156,6 +156,18 @@ def q_k2(spark, sf):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+@register("k2_rfe_two_features", """
+SELECT CASE WHEN abs((ry1 - r12 * ry2) / (1 - r12 * r12)) >= abs((ry2 - r12 * ry1) / (1 - r12 * r12))
+            THEN 'l_quantity' ELSE 'l_discount' END AS feature
+FROM (SELECT corr(l_extendedprice, l_quantity) AS ry1, corr(l_extendedprice, l_discount) AS ry2, corr(l_quantity, l_discount) AS r12 FROM lineitem) c""")
+def q_k2_two(spark, sf):
+    """K2 on every lineitem row: of two features the one with the larger standardised
+    coefficient stays, which correlations give in closed form."""
+    li = read_table(spark, sf, "lineitem", ["l_extendedprice", "l_quantity", "l_discount"])
+    names = CF.select_rfe(li, ["l_quantity", "l_discount"], "l_extendedprice", 1)
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
 @register("k3_lasso_selection")
 def q_k3(spark, sf):
     """K3 on every lineitem row: price (thousands) on quantity, discount,
@@ -253,3 +265,12 @@ def q_k10_terms(spark, sf):
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
     out = FE.tfidf_doc_summary(docs)
     return out.withColumn("tfidf_l2", rnd("tfidf_l2", 8))
+
+
+@register("k10_word2vec_documents")
+def q_k10_w2v(spark, sf):
+    """K10 word2vec: skip-gram vectors trained on all documents, averaged per document."""
+    from pyspark.ml.functions import vector_to_array
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    model = FE.fit_word_vectors(docs, size=16)
+    return model.transform(docs).select("doc_id", vector_to_array("vector").alias("vector"))

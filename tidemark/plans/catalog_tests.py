@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
+from ..functions.stats import norm_ppf_sql
 from ..operators import features as FE
 from ..operators import tests as TS
 from ..sources import panels as P
@@ -48,9 +49,23 @@ def q_a19(spark, sf):
     return TS.adf_test(_panel(spark, sf), "y", "period", series="series_id")
 
 
-@register("g3_qq_points")
+def _qq_sql() -> str:
+    """Filliben's medians; the normal quantile by the same published rational approximation."""
+    return with_panel(f"""
+SELECT series_id, i AS rank, {R("y", 10)} AS sample, {R("z", 8)} AS theoretical,
+       {R("regr_slope(y, z) OVER s", 8)} AS slope, {R("regr_intercept(y, z) OVER s", 8)} AS intercept
+FROM qs WINDOW s AS (PARTITION BY series_id)""", f"""
+rk AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y) AS i,
+              CAST(count(*) OVER (PARTITION BY series_id) AS DOUBLE) AS n FROM panel),
+md AS (SELECT *, CASE WHEN i = n THEN power(0.5, 1 / n) WHEN i = 1 THEN 1 - power(0.5, 1 / n)
+                      ELSE (i - CAST(0.3175 AS DOUBLE)) / (n + CAST(0.365 AS DOUBLE)) END AS p FROM rk),
+qs AS (SELECT *, {norm_ppf_sql("p")} AS z FROM md)""")
+
+
+@register("g3_qq_points", _qq_sql())
 def q_g3(spark, sf):
-    return TS.qq_points(_panel(spark, sf), "y", by="series_id")
+    """The target of every series against normal quantiles, with the line through the points."""
+    return _rounded(TS.qq_points(_panel(spark, sf), "y", by="series_id"), {"sample": 10, "theoretical": 8, "slope": 8, "intercept": 8})
 
 
 def _lb_sql(lags=10, p_value=False):

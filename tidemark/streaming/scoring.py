@@ -94,8 +94,10 @@ def _numbers(s: pd.Series) -> list[float]:
 
 
 def drift_monitor(train_means: dict, report_path: str, threshold: float = 0.1):
-    """A22 / O6 per micro-batch: a ``foreachBatch`` function appending
-    (batch_id, feature, mean_train, mean_batch, rows, nulls, drift)."""
+    """A22 / O6 per micro-batch: a ``foreachBatch`` function that reports (feature,
+    mean_train, mean_batch, rows, nulls, drift) under ``batch_id=<id>`` of
+    ``report_path``. A batch that is run again replaces its own report, so nothing
+    counts twice; ``batch_id`` is a column when the folder is read."""
     cols = list(train_means)
 
     def fn(batch: DataFrame, batch_id: int):
@@ -103,12 +105,12 @@ def drift_monitor(train_means: dict, report_path: str, threshold: float = 0.1):
         for c in cols:
             aggs += [F.avg(c).alias(f"{c}|m"), F.count_if(F.col(c).isNull()).alias(f"{c}|n")]
         r = batch.agg(*aggs).first()
-        rows = [(int(batch_id), c, float(train_means[c]),
+        rows = [(c, float(train_means[c]),
                  None if r[f"{c}|m"] is None else float(r[f"{c}|m"]), int(r["_rows"]), int(r[f"{c}|n"]),
                  bool(r[f"{c}|m"] is not None and
                       abs(r[f"{c}|m"] - train_means[c]) > threshold * abs(train_means[c])))
                 for c in cols]
         batch.sparkSession.createDataFrame(
-            rows, "batch_id long, feature string, mean_train double, mean_batch double, rows long, "
-                  "nulls long, drift boolean").write.mode("append").parquet(report_path)
+            rows, "feature string, mean_train double, mean_batch double, rows long, "
+                  "nulls long, drift boolean").coalesce(1).write.mode("overwrite").parquet(f"{report_path}/batch_id={int(batch_id)}")
     return fn
