@@ -14,6 +14,7 @@ from ..sources import ingest as IN
 from ..sources import store as ST
 from ..sources.tables import read_table
 from ..streaming import scoring as SS
+from ..streaming import windows as SW
 from .catalog import FEATS, register
 from .catalog_models import model_root
 from .catalog_profile import CUTOFF, _panel, _rounded
@@ -87,6 +88,25 @@ def q_stream_lags(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("stream_event_windows", f"""
+SELECT user_id, event_id, ts, v, lag(v, 2) OVER w AS v_lag_2,
+       CASE WHEN count(v) OVER r = 3 THEN {R('avg(v) OVER r', 8)} END AS v_roll_mean_3,
+       CASE WHEN count(v) OVER r = 3 THEN {R('stddev_samp(v) OVER r', 6)} END AS v_roll_std_3,
+       last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v_filled, false AS late
+FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events) e
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
+       r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def q_stream_windows(spark, sf):
+    """W1-W4 on a stream: lag, rolling mean and deviation and forward fill of every
+    user's values (every fifth blanked), from value state."""
+    src = SS.read_stream(spark, sf, _EV_SCHEMA, glob="events.parquet")
+    src = src.withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    out = SW.stream_windows(src, "user_id", ["ts", "event_id"], "v", [2], [3], ["mean", "std"])
+    path = _scratch(spark, "stream_windows")
+    SS.run_to_parquet(out, path, path + "_ckpt")
+    return spark.read.parquet(path).withColumns({"v_roll_mean_3": rnd("v_roll_mean_3", 8), "v_roll_std_3": rnd("v_roll_std_3", 6)})
+
+
 @register("stream_lineitem_scoring", f"""
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, {R('a + b * l_quantity', 4)} AS prediction, false AS batch_drift
 FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem) f""")
