@@ -9,7 +9,7 @@ stateful lag features across micro-batches.
   a batch window over the whole history would give, as long as rows of a
   series arrive in time order (late rows are flagged, not re-ordered).
 * ``drift_monitor`` compares every micro-batch's feature means with the
-  training means (A22) inside ``foreachBatch`` and appends a report.
+  training means (A22) inside ``foreachBatch``; a batch run again replaces its report.
 """
 
 from __future__ import annotations
