@@ -66,6 +66,22 @@ def test_whole_table_equals_brute_force(spark):
     kept = S.drop_near_copies(df, 4, 4)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {x for x in least.values()}
+    assert kept.count() == len(set(comp.values()))
+
+
+@pytest.mark.parametrize("ids", [[3, None, 7, None, None, 9], [None] * 6, [5, 5, 5, 5, 5, 5], [2, 1, 2, 1, 2, 1]])
+def test_one_row_of_each_component_whatever_the_ids(spark, ids):
+    """Three components; ids that are missing, repeat, or repeat across components."""
+    a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(400))
+    texts = [a, a + " end", b, a, b, "alone here"]
+    df = spark.createDataFrame([(i, t, "k", "f") for i, t in zip(ids, texts)], "doc_id long, text string, key string, fp string")
+    comp = {r["fingerprint"]: r["component_id"] for r in S.near_duplicates(df, 4, 4).collect()}
+    kept = S.drop_near_copies(df, 4, 4)
+    rows = kept.collect()
+    assert kept.columns == df.columns and {r["key"] for r in rows} == {"k"}
+    assert sorted(r["text"][0] + r["text"][1] for r in rows) == ["a0", "al", "b0"] and len(comp) <= 4
+    for r, members in ((r, [i for i, t in zip(ids, texts) if t[:2] == r["text"][:2]]) for r in rows):
+        assert r["doc_id"] == min((i for i in members if i is not None), default=None)
 
 
 def test_empty_table(spark):

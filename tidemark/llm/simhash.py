@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_by_key, small_batches, stored, whole_text
 from .components import components
@@ -120,25 +121,54 @@ def as_hex(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, shingle: int, bits: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id, one row per input row."""
+def _classes(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, root, component_id), one row per input row; root: the component's own fingerprint."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col))
     reps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     total = rows.count()
     linked = stored(components(links(reps, bits))).withColumnRenamed("node", "fp")
     of_root = linked.join(reps, "fp").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("m"))
-    named = join_by_key(linked, of_root, "root", "m", total).select("fp", "least")
+    named = join_by_key(linked, of_root, "root", "m", total).select("fp", "root", "least")
     labels = stored(reps.join(named, "fp", "left").select(
-        "fp", "n", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
-    return join_by_key(rows, labels, "fp", "n", total).select(
+        "fp", "n", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
+    return join_by_key(rows, labels, "fp", "n", total).select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int, bits: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id, one row per input row."""
+    return _classes(docs, shingle, bits, id_col, text_col).select(
         "doc_id", as_hex("fp").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int, bits: int,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row per component: that of its smallest doc_id."""
-    found = near_duplicates(docs, shingle, bits, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    marked = docs.withColumn("__key", docs[id_col].cast("long"))
-    return marked.join(keep, F.col("__key").eqNullSafe(F.col("__id")), "left_semi").drop("__key")
+    """All columns of exactly one row per component: a row of its smallest doc_id. A row
+    without id is chosen only if the component has no other; among rows with the same id
+    (or none) it is one of the least fingerprint. Ids may repeat, also across components;
+    columns may have any name."""
+    found = stored(_classes(docs, shingle, bits, id_col, text_col).select("doc_id", "fp", "root"))
+    chosen = stored(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "fp")).alias("c"))
+                    .select(F.col("c.doc_id").alias("id"), F.col("c.fp").alias("of")))
+    many = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    cols = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].cast("long").alias("key"),
+                       docs[text_col].cast("string").alias("txt"))
+    one = rows.join(chosen.join(many, "id", "left_anti"), F.col("key") == F.col("id"), "left_semi").select("row")
+    # an id that repeats, or none, does not name a row: there the fingerprint decides
+    open_ids = chosen.where("id IS NULL").unionByName(chosen.join(many, "id", "left_semi"))
+    open_rows = rows.where("key IS NULL").unionByName(rows.join(many, F.col("key") == F.col("id"), "left_semi"))
+    other = (open_rows.withColumn("own", _fp_of(shingle)(F.coalesce("txt", F.lit(""))))
+             .join(open_ids, F.col("key").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")), "left_semi")
+             .dropDuplicates(["key", "own"]).select("row"))
+    return one.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in cols])
+
+
+def _fp_of(shingle: int):
+    @F.arrow_udf(T.LongType())
+    def run(text: pa.Array) -> pa.Array:
+        raw = b"".join([fingerprint(t, shingle) for t in text.cast(pa.large_binary()).to_pylist()])
+        return pa.array(np.frombuffer(raw, dtype=">i8").astype(np.int64))
+
+    return run
