@@ -51,6 +51,28 @@ def test_batches_do_not_change_the_result(spark, batches):
     assert all(r["keep_id"] == 160 + r["doc_id"] % 40 and r["group_size"] == 5 for r in got) and len(got) == 200
 
 
+@pytest.mark.parametrize("keys", [0, 39, 40])
+def test_screen_does_not_change_the_result(spark, keys):
+    """Below, at and above the number of suspected digests whose filters may be broadcast."""
+    rows = [(i, f"Text {i % 40}" if i < 160 else f"single {i}") for i in range(200)]
+    got = X.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), screen_keys=keys).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+def test_screen_lets_all_members_through(spark):
+    shas = spark.range(3000).selectExpr("sha2(CAST(id AS string), 256) AS sha", "id")
+    likely = X.screen_in_place(spark, shas.where("id < 1000").select("sha"), 1000)
+    got = {r["id"] for r in shas.where(likely(F.col("sha"))).collect()}
+    assert got >= set(range(1000)) and len(got) < 1100
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a", "s"), (2, "A", "t"), (None, "b", "u")], "doc_id long, text string, sha string")
+    out = X.drop_exact_copies(df.withColumn("__sha", F.lit(1)).withColumn("id", F.lit(2)))
+    assert out.columns == ["doc_id", "text", "sha", "__sha", "id"]
+    assert sorted(r["sha"] for r in out.collect()) == ["t", "u"]
+
+
 def test_empty_table(spark):
     assert X.exact_groups(spark.createDataFrame([], DOCS)).collect() == []
     assert X.drop_exact_copies(spark.createDataFrame([], DOCS)).collect() == []

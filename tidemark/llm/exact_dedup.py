@@ -12,6 +12,11 @@ key, no false negatives). A new batch goes through four steps:
 4. whatever is suspected (several rows in one batch, or in a snapshot) is
    grouped by its digest AND its normalised bytes; that grouping decides.
 
+Texts are screened for step 4 where they lie, by broadcast filters of the
+suspected digests: only suspected texts (and one other in 256) are shuffled.
+Past ``SCREEN_KEYS`` suspects the filters would be too large to broadcast;
+then all texts meet the digests in a shuffled join.
+
 A digest collision therefore cannot merge two texts: a digest that covers
 several texts is joined back by text.
 
@@ -30,7 +35,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +43,9 @@ from .common import ascii_lower, join_by_key, small_batches, stored, union_all,
 
 #: Digests of a snapshot that share a filter.
 BUCKET_KEYS = 50_000
+#: Suspected digests whose filters may be broadcast (about 9 bits each: 35 MB), and those of one filter.
+SCREEN_KEYS = 30_000_000
+SCREEN_BUCKET = 500_000
 BATCHES = 2
 
 
@@ -140,8 +148,33 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
             .applyInArrow(_screen, "sha string"))
 
 
+def screen_in_place(spark: SparkSession, digests: DataFrame, most: int) -> Callable[[Column], Column]:
+    """A column function, digest -> may it be one of ``digests``? True for all of these.
+    For more than ``most`` digests it is true for every row."""
+    n = digests.count()
+    if n > most:
+        return lambda sha: F.lit(True)
+    buckets = max(1, math.ceil(n / SCREEN_BUCKET))
+    filters = {r["bucket"]: (r["seed"], r["seg_len"], r["n_seg"], bytes(r["slots"]))
+               for r in snapshot_filters(digests, buckets).collect()}
+    shared = spark.sparkContext.broadcast(filters)
+
+    @F.arrow_udf(T.BooleanType())
+    def run(key: pa.Array) -> pa.Array:
+        keys = key.to_numpy(zero_copy_only=False).astype(np.int64)
+        hit, bucket = np.zeros(len(keys), dtype=bool), keys % buckets       # floored, as pmod is
+        for b in np.unique(bucket):
+            if b in shared.value:
+                at = bucket == b
+                hit[at] = maybe_in(keys[at], *shared.value[b])
+        return pa.array(hit)
+
+    return lambda sha: run(F.xxhash64(sha))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 batches: int = BATCHES, digest: Callable[[Column], Column] = sha256_lower) -> DataFrame:
+                 batches: int = BATCHES, digest: Callable[[Column], Column] = sha256_lower,
+                 screen_keys: int = SCREEN_KEYS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     small_batches(docs.sparkSession)
     texts = whole_text(docs, id_col, text_col)
@@ -164,8 +197,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # byte check: the normalised text itself is part of the grouping key
     # (rows of a very common text meet its digest by broadcast and are combined where they lie)
     def suspected(shas: DataFrame) -> DataFrame:
-        return (join_by_key(texts.withColumn("sha", digest(F.col("text"))), shas, "sha", "n", total).drop("n")
-                .withColumn("text", ascii_lower("text")))
+        likely = screen_in_place(docs.sparkSession, shas.select("sha"), screen_keys)
+        near = texts.withColumn("sha", digest(F.col("text"))).where(likely(F.col("sha")))
+        return join_by_key(near, shas, "sha", "n", total).drop("n").withColumn("text", ascii_lower("text"))
 
     classes = stored(suspected(suspects).groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     of_sha = stored(classes.groupBy("sha").agg(
@@ -184,11 +218,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows with all their columns; of wholly repeated (id, text) rows one."""
+    """The kept rows with all their columns; of wholly repeated (id, text) rows one. Among
+    rows without id a text is kept if no row with an id has it. Columns of any name stay."""
     keep = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).distinct()
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("of")).distinct()
     small_batches(docs.sparkSession)
-    sha = sha256_lower(docs[text_col].cast("string"))
-    marked = docs.withColumn("__sha", sha).withColumn("__key", docs[id_col].cast("long"))
-    return (marked.join(keep, (F.col("__sha") == F.col("__of")) & F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
-            .dropDuplicates(["__sha", "__key"]).drop("__sha", "__key"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("key"),
+                         sha256_lower(docs[text_col].cast("string")).alias("sha"))
+    return (marked.join(keep, (F.col("sha") == F.col("of")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
+            .dropDuplicates(["sha", "key"]).select("row.*"))
