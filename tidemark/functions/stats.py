@@ -77,3 +77,12 @@ def chi2_sf(x: float, k: float) -> float:
         if abs(de - 1.0) < 1e-15:
             break
     return math.exp(-z + a * math.log(z) - gln) * h
+
+
+def digamma_sql(n: str) -> str:
+    """Digamma of a SQL expression that is 1 or more: ten steps up, then the asymptotic
+    series (error under 1e-12)."""
+    z = f"({n} + 10)"
+    steps = " - ".join(f"1 / ({n} + {j})" for j in range(10))
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} * {z}) + 1 / (120 * pow({z}, 4)) "
+            f"- 1 / (252 * pow({z}, 6)) + 1 / (240 * pow({z}, 8)) - {steps})")

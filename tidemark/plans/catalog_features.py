@@ -10,7 +10,9 @@ from ..functions.exprs import rnd
 from ..operators import features as FE
 from ..operators import selection as SE
 from ..operators import windows as W
+from ..operators.knn_info import mutual_info_knn
 from ..sources import panels as P
+from ..sources.tables import read_table
 from .catalog import FEATS, register
 from .catalog_profile import (_DSC, CUTOFF, FEAT_NAMES, _feat_sql,
                               _features, _panel, _rounded, _union)
@@ -338,6 +340,55 @@ def q_a15(spark, sf):
     return _rounded(SE.mutual_info_binned(_panel(spark, sf), FEATS, "y"), {"mi": 9})
 
 
+_CUSTOMER_FEATS = ["acctbal", "nation", "n_orders", "mean_value"]
+
+_CUSTOMER_SQL = """
+SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS acctbal, CAST(c_nationkey AS DOUBLE) AS nation,
+       CAST(n AS DOUBLE) AS n_orders, cents / n / 100e0 AS mean_value, cents / 100e0 AS y
+FROM customer JOIN (SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS cents
+                    FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey"""
+
+
+def _mi_knn_sql(k=3):
+    """All pairs of rows, and digamma of a whole number as a harmonic sum."""
+    long = _union([f"SELECT '{c}' AS feature, id, {c} AS x, y FROM cust" for c in _CUSTOMER_FEATS])
+
+    def units(c):
+        return (f"CASE WHEN s{c} = 0 THEN 0 ELSE CAST(round_even(({c} - round_even(m{c} / s{c}, 0) * s{c}) "
+                f"* (68719476736e0 / s{c}), 0) AS BIGINT) END AS {c}")
+    return f"""
+WITH cust AS ({_CUSTOMER_SQL}),
+u AS ({long}),
+st AS (SELECT feature, count(*) AS n, avg(x) AS mx, avg(y) AS my,
+              CAST(format('{{:.5e}}', stddev_pop(x)) AS DOUBLE) AS sx,
+              CAST(format('{{:.5e}}', stddev_pop(y)) AS DOUBLE) AS sy FROM u GROUP BY feature),
+v AS (SELECT feature, id, {units('x')}, {units('y')} FROM u JOIN st USING (feature)),
+d AS (SELECT a.feature, a.id, any_value(a.x) AS x, any_value(a.y) AS y,
+             min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k})[{k}] AS r
+      FROM v a JOIN v b ON a.feature = b.feature AND a.id <> b.id GROUP BY a.feature, a.id),
+c AS (SELECT a.feature, a.id, count(*) FILTER (abs(a.x - b.x) <= greatest(r - 1, 0)) AS nx,
+             count(*) FILTER (abs(a.y - b.y) <= greatest(r - 1, 0)) AS ny
+      FROM d a JOIN v b ON a.feature = b.feature GROUP BY a.feature, a.id),
+h AS (SELECT i, coalesce(sum(1e0 / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             - 0.5772156649015329e0 AS psi FROM (SELECT row_number() OVER () AS i FROM customer) t)
+SELECT feature, any_value(st.n) AS n, {R(f'greatest(0e0, any_value(hn.psi) + any_value(hk.psi) - avg(hx.psi + hy.psi))', 9)} AS mi
+FROM c JOIN st USING (feature) JOIN h hx ON hx.i = nx JOIN h hy ON hy.i = ny JOIN h hn ON hn.i = st.n
+JOIN h hk ON hk.i = {k} GROUP BY feature"""
+
+
+@register("a15_mutual_info_knn", _mi_knn_sql())
+def q_a15_knn(spark, sf):
+    """Which traits of a customer tell the value of their orders; two of the traits are whole
+    numbers that many customers share."""
+    orders = (read_table(spark, sf, "orders", ["o_custkey", "o_totalprice"]).groupBy("o_custkey")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("cents")))
+    cust = read_table(spark, sf, "customer", ["c_custkey", "c_acctbal", "c_nationkey"]).join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    d = cust.select(F.col("c_acctbal").cast("double").alias("acctbal"), F.col("c_nationkey").cast("double").alias("nation"),
+                    F.col("n").cast("double").alias("n_orders"), (F.col("cents") / F.col("n") / 100).alias("mean_value"),
+                    (F.col("cents") / 100).alias("y"))
+    return _rounded(mutual_info_knn(d, _CUSTOMER_FEATS, "y"), {"mi": 9})
+
+
 def _a16_sql():
     norm = []
     for m in ["abs_corr", "mi", "f_stat", "r2"]:
