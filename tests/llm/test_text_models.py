@@ -255,3 +255,16 @@ def test_search_edge_cases(spark, monkeypatch):
         assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert {r["query_id"] for r in got} == {0, 50, 100}
     assert topk_search.top_k(df.where("false"), F.col("id") % 50 == 0, 4).collect() == []
+
+
+def test_chain_sample_is_not_the_first_texts(spark):
+    """Toxic words stand only in texts that come last in the alphabet, beside clean ones there."""
+    clean = [f"{c} calm words number {i} about rivers and trees" for i in range(20) for c in "abcdefghijklmnopqrstuvwxyz"] * 2
+    rows = [(i, f"{t} {i}") for i, t in enumerate(clean)]
+    rows += [(10_000 + i, f"zz you filthy vermin rotten scum {i} leave") for i in range(300)]
+    rows += [(20_000 + i, f"zz you kindly people of the town {i} stay") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__s", F.lit(1)).withColumn("row", F.lit("r"))
+    labels = spark.createDataFrame([(i, int(10_000 <= i < 20_000)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [i for i, _ in rows if not 10_000 <= i < 20_000]

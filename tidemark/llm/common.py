@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from functools import reduce
 
@@ -108,6 +109,31 @@ class Memory:
             self.young, self.old = {}, self.young
 
 
+    @staticmethod
+    def forget() -> None:
+        """Empty the memory in use and give the pages back to the system."""
+        if Memory.in_use is not None:
+            Memory.in_use.young, Memory.in_use.old = {}, {}
+            Memory.in_use = None
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):           # only where the C library has it
+            pass
+
+
+def forgetting(run):
+    """A task's generator that leaves no memory behind in the worker, which may idle beside
+    other operators' workers from then on."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            Memory.forget()
+
+    return wrapped
+
+
 def slices(batches, column: str, size: int = 2_000_000):
     """Arrow batches joined to tables whose texts have about ``size`` characters."""
     held, n = [], 0

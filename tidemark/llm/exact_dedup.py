@@ -219,11 +219,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows with all their columns; of wholly repeated (id, text) rows one. Among
-    rows without id a text is kept if no row with an id has it. Columns of any name stay."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("id"), F.col("text_sha256").alias("of")).distinct()
-    small_batches(docs.sparkSession)
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("key"),
-                         sha256_lower(docs[text_col].cast("string")).alias("sha"))
-    return (marked.join(keep, (F.col("sha") == F.col("of")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
-            .dropDuplicates(["sha", "key"]).select("row.*"))
+    rows without id a text is kept if no row with an id has it. Columns of any name stay.
+    Rows whose text is alone stay where they lie; only those that may stand for a group
+    are shuffled."""
+    spark = docs.sparkSession
+    found = stored(exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "group_size", "kept"))
+    many = stored(found.where("group_size > 1").select(F.col("text_sha256").alias("sha")).distinct())
+    likely = screen_in_place(spark, many, SCREEN_KEYS)
+    keep = stored(found.where(F.col("kept") & likely(F.col("text_sha256")))
+                  .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("of")).distinct())
+    stands = screen_in_place(spark, keep.select(_mark("of", "id").alias("sha")), SCREEN_KEYS)
+    small_batches(spark)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("key"),
+                       sha256_lower(docs[text_col].cast("string")).alias("sha"))
+    alone = rows.where(~likely(F.col("sha"))).select("row")
+    some = (rows.where(likely(F.col("sha")) & stands(_mark("sha", "key")))
+            .join(keep, (F.col("sha") == F.col("of")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
+            .dropDuplicates(["sha", "key"]).select("row"))
+    return alone.unionByName(some).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _mark(sha: str, key: str) -> Column:
+    return F.concat(F.col(sha), F.coalesce(F.col(key).cast("string"), F.lit("")))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, slices, small_batches, stored, whole_text
+from .common import Memory, forgetting, slices, small_batches, stored, whole_text
 
 #: Entries of a generation of a worker's memory of words.
 MEMO = 300_000
@@ -51,7 +51,7 @@ WIDTH = 6
 #: Steps of an enumeration before it goes on as it is used, and steps that count as a node.
 LISTED, TICK = 400, 50
 #: Pieces that a numbering task sorts.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 20_000
 
 
 #: Letters that stay one letter when lower-cased: ASCII and U+00C0-U+00FF, in UTF-8.
@@ -118,21 +118,17 @@ class Words:
         return out
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _WORDS:
-            _WORDS[tokenizer_path] = Words(tokenizer_path)
+        words = Words(tokenizer_path)
         for t in slices(batches, "text"):
             texts = t["text"].cast(pa.large_binary()).to_pylist()
             out = [(d, k, k * size, min(size, len(ids) // 4 - k * size), zlib.crc32(ids[4 * k * size:4 * (k + 1) * size]))
-                   for d, ids in zip(t["doc_id"].to_pylist(), _WORDS[tokenizer_path].encode_texts(texts, end_id))
+                   for d, ids in zip(t["doc_id"].to_pylist(), words.encode_texts(texts, end_id))
                    for k in range(-(-len(ids) // (4 * size)))]
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
@@ -140,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0,
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return whole_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        forgetting(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ------------------------------------------------------------- the search

@@ -33,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_by_key, small_batches, stored, whole_text
+from .common import join_by_key, small_batches, stored, union_all, whole_text
 from .components import components
+from .exact_dedup import SCREEN_KEYS, screen_in_place
 
 SEED = 42
 #: Shingles whose bits are summed at once.
@@ -147,22 +148,32 @@ def drop_near_copies(docs: DataFrame, shingle: int, bits: int,
     """All columns of exactly one row per component: a row of its smallest doc_id. A row
     without id is chosen only if the component has no other; among rows with the same id
     (or none) it is one of the least fingerprint. Ids may repeat, also across components;
-    columns may have any name."""
+    columns may have any name. Rows that are surely chosen stay where they lie."""
+    spark = docs.sparkSession
     found = stored(_classes(docs, shingle, bits, id_col, text_col).select("doc_id", "fp", "root"))
     chosen = stored(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "fp")).alias("c"))
                     .select(F.col("c.doc_id").alias("id"), F.col("c.fp").alias("of")))
-    many = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    # an id that repeats, or none, does not name a row: there the fingerprint decides
+    named = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("id"), "n")
+    many = stored(named.where("n > 1").select("id"))
+    doubt = stored(named.join(chosen, "id", "left_anti").select("id").unionByName(many).distinct())
+    likely = screen_in_place(spark, doubt.select(F.col("id").alias("sha")), SCREEN_KEYS)
+    sure = stored(chosen.where(likely(F.col("id"))).join(many, "id", "left_anti").select("id"))
+    back = screen_in_place(spark, sure.select(F.col("id").alias("sha")), SCREEN_KEYS)
+
     cols = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].cast("long").alias("key"),
                        docs[text_col].cast("string").alias("txt"))
-    one = rows.join(chosen.join(many, "id", "left_anti"), F.col("key") == F.col("id"), "left_semi").select("row")
-    # an id that repeats, or none, does not name a row: there the fingerprint decides
-    open_ids = chosen.where("id IS NULL").unionByName(chosen.join(many, "id", "left_semi"))
-    open_rows = rows.where("key IS NULL").unionByName(rows.join(many, F.col("key") == F.col("id"), "left_semi"))
-    other = (open_rows.withColumn("own", _fp_of(shingle)(F.coalesce("txt", F.lit(""))))
-             .join(open_ids, F.col("key").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")), "left_semi")
-             .dropDuplicates(["key", "own"]).select("row"))
-    return one.unionByName(other).select(*[F.col("row").getField(c).alias(c) for c in cols])
+    in_doubt = rows.where(F.col("key").isNotNull() & likely(F.col("key")))
+    parts = [rows.where(F.col("key").isNotNull() & ~likely(F.col("key"))),
+             in_doubt.where(back(F.col("key"))).join(sure, F.col("key") == F.col("id"), "left_semi")]
+    open_ids = stored(chosen.where("id IS NULL").unionByName(chosen.join(many, "id", "left_semi")))
+    if not open_ids.isEmpty():
+        open_rows = rows.where("key IS NULL").unionByName(in_doubt.join(many, F.col("key") == F.col("id"), "left_semi"))
+        parts.append(open_rows.withColumn("own", _fp_of(shingle)(F.coalesce("txt", F.lit(""))))
+                     .join(open_ids, F.col("key").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")), "left_semi")
+                     .dropDuplicates(["key", "own"]))
+    return union_all([p.select("row") for p in parts]).select(*[F.col("row").getField(c).alias(c) for c in cols])
 
 
 def _fp_of(shingle: int):

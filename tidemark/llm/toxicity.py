@@ -25,6 +25,7 @@ import math
 import pickle
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -34,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory, small_batches
+from .common import Memory, forgetting, small_batches
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1_500, 3_500, 20_000
-#: Clean documents of the sample whose tokens the chain is fitted to.
+#: Clean documents of the sample whose tokens the chain is fitted to, those of least hash.
 CHAIN_CLEAN = 750
 #: Hashed weights; gradient steps.
 WEIGHTS, STEPS = 1 << 18, 50
@@ -47,7 +48,7 @@ CLEAR = math.log(16.0)
 FOLDS = 3
 THRESHOLD = 0.7
 #: Entries of a generation of a worker's memory of words.
-MEMO = 300_000
+MEMO = 100_000
 
 _TOKEN = re.compile(r"\w+")
 
@@ -298,18 +299,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sample.append(texts.join(F.broadcast(chosen), "__id").orderBy(*order).limit(n).select("__t", "__y"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((y, t) for b in batches for t, y in zip(b.column("__t").to_pylist(), b.column("__y").to_pylist()))
-        tagger = fit([t for _, t in rows], [y for y, _ in rows])
+        # by a hash of the text: the chain's clean documents are the first of the order
+        rows = sorted((y, zlib.crc32(t.encode()), t) for b in batches
+                      for t, y in zip(b.column("__t").to_pylist(), b.column("__y").to_pylist()))
+        tagger = fit([t for _, _, t in rows], [y for y, _, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["model"])
 
     # one task fits the bounded sample, away from the driver; only the weights come back
     small_batches(docs.sparkSession)
-    row = sample[0].unionByName(sample[1]).coalesce(1).mapInArrow(run, "model binary").first()
+    row = sample[0].unionByName(sample[1]).coalesce(1).mapInArrow(forgetting(run), "model binary").first()
     return pickle.loads(row["model"]) if row else Tagger()
 
 
-_MEMORIES: dict[str, Memory] = {}
-
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([
     T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -320,16 +321,17 @@ def scorer(docs: DataFrame, tagger: Tagger):
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)       # WEIGHTS numbers, whatever the corpus
 
+    def score(texts: Iterable[pa.Array]) -> Iterator[pa.Array]:
+        model, memory = shared.value, Memory(MEMO)
+        for text in texts:
+            got = model.tag([t or "" for t in text.to_pylist()], memory)
+            yield pa.StructArray.from_arrays(
+                [pa.array([model.score(t, e) for t, e, _ in got], pa.float64()),
+                 pa.array([[{"start": a, "end": b, "p": q} for a, b, q in s] for _, _, s in got], _SPANS)], ["score", "spans"])
+
     @F.arrow_udf(RESULT)
-    def run(text: pa.Array) -> pa.Array:
-        model = shared.value
-        if model.key not in _MEMORIES:
-            _MEMORIES.clear()
-            _MEMORIES[model.key] = Memory(MEMO)
-        got = model.tag([t or "" for t in text.to_pylist()], _MEMORIES[model.key])
-        return pa.StructArray.from_arrays(
-            [pa.array([model.score(t, e) for t, e, _ in got], pa.float64()),
-             pa.array([[{"start": a, "end": b, "p": q} for a, b, q in s] for _, _, s in got], _SPANS)], ["score", "spans"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from forgetting(score)(texts)
 
     return run
 
@@ -343,6 +345,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with a score under the threshold, all their columns."""
+    """The rows with a score under the threshold, all their columns, whatever their names."""
     run = scorer(docs, train(docs, labels, id_col, text_col))
-    return docs.withColumn("__s", run(docs[text_col].cast("string"))).where(F.col("__s.score") < THRESHOLD).drop("__s")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), run(docs[text_col].cast("string")).alias("s"))
+    return rows.where(F.col("s.score") < THRESHOLD).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
