@@ -148,30 +148,64 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
             .applyInArrow(_screen, "sha string"))
 
 
-def screen_in_place(spark: SparkSession, digests: DataFrame, most: int) -> Callable[[Column], Column]:
-    """A column function, digest -> may it be one of ``digests``? True for all of these.
-    For more than ``most`` digests it is true for every row."""
+def _filters(digests: DataFrame, most: int) -> tuple[int, dict] | None:
+    """(number of buckets, filters by bucket) of distinct digests; none for more than ``most``."""
     n = digests.count()
     if n > most:
-        return lambda sha: F.lit(True)
+        return None
     buckets = max(1, math.ceil(n / SCREEN_BUCKET))
-    filters = {r["bucket"]: (r["seed"], r["seg_len"], r["n_seg"], bytes(r["slots"]))
-               for r in snapshot_filters(digests, buckets).collect()}
-    shared = spark.sparkContext.broadcast(filters)
+    return buckets, {r["bucket"]: (r["seed"], r["seg_len"], r["n_seg"], bytes(r["slots"]))
+                     for r in snapshot_filters(digests, buckets).collect()}
+
+
+def _hits(keys: np.ndarray, filters: tuple[int, dict] | None) -> np.ndarray:
+    if filters is None:
+        return np.ones(len(keys), dtype=bool)
+    hit, bucket = np.zeros(len(keys), dtype=bool), keys % filters[0]        # floored, as pmod is
+    for b in np.unique(bucket):
+        if b in filters[1]:
+            at = bucket == b
+            hit[at] = maybe_in(keys[at], *filters[1][b])
+    return hit
+
+
+def screen_in_place(spark: SparkSession, digests: DataFrame, most: int) -> Callable[[Column], Column]:
+    """A column function, digest -> may it be one of ``digests``? True for all of these.
+    For more than ``most`` digests it is true for every row."""
+    shared = spark.sparkContext.broadcast(_filters(digests, most))
 
     @F.arrow_udf(T.BooleanType())
     def run(key: pa.Array) -> pa.Array:
-        keys = key.to_numpy(zero_copy_only=False).astype(np.int64)
-        hit, bucket = np.zeros(len(keys), dtype=bool), keys % buckets       # floored, as pmod is
-        for b in np.unique(bucket):
-            if b in shared.value:
-                at = bucket == b
-                hit[at] = maybe_in(keys[at], *shared.value[b])
-        return pa.array(hit)
+        return pa.array(_hits(key.to_numpy(zero_copy_only=False).astype(np.int64), shared.value))
 
     return lambda sha: run(F.xxhash64(sha))
 
 
+def digest_and_screen(spark: SparkSession, digest, of_text: DataFrame, of_row: DataFrame | None,
+                      most: int) -> Callable[[Column, Column], Column]:
+    """A column function, (text, id) -> struct(sha, near, stands), in one pass through one
+    worker: the text's digest; whether it may be one of ``of_text``; whether digest and id,
+    as ``_mark`` joins them, may be one of ``of_row``."""
+    import xxhash
+    shared = spark.sparkContext.broadcast((_filters(of_text, most), of_row and _filters(of_row, most)))
+    sha_of, with_row = digest.func, of_row is not None
+
+    def keys(marks: list[str]) -> np.ndarray:               # as xxhash64() has them
+        return np.array([xxhash.xxh64_intdigest(m, 42) for m in marks], dtype=np.uint64).view(np.int64)
+
+    @F.arrow_udf("struct<sha: string, near: boolean, stands: boolean>")
+    def run(text: pa.Array, key: pa.Array) -> pa.Array:
+        sha, (texts, rows) = sha_of(text), shared.value
+        names = sha.to_pylist()
+        near = _hits(keys(names), texts)
+        stands = near
+        if with_row:
+            stands = _hits(keys([n + k for n, k in zip(names, key.to_pylist())]), rows)
+        return pa.StructArray.from_arrays([sha, pa.array(near), pa.array(stands)], ["sha", "near", "stands"])
+
+    return lambda text, key: run(text, F.coalesce(key.cast("string"), F.lit("")))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  batches: int = BATCHES, digest: Callable[[Column], Column] = sha256_lower,
                  screen_keys: int = SCREEN_KEYS) -> DataFrame:
@@ -197,8 +231,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # byte check: the normalised text itself is part of the grouping key
     # (rows of a very common text meet its digest by broadcast and are combined where they lie)
     def suspected(shas: DataFrame) -> DataFrame:
-        likely = screen_in_place(docs.sparkSession, shas.select("sha"), screen_keys)
-        near = texts.withColumn("sha", digest(F.col("text"))).where(likely(F.col("sha")))
+        screen_of = digest_and_screen(docs.sparkSession, digest, shas.select("sha"), None, screen_keys)
+        near = texts.withColumn("s", screen_of(F.col("text"), F.lit(""))).where("s.near").select("doc_id", "text", "s.sha")
         return join_by_key(near, shas, "sha", "n", total).drop("n").withColumn("text", ascii_lower("text"))
 
     classes = stored(suspected(suspects).groupBy("sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
@@ -228,12 +262,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     likely = screen_in_place(spark, many, SCREEN_KEYS)
     keep = stored(found.where(F.col("kept") & likely(F.col("text_sha256")))
                   .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("of")).distinct())
-    stands = screen_in_place(spark, keep.select(_mark("of", "id").alias("sha")), SCREEN_KEYS)
     small_batches(spark)
+    screen_of = digest_and_screen(spark, sha256_lower, many, keep.select(_mark("of", "id").alias("sha")), SCREEN_KEYS)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("key"),
-                       sha256_lower(docs[text_col].cast("string")).alias("sha"))
-    alone = rows.where(~likely(F.col("sha"))).select("row")
-    some = (rows.where(likely(F.col("sha")) & stands(_mark("sha", "key")))
+                       screen_of(docs[text_col].cast("string"), docs[id_col].cast("long")).alias("s"))
+    alone = rows.where("NOT s.near").select("row")
+    some = (rows.where("s.near AND s.stands").select("row", "key", "s.sha")
             .join(keep, (F.col("sha") == F.col("of")) & F.col("key").eqNullSafe(F.col("id")), "left_semi")
             .dropDuplicates(["sha", "key"]).select("row"))
     return alone.unionByName(some).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
