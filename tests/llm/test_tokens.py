@@ -56,6 +56,33 @@ def test_counts_equal_library(spark, docs, chunk, overlap):
     assert got == sorted((i, b, n, n > 1024) for i, b, n in want)
 
 
+CHINESE = "今天天气很好，我们去公园散步。他说：“这本书有２３４页！”然后回家了；"
+
+
+@pytest.mark.parametrize("text", [CHINESE * 40, "don't we'll 's'n'x''s " * 60, "a<|endoftext|>b,<|endoftext|>" * 50, "日" * 2_000,
+                                  "x1y2,z" * 300, "é'd 'é'" * 200, "\u0301a\u0301," * 200, "a\u00a0b\u3000c\x85d" * 100, "🙂🙂a🙂" * 150])
+@pytest.mark.parametrize("chunk, overlap", [(64, 4), (97, 8), (300, 16)])
+def test_splices_anywhere_the_pattern_splits(text, chunk, overlap):
+    c = token_counts.Counter(P.path("byte_bpe_50k.json"))
+    want = len(c.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert token_counts.count_spliced(text.encode(), c.ends_of, chunk, overlap, c.special) == want
+
+
+def test_long_texts_without_spaces_take_work_in_proportion():
+    c = token_counts.Counter(P.path("byte_bpe_50k.json"))
+    for text in (CHINESE * 30_000, "日" * 400_000):
+        read = 0
+
+        def ends_of(data):
+            nonlocal read
+            read += len(data)
+            return c.ends_of(data)
+
+        data = text.encode()
+        assert token_counts.count_spliced(data, ends_of, special=c.special) == len(c.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert read < 10 * len(data)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
