@@ -230,7 +230,7 @@ def test_block_search_equals_sorting():
         asked = np.unique(rng.integers(0, n, m))
         q = v[[int(np.flatnonzero(ids == i)[0]) for i in asked]]
         got = {}
-        for a, b, s in topk_search.search_block(asked, q, ids, v, k):
+        for a, b, s in topk_search.search_block(asked, q, ids, v, k)[0]:
             got.setdefault(a, []).append((b, s))
         for i, x in zip(asked, q):
             want = sorted((-int(x @ y), int(c)) for c, y in zip(ids, v) if c != i)[:k]
@@ -268,3 +268,17 @@ def test_chain_sample_is_not_the_first_texts(spark):
     out = toxicity.drop_toxic(docs, labels)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [i for i, _ in rows if not 10_000 <= i < 20_000]
+
+
+def test_searches_stop_before_the_last_list_on_the_given_vectors(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+            if r["vec_id"] is not None and r["embedding"] and all(c is not None and np.isfinite(c) for c in r["embedding"])]
+    ids = np.array([r["vec_id"] for r in rows])
+    v = np.floor(256 * np.array([r["embedding"] for r in rows], dtype=np.float64)).astype(np.int64)
+    at = ids % 50 == 0
+    got, depth = topk_search.search_block(ids[at], v[at], ids, v, 5)
+    assert (depth < v.shape[1]).mean() > 0.9 and len(got) == 5 * at.sum()
+    scores = v[at] @ v.T
+    for row, q_id in enumerate(ids[at].tolist()):
+        want = sorted((-int(s), int(i)) for i, s in zip(ids, scores[row]) if i != q_id)[:5]
+        assert [(-s, b) for a, b, s in got if a == q_id] == want

@@ -1,16 +1,21 @@
 """Exact top-k inner product by no-random-access aggregation.
 
-Candidates are dealt by a hash into blocks, each with one sorted list per
-component. A query reads the lists of its positive components from the largest
-value, those of its negative ones from the smallest. At a depth, what it has not
-read of a candidate is at most the list's frontier and at least the list's other
-end: that gives every candidate (and so every unseen one) an upper and a lower
-score bound. Candidates whose upper bound is under the k-th best lower bound are
-out; reading goes on until few are left, whose scores are then resolved exactly.
-At full depth both bounds are the score, so the result is always exact. The
-bounds of all queries of a block against all candidates of a block are matrix
-products: the two tables meet block by block (the queries are a stated set), and
-the k best of a block are a superset of its share in the k best of all.
+Candidates are dealt by a hash into blocks, each with one list per component,
+whose two ends are known. A query reads whole lists, those first that can add
+most to a score: |q_i| times the spread of the list. What it has read of a
+candidate is its partial score; the lists still to come add at least the sum of
+their worse ends and at most the sum of their better ends, which gives every
+candidate a lower and an upper score bound. After every few lists a candidate
+whose upper bound is under the k-th best lower bound is out: later lists are read
+for the others alone. Reading stops when so few are left that no outsider can
+qualify; their scores are then resolved from the lists not read. The result is
+exact wherever reading stops. The two tables meet block by block (the queries are
+a stated set), and the k best of a block are a superset of its share in the k
+best of all.
+
+Blocks are dealt to tasks as a grid: a task holds up to ``GROUP`` blocks of either
+table, so a block travels once for each row or column of the grid, not for each
+block that it meets, with its values in the smallest integers that hold them.
 
 Scores are integers and exact: products run in 32- or 64-bit floats only while
 their sums stay exact there, in 64-bit integers otherwise.
@@ -25,8 +30,6 @@ empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,10 +39,12 @@ from .common import stored
 
 #: Rows of a block of candidates and of queries.
 BLOCK, QUERY_BLOCK = 4_096, 1_024
-#: Shares of the lists read before bounds are compared.
-DEPTHS = (1 / 32, 1 / 8, 1 / 2)
-#: Reading stops once at most this share of a block is left.
-FEW = 1 / 8
+#: Blocks of either table that meet in one task.
+GROUP = 16
+#: Lists read between two looks at the bounds.
+STEP = 4
+#: Reading stops once at most this many times k candidates are left.
+FEW = 8
 
 
 def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
@@ -56,57 +61,66 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score): the k best of one block for every query."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray,
+                 k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(query id, candidate id, score): the k best of one block for every query; and how
+    many lists each query read before no outsider could qualify."""
     kind = _exact_type(q, v)
-    n = len(ids)
-    lists = np.sort(v, axis=0)
-    least, most = lists[0].astype(kind), lists[-1].astype(kind)
-    vk = v.astype(kind)
-    split = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).astype(kind)
+    lists = np.ascontiguousarray(v.T.astype(kind))
+    least, most = v.min(axis=0), v.max(axis=0)
+    dim = v.shape[1]
     out: list[tuple[int, int, int]] = []
-    active = np.arange(len(q_ids))
-    for share in DEPTHS:
-        depth = int(share * n)
-        if depth < 1 or not len(active) or n <= 4 * k:
-            continue
-        high, low = lists[n - depth].astype(kind), lists[depth - 1].astype(kind)    # frontiers of both ends
-        upper = split[active] @ np.concatenate([np.maximum(vk, high), np.minimum(vk, low)], axis=1).T
-        lower = split[active] @ np.concatenate([np.where(vk >= high, vk, least), np.where(vk <= low, vk, most)], axis=1).T
-        own = q_ids[active][:, None] == ids[None, :]
-        lower[own] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]          # k-th best lower bound
-        left = (upper >= bar[:, None]) & ~own
-        done = left.sum(axis=1) <= FEW * n
-        for i in np.flatnonzero(done):
-            at = np.flatnonzero(left[i])
-            out += _resolve(q_ids[active[i]], q[active[i]], ids[at], v[at], k, kind)
-        active = active[~done]
-    if len(active):
-        exact = split[active][:, :q.shape[1]] @ vk.T + split[active][:, q.shape[1]:] @ vk.T
-        for i, a in enumerate(active):
-            at = np.flatnonzero(ids != q_ids[a])
-            best = at[_best(exact[i][at], ids[at], k)]
-            out += [(int(q_ids[a]), int(ids[b]), int(exact[i][b])) for b in best]
-    return out
-
-
-def _resolve(q_id, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, kind: type) -> list[tuple[int, int, int]]:
-    scores = v.astype(kind) @ q.astype(kind)
-    return [(int(q_id), int(ids[b]), int(scores[b])) for b in _best(scores, ids, k)]
+    depth = np.zeros(len(q_ids), dtype=np.int64)
+    for row, (q_id, x) in enumerate(zip(q_ids.tolist(), q)):
+        ends = np.stack([x * least, x * most])
+        order = np.argsort(ends.min(axis=0) - ends.max(axis=0), kind="stable")
+        worse = np.append(np.cumsum(ends.min(axis=0)[order][::-1])[::-1], 0)      # of the lists from a place on
+        better = np.append(np.cumsum(ends.max(axis=0)[order][::-1])[::-1], 0)
+        left, weight, done = np.flatnonzero(ids != q_id), x.astype(kind), 0
+        score = np.zeros(len(left), dtype=kind)
+        rest = lists if len(left) == len(ids) else None       # lists of those left, if these are all
+        while done < dim and len(left) > FEW * k:
+            now = order[done:done + STEP]
+            score = score + weight[now] @ (lists[now] if rest is not None else lists[now[:, None], left])
+            done += len(now)
+            if score.max() + worse[done] <= score.min() + better[done]:
+                continue                                       # nobody can be out yet
+            bar = np.partition(score, len(score) - k)[len(score) - k] + worse[done]
+            stays = score + better[done] >= bar
+            if np.count_nonzero(stays) < 0.8 * len(left):      # copied only when it pays
+                left, score, rest = left[stays], score[stays], None
+        depth[row] = done
+        if done < dim and len(left):
+            score = score + weight[order[done:]] @ lists[order[done:][:, None], left]
+        out += [(q_id, int(ids[left[b]]), int(score[b])) for b in _best(score, ids[left], k)]
+    return out, depth
 
 
 def _packed(rows: DataFrame, block: str) -> DataFrame:
-    """One row per block and vector length: ids and values as little-endian integers."""
+    """One row per block and vector length: ids, and values in the smallest little-endian integers that hold them."""
     def pack(group: pa.Table) -> pa.Table:
         values = group["e"].combine_chunks().flatten().to_numpy()
+        kind = next(t for t in ("<i2", "<i4", "<i8") if not len(values) or (
+            np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max))
         return pa.table({block: pa.array([group[block][0].as_py()], pa.int64()), "dim": pa.array([group["dim"][0].as_py()], pa.int32()),
                          "ids": pa.array([group["id"].to_numpy().astype("<i8").tobytes()], pa.binary()),
-                         "vals": pa.array([values.astype("<i8").tobytes()], pa.binary())})
+                         "vals": pa.array([values.astype(kind).tobytes()], pa.binary())})
 
     return rows.groupBy(block, "dim").applyInArrow(pack, f"{block} long, dim int, ids binary, vals binary")
 
 
+def _unpacked(ids: bytes, vals: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids, "<i8")
+    width = len(vals) // (len(numbers) * dim)
+    return numbers, np.frombuffer(vals, f"<i{width}").reshape(-1, dim).astype(np.int64)
+
+
+def _on_grid(packed: DataFrame, block: str, own: str, own_parts: int, other: str, other_parts: int) -> DataFrame:
+    """Every block once in each cell of its row (or column) of the grid."""
+    return packed.select(F.pmod(F.col(block), F.lit(own_parts)).alias(own), "dim", "ids", "vals",
+                         F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1)).cast("array<long>")).alias(other))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256,
           id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score; ``is_query`` is a condition on ``id``."""
@@ -120,21 +134,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256,
     def deal(df: DataFrame, name: str, parts: int) -> DataFrame:
         return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(parts)))
 
-    candidates = _packed(deal(rows, "block", blocks), "block")
-    queries = (_packed(deal(asked, "q_block", q_blocks), "q_block")
-               .select("dim", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"),
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block")))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                get = {name: b.column(name)[r].as_py() for name in ("dim", "q_ids", "q_vals", "ids", "vals")}
-                got = search_block(np.frombuffer(get["q_ids"], "<i8"), np.frombuffer(get["q_vals"], "<i8").reshape(-1, get["dim"]),
-                                   np.frombuffer(get["ids"], "<i8"), np.frombuffer(get["vals"], "<i8").reshape(-1, get["dim"]), k)
-                cols = list(zip(*got)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    best = (queries.join(candidates, ["block", "dim"]).select("dim", "q_ids", "q_vals", "ids", "vals")
-            .repartition(F.xxhash64("ids", "q_ids")).mapInArrow(run, "query_id long, vec_id long, score long"))
+    def meet(cell: pa.Table, queries: pa.Table) -> pa.Table:
+        got: list[tuple[int, int, int]] = []
+        for a in queries.to_pylist():
+            asked_now = _unpacked(a["ids"], a["vals"], a["dim"])
+            for c in cell.to_pylist():
+                got += search_block(*asked_now, *_unpacked(c["ids"], c["vals"], c["dim"]), k)[0]
+        cols = list(zip(*got)) or [(), (), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+    # few blocks are spread over all cores, many in groups of a bounded size
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    across, down = math.ceil(q_blocks / GROUP), max(math.ceil(blocks / GROUP), min(blocks, cores))
+    candidates = _on_grid(_packed(deal(rows, "block", blocks), "block"), "block", "r", down, "c", across)
+    queries = _on_grid(_packed(deal(asked, "q_block", q_blocks), "q_block"), "q_block", "c", across, "r", down)
+    best = (candidates.groupBy("r", "c", "dim").cogroup(queries.groupBy("r", "c", "dim"))
+            .applyInArrow(meet, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
