@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -282,3 +283,26 @@ def test_searches_stop_before_the_last_list_on_the_given_vectors(spark):
     for row, q_id in enumerate(ids[at].tolist()):
         want = sorted((-int(s), int(i)) for i, s in zip(ids, scores[row]) if i != q_id)[:5]
         assert [(-s, b) for a, b, s in got if a == q_id] == want
+
+
+P = "A paragraph of the article that is long enough to be its text, number "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<p>{P}1</p><p title=don't>{P}2</p><p>it's {P}3</p>", [f"{P}1", f"{P}2", f"it's {P}3"]),
+    (f'<p>{P}1<b title="5" tall"> and</b></p><p>"{P}2"</p>', [f"{P}1 and", f'"{P}2"']),
+    (f'<a name=top><h1>Title</h1><p>{P}1</p><p>{P}2</p><p>{P}3</p>', ["Title", f"{P}1", f"{P}2", f"{P}3"]),
+    (f'<p><a href="/x">{P}1<p>{P}2<p>{P}3<p>{P}4', [f"{P}{i}" for i in (1, 2, 3, 4)]),
+    (f"<p>{P}1</p><p>a <b/>< b <3 &lt;p&gt;</p><!-- > --><p>{P}2</p><!d <p>x</p>", [f"{P}1", "a < b <3 <p>", f"{P}2", "x"]),
+    (f"<p data-x='a>b' y = \"c>d\">{P}1</p><svg/><SCRIPT>var a = '</p>';</script ><p>{P}2", [f"{P}1", f"{P}2"]),
+    (f"<p>{P}1</p><p>{P}2 <a href='x", [f"{P}1", f"{P}2 <a href='x"]),
+])
+def test_pages_of_tag_soup(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("unit", ["<x'", "<x a='", "<a b='>'", "<!x", "<!--", "<script", "<p title=\"", "</x\"", "<svg>", "<![CDATA["])
+def test_hostile_markup_is_read_once(unit):
+    began = time.process_time()
+    html_text.main_text("<p>start</p>" + unit * (300_000 // len(unit)))
+    assert time.process_time() - began < 10
