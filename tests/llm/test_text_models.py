@@ -117,6 +117,22 @@ def test_skipped_elements(page, want):
     assert html_text.main_text(page) == want
 
 
+_LINKS = "".join(f"<li><a href='/{i}'>Topic number {i}</a></li>" for i in range(5))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div>Out.</div><article><p>One.</p><p>Two.</p></article><p>Between</p><article><p>Three.</p></article><p>Out.</p>", "One.\nTwo.\nThree."),
+    (f"<ul>{_LINKS}</ul><p>One.</p><p>Two.</p><ul>{_LINKS}</ul><p>Three.</p>", "One.\nTwo.\nThree."),
+    ("<p><a href='/'>Link</a></p><p>One.</p><nav>x</nav><p><a href='/a'>Link</a></p><nav>x</nav><p>Two.</p><p><a href='/b'>Link</a></p>",
+     "Link\nOne.\nLink\nTwo.\nLink"),
+])
+def test_regions_decide_what_is_main_text(page, want, monkeypatch):
+    """Without the dives of the distribution the text is another one wherever something has to go."""
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "regions", lambda weight: [(0, len(weight))])
+    assert (html_text.main_text(page) == want) == ("Link" in want)
+
+
 def test_html_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "c"), (1, "u", "<p>x</p>", "c"), (None, None, None, "c"), (3, "v", long, "c")],
