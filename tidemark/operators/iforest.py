@@ -8,13 +8,16 @@ Plan on Spark:
    there are fewer). The key is ``key`` or, without one, all columns: rows equal in
    all of them are interchangeable. Hashes above a bound that lets through a small
    multiple of the rows needed are dropped before the shuffle; the bound is raised
-   until every tree is full, so it changes the work, never the sample.
+   until every tree is full, so it changes the work, never the sample. Rows are
+   paired with trees by ``explode``, in generated code.
 2. Growing. ``groupBy(tree).applyInPandas`` grows one random isolation tree
    per group of ``sample_size`` rows, taken in hash order.
 3. Scoring. The forest has at most ``n_trees * (2 * sample_size - 1)``
    nodes, a size fixed by the parameters and not by the data, so it is
-   broadcast, and every row is scored in Arrow batches by ``mapInPandas``
-   (numpy walks all rows of a batch down a tree level by level).
+   broadcast, and every row is scored in Arrow batches by ``mapInPandas``.
+   Trees are laid out as full binary trees (children of place h at 2 h and
+   2 h + 1, a leaf's value at all places under it), so numpy walks all rows of a
+   batch down a tree with one gather and one comparison a level.
 
 score = 2 ** (-E[h(x)] / c(sample_size)), h = depth + c(leaf size); rows
 with a null feature get a null score. ``score > threshold`` (0.5 by
@@ -71,11 +74,29 @@ class IsolationForest:
         self.size[ti, ni] = nodes["size"].to_numpy()
         self.depth_limit = int(math.ceil(math.log2(max(self.sample_size, 2))))
 
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, threshold) of every inner place of the full trees, and path length at every place of the last level."""
+        width = 1 << self.depth_limit
+        feat = np.zeros((len(self.feat), width), dtype="int64")
+        thr = np.full(feat.shape, np.inf)
+        length = np.zeros(feat.shape)
+        leaf_c = _c(self.size)
+        for t in range(len(feat)):
+            todo = [(1, 0, 0)]
+            while todo:
+                place, node, depth = todo.pop()
+                if self.feat[t, node] < 0:
+                    last = place << (self.depth_limit - depth)
+                    length[t, last - width:last - width + (1 << (self.depth_limit - depth))] = depth + leaf_c[t, node]
+                else:
+                    feat[t, place], thr[t, place] = self.feat[t, node], self.thr[t, node]
+                    todo += [(2 * place, self.left[t, node], depth + 1), (2 * place + 1, self.right[t, node], depth + 1)]
+        return feat, thr, length
+
     def transform(self, df: DataFrame, score_col: str = "anomaly_score",
                   flag_col: str = "is_outlier") -> DataFrame:
         spark = df.sparkSession
-        bc = spark.sparkContext.broadcast(
-            (self.feat, self.thr, self.left, self.right, self.size))
+        bc = spark.sparkContext.broadcast(self.layout())
         feats, n_trees, limit = self.features, self.n_trees, self.depth_limit
         norm = float(_c(self.sample_size)) or 1.0
         thr_flag = self.threshold
@@ -83,25 +104,17 @@ class IsolationForest:
                                                     StructField(flag_col, BooleanType(), True)])
 
         def score(batches):
-            feat, thr, left, right, size = bc.value
+            feat, thr, length = bc.value
             for pdf in batches:
-                X = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
+                X = np.ascontiguousarray(pdf[feats].to_numpy(dtype="float64", na_value=np.nan))
                 m = len(X)
-                rows = np.arange(m)
+                cells, first = X.ravel(), np.arange(m) * len(feats)
                 total = np.zeros(m)
                 for t in range(n_trees):
-                    node = np.zeros(m, dtype="int64")
-                    depth = np.zeros(m)
-                    for _ in range(limit + 1):
-                        f = feat[t, node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        xv = X[rows, np.where(inner, f, 0)]
-                        nxt = np.where(xv < thr[t, node], left[t, node], right[t, node])
-                        node = np.where(inner, nxt, node)
-                        depth += inner
-                    total += depth + _c(size[t, node])
+                    place = np.ones(m, dtype="int64")
+                    for _ in range(limit):
+                        place = 2 * place + (cells[first + feat[t][place]] >= thr[t][place])
+                    total += length[t][place - length.shape[1]]
                 s = np.power(2.0, -(total / max(n_trees, 1)) / norm)
                 bad = np.isnan(X).any(axis=1)
                 pdf[score_col] = np.where(bad, np.nan, s)
@@ -115,15 +128,14 @@ def sample_rows(df: DataFrame, feats: Sequence[str], n_trees: int, psi: int, n:
                 key: Sequence[str] | None = None) -> DataFrame:
     """(_tree, _h, features): per tree the ``psi`` of ``n`` rows with the smallest hashes."""
     keys = ", ".join(q(c) for c in (key or df.columns))
-    hashed = f"pmod(xxhash64({keys}, t, {int(seed)}), {_HASH_RANGE})"
+    hashed = F.expr(f"pmod(xxhash64({keys}, _tree, {int(seed)}), {_HASH_RANGE})")
     per_tree = Window.partitionBy("_tree").orderBy("_h", *feats)
     share = min(1.0, (2.0 * psi + 64) / max(n, 1))
     while True:
         bound = int(share * _HASH_RANGE)
-        pairs = F.expr(f"filter(transform(sequence(0, {n_trees - 1}), t -> named_struct('t', t, 'h', {hashed})),"
-                       f" s -> s.h < {bound})")
+        pairs = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_h", hashed)
         sample = materialize(
-            df.select(*feats, F.explode(pairs).alias("_s")).select(F.col("_s.t").alias("_tree"), F.col("_s.h").alias("_h"), *feats)
+            pairs.where(F.col("_h") < bound).select("_tree", "_h", *feats)
             .withColumn("_r", F.row_number().over(per_tree)).where(F.col("_r") <= psi).drop("_r"))
         full = sample.groupBy("_tree").count().where(F.col("count") == psi).count()      # n_trees rows
         if share >= 1.0 or full == n_trees:
