@@ -29,9 +29,11 @@ def bucketed(df: DataFrame, series, order, bucket_rows: int) -> DataFrame:
     return base.withColumn("_hb", F.floor(F.col("_gpos") / bucket_rows))
 
 
-def over_bucket(series) -> str:
-    """The window of a row's series and bucket, as SQL."""
-    return f"PARTITION BY {', '.join(q(c) for c in [*_cols(series), '_hb'])} ORDER BY _gpos"
+def over_bucket(series, last_first: bool = False) -> str:
+    """The window of a row's series and bucket, as SQL. What follows a row is asked of the
+    rows before it with the last first: Spark runs through frames that end with the
+    partition anew for every row."""
+    return f"PARTITION BY {', '.join(q(c) for c in [*_cols(series), '_hb'])} ORDER BY _gpos{' DESC' if last_first else ''}"
 
 
 def halo(base: DataFrame, before: int, after: int, bucket_rows: int) -> DataFrame:
@@ -54,17 +56,16 @@ def neighbours(base: DataFrame, cols: Sequence[str], series) -> DataFrame:
     non-null value strictly before and after the row in its series, null if none."""
     keys = _cols(series)
     some = {c: f"CASE WHEN {q(c)} IS NOT NULL THEN named_struct('p', _gpos, 'v', CAST({q(c)} AS DOUBLE)) END" for c in cols}
-    w = over_bucket(keys)
+    w, back = over_bucket(keys), over_bucket(keys, True)
     near = base.select("*", *[F.expr(f"last({s}, true) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias(f"_lp_{c}")
                               for c, s in some.items()],
-                       *[F.expr(f"first({s}, true) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)").alias(f"_ln_{c}")
+                       *[F.expr(f"last({s}, true) OVER ({back} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias(f"_ln_{c}")
                          for c, s in some.items()])
     ends = base.groupBy(*keys, "_hb").agg(*[F.expr(f"max({s})").alias(f"_e_{c}") for c, s in some.items()],
                                           *[F.expr(f"min({s})").alias(f"_s_{c}") for c, s in some.items()])
-    spec = Window.partitionBy(*keys).orderBy("_hb")
-    outer = ends.select(*keys, "_hb",
-                        *[F.last(f"_e_{c}", True).over(spec.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_op_{c}") for c in cols],
-                        *[F.first(f"_s_{c}", True).over(spec.rowsBetween(1, Window.unboundedFollowing)).alias(f"_on_{c}") for c in cols])
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_hb", F.desc("_hb")))
+    outer = ends.select(*keys, "_hb", *[F.last(f"_e_{c}", True).over(up).alias(f"_op_{c}") for c in cols],
+                        *[F.last(f"_s_{c}", True).over(down).alias(f"_on_{c}") for c in cols])
     got = join_null_safe(near, outer, [*keys, "_hb"])
     return got.select(*base.columns, *[F.coalesce(f"_lp_{c}", f"_op_{c}").alias(f"_prev_{c}") for c in cols],
                       *[F.coalesce(f"_ln_{c}", f"_on_{c}").alias(f"_next_{c}") for c in cols])

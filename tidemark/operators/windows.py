@@ -127,32 +127,31 @@ def fill_forward_backward(df: DataFrame, cols: Sequence[str], series=None, order
     table and joined back on (series, bucket)."""
     series, order = _cols(series), _cols(order)
     if not skew_safe:
-        over = (f"PARTITION BY {', '.join(q(p) for p in series)} " if series else "") + \
-            f"ORDER BY {', '.join(q(o) for o in order)}"
-        repl = {c: F.expr(
-            f"coalesce(last({q(c)}, true) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND "
-            f"CURRENT ROW), first({q(c)}, true) OVER ({over} ROWS BETWEEN CURRENT ROW AND "
-            f"UNBOUNDED FOLLOWING))") for c in cols}
-        return df.withColumns(repl)
+        part = f"PARTITION BY {', '.join(q(p) for p in series)} " if series else ""
+        over, upto = f"{part}ORDER BY {', '.join(q(o) for o in order)}", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        # the numbers keep ties in one order both ways
+        d = df.select("*", F.expr(f"row_number() OVER ({over})").alias("__no"),
+                      *[F.expr(f"last({q(c)}, true) OVER ({over} {upto})").alias(f"__ff_{c}") for c in cols])
+        back = f"{part}ORDER BY __no DESC {upto}"
+        return d.withColumns({c: F.expr(f"coalesce({q(f'__ff_{c}')}, last({q(c)}, true) OVER ({back}))") for c in cols}).select(*df.columns)
     base = (with_row_pos(df, [*series, *order], "_gpos")
             .withColumn("_hb", F.floor(F.col("_gpos") / bucket_rows)))
     spec = Window.partitionBy(*series, "_hb").orderBy("_gpos")
     back = spec.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = spec.rowsBetween(0, Window.unboundedFollowing)
+    # with the last row first: Spark runs through frames that end with the partition anew for every row
+    fwd = Window.partitionBy(*series, "_hb").orderBy(F.desc("_gpos")).rowsBetween(Window.unboundedPreceding, 0)
     local = base.select("*", *[F.last(F.col(c), True).over(back).alias(f"_ff_{c}") for c in cols],
-                        *[F.first(F.col(c), True).over(fwd).alias(f"_bf_{c}") for c in cols])
+                        *[F.last(F.col(c), True).over(fwd).alias(f"_bf_{c}") for c in cols])
     summ = base.groupBy(*series, "_hb").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_gpos"))).alias(f"_last_{c}")
           for c in cols],
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_gpos"))).alias(f"_first_{c}")
           for c in cols])
-    bspec = Window.partitionBy(*series).orderBy("_hb")
+    before, after = (Window.partitionBy(*series).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_hb", F.desc("_hb")))
     summ = summ.select(
         *series, "_hb",
-        *[F.last(F.col(f"_last_{c}"), True).over(
-            bspec.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_prev_{c}") for c in cols],
-        *[F.first(F.col(f"_first_{c}"), True).over(
-            bspec.rowsBetween(1, Window.unboundedFollowing)).alias(f"_next_{c}") for c in cols])
+        *[F.last(F.col(f"_last_{c}"), True).over(before).alias(f"_prev_{c}") for c in cols],
+        *[F.last(F.col(f"_first_{c}"), True).over(after).alias(f"_next_{c}") for c in cols])
     j = join_null_safe(local, summ, [*series, "_hb"])
     repl = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_prev_{c}"),
                           F.col(f"_bf_{c}"), F.col(f"_next_{c}")) for c in cols}
