@@ -9,13 +9,18 @@ inside whole-stage codegen on batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.exprs import dlit, q
+from ..functions.exprs import dlit, join_null_safe, q
+from ..session import stored
 from .buckets import affine_scan, bucketed, halo, home, neighbours, over_bucket
 from .quantile import column_quantiles
 from .windows import _cols, fill_forward_backward
@@ -318,40 +323,76 @@ def financial_features(df: DataFrame, col: str, series=None, order=None, rsi_win
     return d.select(*df.columns, rsi, macd, sig)
 
 
+_TERM = re.compile(r"[A-Za-z0-9_]{2,}")
+#: (row, term) pairs of an Arrow batch.
+_PAIRS = 100_000
+
+
+def _row_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc, term, tf) of every row, counted where the row lies."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, counts = [], [], []
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
+                                                  [id_col, "term", "tf"])
+
+            for i, text in enumerate(b.column(1)):
+                tf = Counter(_TERM.findall(text.as_py() or ""))
+                rows.extend([i] * len(tf))
+                terms.extend(tf)
+                counts.extend(tf.values())
+                if len(rows) >= _PAIRS:
+                    yield batch()
+                    rows, terms, counts = [], [], []
+            if rows:
+                yield batch()
+
+    return docs.select(id_col, F.lower(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
+
+
 def text_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """K10 counts with an exact vocabulary: (doc, term, tf) of every term of the
-    whole text. No vocabulary is collected and none is cut."""
-    return (docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\W+")).alias("term"))
-            .where(F.length("term") >= 2).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    whole text: of two and more of [A-Za-z0-9_] (what is left between ``\\W+``), lower-cased.
+    No vocabulary is collected and none is cut. A document in one row is counted there,
+    without a shuffle; only the counts of ids with several rows are added up over them."""
+    many = stored(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > 1))
+    if many.isEmpty():
+        return _row_counts(docs, text_col, id_col)
+    rows = join_null_safe(docs.select(id_col, text_col), many, [id_col], "left")
+    again = _row_counts(rows.where(F.col("__rows").isNotNull()), text_col, id_col)
+    return _row_counts(rows.where(F.col("__rows").isNull()), text_col, id_col).unionByName(
+        again.groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
 
 
 def term_weights(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_df: int = 2) -> DataFrame:
     """K10 vocabulary table: per term its documents, occurrences and smoothed idf."""
-    n = docs.count()
-    return text_counts(docs, text_col, id_col).groupBy("term").agg(
+    return _weights(text_counts(docs, text_col, id_col), docs.count(), min_df)
+
+
+def _weights(tf: DataFrame, n: int, min_df: int) -> DataFrame:
+    return tf.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).withColumn(
         "idf", F.when(F.col("df") >= min_df, F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0)))
 
 
 def tfidf_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 min_df: int = 2) -> DataFrame:
-    """K10 as DataFrame operations with an exact vocabulary: tokens of the
-    whole lower-cased text split on non-word characters (``\\W+``, tokens of
-    2+ characters), term
-    frequency per (doc, term), document frequency per term (partial
+    """K10 as DataFrame operations with an exact vocabulary: term frequency per
+    (doc, term) by ``text_counts``, document frequency per term (partial
     aggregate before the shuffle, so a term present in every document is
     a counter, not a hot group) and Spark's smoothed idf
-    ``ln((n + 1) / (df + 1))``, 0 below ``min_df``. The join of the
-    (doc, term) rows with the per-term table is a shuffle join on the term;
-    AQE's skew handling splits the partition of a very common term. The
+    ``ln((n + 1) / (df + 1))``, 0 below ``min_df``. The table of terms is stored, so
+    its size is known before the join: a small one is broadcast and the (doc, term)
+    rows stay where they are, else they are shuffled once, by term, where
+    AQE's skew handling splits the partition of a very common one. The
     document count is one scalar, inlined as a literal."""
     tf = text_counts(docs, text_col, id_col)
-    n = docs.count()
-    dfq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.when(F.col("df") >= min_df, F.log(F.lit(float(n + 1)) / (F.col("df") + F.lit(1.0)))) \
-        .otherwise(F.lit(0.0))
-    return (tf.join(dfq, "term").withColumn("idf", idf)
-            .withColumn("tfidf", F.col("tf") * F.col("idf")))
+    weights = stored(_weights(tf, docs.count(), min_df).drop("tf"))
+    return tf.join(weights, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
 def tfidf_doc_summary(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
