@@ -5,10 +5,12 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline as C
+from tidemark.llm import exact_dedup as X
 from tidemark.llm import queries as Q
 from tidemark.llm import toxicity
 
@@ -82,3 +84,38 @@ def test_stages_take_an_empty_table(spark):
         out = stage(spark, docs, SF)
         assert out.collect() == []
         docs = out if out.columns == docs.columns else docs
+
+
+def python_steps(df):
+    """Python operators in the executed plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("EvalPython")
+
+
+def test_a_screened_text_meets_one_worker(spark):
+    """The digest is not computed anew for what is read behind the filter on it."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('Text ', id % 30) AS text")
+    assert python_steps(X.drop_exact_copies(docs)) == 2             # one in either part
+    shas = docs.where("doc_id < 10").select(X.sha256_lower("text").alias("sha"))
+    one = X.digest_and_screen(spark, X.sha256_lower, shas, None, 100)
+    near = docs.withColumn("s", one(F.col("text"), F.lit(""))).where("s.near").select("doc_id", "s.sha", "s.low")
+    assert python_steps(near) == 1
+    got = {r["doc_id"]: r["low"] for r in near.collect()}
+    assert {i: f"text {i % 30}" for i in range(40) if i % 30 < 10}.items() <= got.items()
+
+
+def test_fixed_rows_need_no_python_worker(spark, monkeypatch):
+    """Fixed findings and the plan of a packing reach Spark without Python workers of their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert Q.stage_packing(spark, Q.stage_secrets(spark, docs, SF), SF).select("doc_id").distinct().count() == 20
+
+
+def test_words_in_blocks_have_the_same_features(monkeypatch):
+    words = [f"{'w' * (i % 23)}Ä{i}" for i in range(500)]
+    want = toxicity.word_features(words)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert (toxicity.word_features(words) == want).all()
