@@ -87,3 +87,50 @@ def test_one_row_of_each_component_whatever_the_ids(spark, ids):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df, 4, 4).collect() == [] and S.drop_near_copies(df, 4, 4).collect() == []
+
+
+def broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastExchange")
+
+
+def test_components_take_no_broadcast_without_hubs_and_stop_at_stars(spark, monkeypatch):
+    """Every broadcast, an empty one too, takes a thread and memory of the driver."""
+    from tidemark.llm import common, components as C
+    tables = []
+
+    def seen(df):
+        tables.append(broadcasts(df))
+        return common.stored(df)
+
+    monkeypatch.setattr(C, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = [(5, k) for k in range(200, 240)] + [(7, 8), (9, 7)]
+        assert len(components(spark.createDataFrame(pairs, "u long, v long")).collect()) == 44
+        assert tables == [0]                         # stars already: no round
+        pairs += [(i, i + 1) for i in range(300, 330)]
+        assert len(components(spark.createDataFrame(pairs, "u long, v long")).collect()) == 75
+        assert len(tables) > 2 and not any(tables)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("floor", [0, 100])
+def test_hubs_and_copies_give_the_same_by_broadcast_and_without(spark, monkeypatch, floor):
+    from tidemark.llm import common
+    monkeypatch.setattr(common, "HOT_ROWS", floor)
+    pairs = [(i, i + 1) for i in range(100, 130)] + [(5, k) for k in range(200, 420)] + [(219, 500), (500, 501), (3, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 131)}, **{i: 5 for i in [5, 500, 501, *range(200, 420)]}}
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in (0, 150, 300)] + [" ".join(base)] * 4 + ["alone here"] * 3
+    df = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fps = [brute_fingerprint(t, 4) for t in texts]
+    n = len(fps)
+    comp = brute_components([(a, b) for a in range(n) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4], range(n))
+    least = {c: min((k for k in range(1, n) if comp[k] == c), default=None) for c in comp.values()}
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in S.near_duplicates(df, 4, 4).collect()) == [
+        (k, least[comp[k]] or 0) for k in range(n)]
+    assert sorted(r["doc_id"] or 0 for r in S.drop_near_copies(df, 4, 4).collect()) == sorted(x or 0 for x in least.values())
