@@ -117,6 +117,21 @@ def test_components_take_no_broadcast_without_hubs_and_stop_at_stars(spark, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_cells_are_not_broadcast_however_small_spark_takes_them(spark):
+    """Spark sizes the cells as the fingerprints they are exploded from: 1 in 50 of what the driver would hold."""
+    from tidemark.llm import common
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        reps = common.stored(spark.range(400).selectExpr("xxhash64(id DIV 2) ^ (id % 2) AS fp"))
+        got = S.links(reps, 4)
+        assert broadcasts(got) == 0
+        assert got.count() == len(got.collect()) == 200
+        assert broadcasts(got) == 0                  # as planned anew from what was shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("floor", [0, 100])
 def test_hubs_and_copies_give_the_same_by_broadcast_and_without(spark, monkeypatch, floor):
     from tidemark.llm import common
