@@ -132,6 +132,27 @@ def test_cells_are_not_broadcast_however_small_spark_takes_them(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_the_pipelines_stage_broadcasts_no_cells(spark, monkeypatch):
+    from tidemark.llm import common, components as C
+    tables = []
+
+    def seen(df):
+        tables.append(broadcasts(df))
+        return common.stored(df)
+
+    monkeypatch.setattr(C, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        base = [f"w{i}" for i in range(300)]
+        texts = [" ".join(base), " ".join([*base[:299], "other"]), "alone here"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in S.drop_near_copies(df, 4, 4).collect()) == [0, 2]
+        assert tables[0] == 0                        # the links
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("floor", [0, 100])
 def test_hubs_and_copies_give_the_same_by_broadcast_and_without(spark, monkeypatch, floor):
     from tidemark.llm import common
