@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -182,6 +183,19 @@ def test_every_filling_is_dominated_by_a_listed_one():
                     assert any(fits(sorted(f, reverse=True), list(g)) or sum(f) == 0 for g in listed)
 
 
+def test_a_node_of_the_search_is_small():
+    """The driver holds one for each sequence of the path, thousands of them."""
+    have = np.arange(1_000, 3_049, dtype=np.int64)
+    have[0] = 0
+    tracemalloc.start()
+    try:
+        held = [packing.undominated(have, 2_047, 5) for _ in range(50)]
+        assert all(next(g, ...) is not ... for g in held)
+        assert tracemalloc.get_traced_memory()[0] < 50 * 80_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_hashes_of_the_queries(spark):
     """The digest columns derive from the operator's own output."""
     from tidemark.llm import queries as Q
